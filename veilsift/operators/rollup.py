@@ -72,10 +72,10 @@ def number_issues(
     index_col: str = "file_idx",
 ) -> DataFrame:
     """All issues of a run numbered from 1, by file order then rule order."""
-    sized = file_results.select(
-        *run_keys, index_col, "issues", F.size("issues").alias("_size")
-    ).where(F.col("_size") > 0)
-    placed = with_offsets(sized, run_keys, index_col, "_size", "_before")
+    with_issues = file_results.select(*run_keys, index_col, "issues").where(F.size("issues") > 0)
+    placed = with_offsets(
+        with_issues, run_keys, index_col, lambda df: F.size(df["issues"]), "_before"
+    )
     return issue_rows(placed, *run_keys, index_col, "_before").select(
         *run_keys,
         (F.col("_before") + F.col("issue_pos") + 1).alias("issue_no"),

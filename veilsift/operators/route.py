@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.jsontext import parse_whole
 from ..functions.text import strip_code_fences
 from ..schemas import MODEL_RESULT
 from .scan import risk_of
@@ -24,12 +25,7 @@ def route(is_doc: Column, overall_risk: Column, risk_of_path: Column) -> Column:
 
 def parse_verdict(response: Column) -> Column:
     """A reply as a struct, null when it is not valid JSON."""
-    text = strip_code_fences(response)
-    parsed = F.from_json(
-        text, MODEL_RESULT, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}
-    )
-    whole = F.startswith(text, F.lit("{")) & F.endswith(text, F.lit("}"))
-    return F.when(whole & parsed["_corrupt_record"].isNull(), parsed)
+    return parse_whole(strip_code_fences(response), MODEL_RESULT)
 
 
 def latest_verdicts(verdicts: DataFrame) -> DataFrame:

@@ -7,9 +7,10 @@ bytes:
 2. The text of each *distinct* diff is scanned once: a map-side deduplication by
    hash collapses copies before the only shuffle that carries text. Cache lookup
    and verdict join reuse that hash partitioning.
-3. Everything after is narrow. Files are first grouped by what decides their
-   result (run, hash, documentation or not, path risk), so a diff copied into a
-   third of all files is one row per run when results are attached.
+3. Everything after is narrow, and read from a checkpoint where the cluster names
+   a folder for it, so text is read twice in all. Files are first grouped by what
+   decides their result (run, hash, documentation or not, path risk), so a diff
+   copied into a third of all files is one row per run when results are attached.
 4. The per-file join back is the one place a hot key can meet many rows. Its
    other side has one row per key, and nothing but a re-shuffled aggregate
    follows, so adaptive skew handling can split it.
@@ -20,7 +21,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.paths import should_skip
@@ -29,6 +30,7 @@ from ..operators.route import REVIEW, latest_verdicts, merge_issues, route
 from ..operators.scan import local_summary, risk_of, scan_rules
 from ..rules import DEFAULT_RULES, MAX_DIFF_CHARS, Rule
 from ..schemas import ISSUE
+from ..session import written_once
 from ..sources.diffs import prepare_files
 from ..sources.scan_cache import cache_entries
 
@@ -119,7 +121,13 @@ def scan_distinct(
 
 def _own_result(groups: DataFrame, results: DataFrame) -> DataFrame:
     """Attach the result each group would get on its own, and whether it may be stored."""
-    joined = groups.join(results, "diff_hash", "left")
+    # The second key repeats the first. It makes Spark shuffle the scanned results
+    # (no text in them) once more for this join, and with both sides coming straight
+    # from a shuffle, adaptive execution can split a diff that very many runs share.
+    prefix = F.substring("diff_hash", 1, 2)
+    joined = groups.withColumn("_prefix", prefix).join(
+        results.withColumn("_prefix", prefix), ["_prefix", "diff_hash"], "left"
+    ).drop("_prefix")
     local = F.when(F.col("is_doc"), F.col("doc")).otherwise(F.col("code"))
     way = F.when(F.col("cached").isNotNull(), F.lit("cached")).otherwise(
         route(F.col("is_doc"), local["overall_risk"], F.col("path_risk"))
@@ -171,23 +179,22 @@ def check_changes(
     """
     runs = list(run_keys)
     prepared = prepare_files(files, max_chars)
-    narrow = prepared.select(*runs, "file_idx", "file_path", "diff_hash", "is_doc", "path_risk")
+    narrow = written_once(
+        prepared.select(*runs, "file_idx", "file_path", "diff_hash", "is_doc", "path_risk")
+    )
     results = scan_distinct(prepared, rules, cache, verdicts)
 
     group = [*runs, "diff_hash", "is_doc", "path_risk"]
     groups = narrow.groupBy(*group).agg(
         F.min(F.struct("file_idx", "file_path")).alias("_first")
     )
-    own = _own_result(groups, results)
-    firsts = (
-        own.where("_storable")
-        .groupBy(*runs, "diff_hash")
-        .agg(
-            F.min("_first").alias("_stored_by"),
-            F.min_by("own", "_first").alias("_stored"),
-        )
-    )
-    decided = own.drop("_first", "_storable").join(firsts, [*runs, "diff_hash"], "left")
+    # a run has at most six groups per diff (documentation or not, three path risks)
+    same_diff = Window.partitionBy(*runs, "diff_hash")
+    storing = F.when(F.col("_storable"), F.col("_first"))
+    decided = _own_result(groups, results).withColumns({
+        "_stored_by": F.min(storing).over(same_diff),
+        "_stored": F.min_by("own", storing).over(same_diff),
+    }).drop("_first", "_storable")
 
     per_file = narrow.join(decided, group, "left")
     reused = F.coalesce(F.col("file_idx") > F.col("_stored_by.file_idx"), F.lit(False))

@@ -29,9 +29,7 @@ FINDING = _struct(rule_id=_S, category=_S, severity=_S, matched_text=_S)
 
 # Replies of a reviewing model
 MODEL_ISSUE = _struct(file=_S, line_hint=_S, severity=_S, issue=_S, fix=_S, regulation=_S)
-MODEL_RESULT = _struct(
-    overall_risk=_S, summary=_S, issues=T.ArrayType(MODEL_ISSUE), _corrupt_record=_S,
-)
+MODEL_RESULT = _struct(overall_risk=_S, summary=_S, issues=T.ArrayType(MODEL_ISSUE))
 PACKAGE_VERDICT = _struct(
     name=_S, version=_S, score=_S, reason=_S, alternative=_S, regulation=_S, privacyPolicyUrl=_S,
 )
@@ -52,7 +50,6 @@ _REPORT_FIELDS = dict(
 REPORT_DATA = _struct(**_REPORT_FIELDS)
 POLICY_BODY = _struct(
     **_REPORT_FIELDS, data=REPORT_DATA, ok=_B, statusCode=_I, error=_S, rawResponse=_S,
-    _corrupt_record=_S,
 )
 POLICY_REPORTS = _struct(url=_S, status_code=_I, body=_S, transport_error=_S)
 

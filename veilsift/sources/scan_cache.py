@@ -1,23 +1,30 @@
-"""The result cache: a Parquet table keyed by content hash and rule-set version."""
+"""The result cache: a Parquet table keyed by content hash and rule-set version.
+
+Each writer owns one ``part`` folder and replaces it as a whole, so a retried or
+restarted job leaves the same table as an undisturbed one.
+"""
 
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..rules import CACHE_VERSION, DEFAULT_RULES, ruleset_version
 from ..schemas import SCAN_CACHE
 
 
-def _path_missing(spark: SparkSession, path: str) -> bool:
+_STORED = T.StructType([*SCAN_CACHE.fields, T.StructField("part", T.StringType())])
+
+
+def _read(spark: SparkSession, path: str) -> DataFrame:
     try:
-        spark.read.schema(SCAN_CACHE).parquet(path)
+        return spark.read.schema(_STORED).parquet(path)
     except AnalysisException as e:
-        if e.getCondition() == "PATH_NOT_FOUND":
-            return True
-        raise
-    return False
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], _STORED)
 
 
 def latest_entries(cache: DataFrame, version: str | None = None) -> DataFrame:
@@ -32,12 +39,16 @@ def latest_entries(cache: DataFrame, version: str | None = None) -> DataFrame:
     )
 
 
-def load_cache(spark: SparkSession, path: str, version: str | None = None) -> DataFrame:
-    """Cached results; a missing table or another version reads as empty."""
-    if _path_missing(spark, path):
-        raw = spark.createDataFrame([], SCAN_CACHE)
-    else:
-        raw = spark.read.schema(SCAN_CACHE).parquet(path)
+def load_cache(
+    spark: SparkSession, path: str, version: str | None = None, skip_part: str | None = None
+) -> DataFrame:
+    """Cached results; a missing table or another version reads as empty.
+
+    ``skip_part`` leaves out what an earlier try of the same job wrote.
+    """
+    raw = _read(spark, path)
+    if skip_part is not None:
+        raw = raw.where(F.col("part") != skip_part)
     return latest_entries(raw, version)
 
 
@@ -53,9 +64,9 @@ def cache_entries(results: DataFrame, version: str | None = None) -> DataFrame:
     )
 
 
-def append_cache(entries: DataFrame, path: str) -> None:
-    """Add entries; readers and ``compact_cache`` let the newest win."""
-    entries.write.mode("append").parquet(path)
+def append_cache(entries: DataFrame, path: str, part: str) -> None:
+    """Add one job's entries; readers and ``compact_cache`` let the newest win."""
+    entries.write.mode("overwrite").parquet(f"{path}/part={part}")
 
 
 def compact_cache(spark: SparkSession, path: str, out_path: str, version: str | None = None) -> None:
@@ -71,9 +82,11 @@ def compact_cache(spark: SparkSession, path: str, out_path: str, version: str |
             "result",
         )
         .sortWithinPartitions("diff_hash")
-        .write.mode("overwrite").parquet(out_path)
+        .write.mode("overwrite").parquet(f"{out_path}/part=compacted")
     )
 
 
 def clear_cache(spark: SparkSession, path: str) -> None:
-    spark.createDataFrame([], SCAN_CACHE).write.mode("overwrite").parquet(path)
+    """Replace the whole table by an empty one."""
+    empty = spark.createDataFrame([], _STORED)
+    empty.write.mode("overwrite").partitionBy("part").parquet(path)

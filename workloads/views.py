@@ -9,6 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veilsift.functions import content_hash, cut_diff
+from veilsift.rules import DEFAULT_RULES
+
 _PIECES = (
     # 0-42: one line per rule, in rule order
     ('k = "sk', "-", "Qz7Lm2Xv9Rt4Kp8Wn3Hd6Yb1", '"'),
@@ -92,13 +95,17 @@ def _diff_text(path: Column, key: Column, text: Column) -> Column:
 
 
 def file_diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return file_diffs_of(table(spark, sf_dir, "documents"))
+
+
+def file_diffs_of(documents: DataFrame) -> DataFrame:
     """One changed file per document; its text is what the file adds."""
     key = F.col("doc_id")
     path = F.concat(
         _pick(DIRS, key), F.lit("f"), key.cast("string"), _pick(EXTENSIONS, key)
     )
     repo = (key % 20).cast("int")
-    return table(spark, sf_dir, "documents").select(
+    return documents.select(
         repo.alias("repo_id"),
         (key % 100).cast("int").alias("commit_no"),
         key.alias("file_idx"),
@@ -126,6 +133,176 @@ def copied_diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+NEW_ISSUE = "Free-text note kept without an expiry date."
+
+
+def verdicts(spark: SparkSession, sf_dir: str, diffs: DataFrame, key: Column) -> DataFrame:
+    """Reviewer replies for all diffs: plain JSON, fenced JSON, or cut-off JSON by key.
+
+    Each names the issue text of one rule and one new issue.
+    """
+    issue_texts = tuple(r.issue for r in DEFAULT_RULES)
+    reply = F.to_json(F.struct(
+        F.lit("HIGH").alias("overall_risk"),
+        F.concat(F.lit("Reviewed case "), (key % 50).cast("string")).alias("summary"),
+        F.array(
+            F.struct(
+                F.lit("m.ts").alias("file"), F.lit("hint").alias("line_hint"),
+                F.lit("MEDIUM").alias("severity"), _pick(issue_texts, key % 50).alias("issue"),
+                F.lit("fix it").alias("fix"), F.lit("none").alias("regulation"),
+            ),
+            F.struct(
+                F.lit("m.ts").alias("file"), F.lit("note").alias("line_hint"),
+                F.when(key % 2 == 0, F.lit("HIGH")).otherwise(F.lit("MEDIUM")).alias("severity"),
+                F.lit(NEW_ISSUE).alias("issue"), F.lit("Set a retention period.").alias("fix"),
+                F.lit("none").alias("regulation"),
+            ),
+        ).alias("issues"),
+    ))
+    response = (
+        F.when(key % 3 == 0, reply)
+        .when(key % 3 == 1, F.concat(F.lit("```json\n"), reply, F.lit("\n```\n")))
+        .otherwise(F.lit('{"overall_risk": "HIGH", "issues": ['))
+    )
+    return diffs.select(content_hash(cut_diff(F.col("diff"))).alias("diff_hash"),
+                        response.alias("response"))
+
+
+def packages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One package per fifty parts, so packages grow with the part table."""
+    return (
+        table(spark, sf_dir, "part")
+        .groupBy(F.floor(F.col("p_partkey") / 50).cast("int").alias("n"))
+        .agg(F.min("p_name").alias("about"), F.min("p_size").alias("size"))
+    )
+
+
+def _name(n: Column) -> Column:
+    return F.concat(F.lit("pkg"), n.cast("string"))
+
+
+def policy_url(n: Column) -> Column:
+    return F.concat(F.lit("https://"), _name(n), F.lit(".acme.net/privacy"))
+
+
+def manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One manifest per order: odd lines are runtime, even lines development dependencies."""
+    items = (
+        table(spark, sf_dir, "lineitem")
+        .groupBy(
+            F.col("l_orderkey").alias("manifest_id"),
+            (F.col("l_linenumber") % 2 == 0).alias("dev"),
+            _name(F.floor(F.col("l_partkey") / 50)).alias("key"),
+        )
+        .agg(F.max("l_linenumber").alias("line"))
+        .withColumn("value", F.concat(F.lit("1."), F.col("line").cast("string"), F.lit(".0")))
+    )
+
+    def as_map(of: Column) -> Column:
+        return F.map_from_entries(F.array_sort(
+            F.collect_list(F.when(of, F.struct("key", "value")))
+        ))
+
+    return items.groupBy("manifest_id").agg(
+        as_map(~F.col("dev")).alias("dependencies"),
+        as_map(F.col("dev")).alias("devDependencies"),
+    )
+
+
+def reference_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Markdown reference documents of up to ten packages each."""
+    n = F.col("n")
+    number = n.cast("string")
+    retired = n % 10 == 9
+
+    def line(label: str, value: Column, when: Column) -> Column:
+        return F.when(when, F.concat(F.lit(f"- **{label}**: "), value, F.lit("\n"))).otherwise("")
+
+    entry = F.concat(
+        F.lit("### "), number, F.lit(". **"), _name(n), F.lit("**"),
+        F.when(retired, F.lit(" (Deprecated)")).otherwise(""), F.lit("\n"),
+        F.col("about"), F.lit("\n"),
+        line("npm", F.concat(F.lit("https://npm.acme.net/"), _name(n)), F.lit(True)),
+        line("Security Policy", F.concat(F.lit("https://sec.acme.net/"), number), n % 2 == 0),
+        line("Privacy Policy", policy_url(n), n % 3 == 0),
+        line("Note", F.lit("Unmaintained, look for `another`"), retired),
+        line("GitHub", F.concat(F.lit("https://git.acme.net/"), number), F.lit(True)),
+    )
+    known = packages(spark, sf_dir).where(n % 8 != 7)
+    grouped = known.groupBy(F.floor(n / 10).alias("g")).agg(
+        F.array_sort(F.collect_list(F.struct("n", entry.alias("entry")))).alias("entries")
+    )
+    return grouped.select(F.concat(
+        F.lit("# Packages\n\nAbout this list.\n\n---\n\n## Group "), F.col("g").cast("string"),
+        F.lit("\n\n"),
+        F.array_join(F.transform("entries", lambda e: e.entry), "\n"),
+        F.lit("\n---\n\n## Resources\n\n### Links\n- **Privacy Policy**: https://x.acme.net/p\n"),
+    ).alias("text"))
+
+
+def package_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scoring replies, one JSON array per ten packages, every second one fenced."""
+    n = F.col("n")
+    scores = ("SAFE", "CAUTION", "HIGH_RISK")
+    verdict = F.struct(
+        _name(n).alias("name"), F.lit("1.0.0").alias("version"), _pick(scores, n).alias("score"),
+        F.concat(F.lit("About "), F.col("about")).alias("reason"),
+        F.when(n % 3 == 2, F.concat(F.lit("alt-"), _name(n))).alias("alternative"),
+        F.when(n % 2 == 0, F.lit("GDPR Article 6")).alias("regulation"),
+        F.when(n % 4 == 0, policy_url(n)).alias("privacyPolicyUrl"),
+    )
+    grouped = packages(spark, sf_dir).where(n % 7 != 6).groupBy(F.floor(n / 10).alias("g")).agg(
+        F.to_json(F.array_sort(F.collect_list(verdict))).alias("json")
+    )
+    fenced = F.concat(F.lit("```json\n"), F.col("json"), F.lit("\n```"))
+    return grouped.select(
+        F.when(F.col("g") % 2 == 1, fenced).otherwise(F.col("json")).alias("response")
+    )
+
+
+def policy_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Report answers of five kinds: two body shapes, an error, bad JSON, no answer."""
+    n = F.col("n")
+    i_text = lambda i: i.cast("string")
+    clauses = F.transform(
+        F.slice(F.sequence(F.lit(1), F.lit(9)), F.lit(1), n % 9),
+        lambda i: F.struct(
+            F.when(i % 3 == 1, F.concat(F.lit("class "), i_text(i))).alias("classification"),
+            F.when(i % 3 == 2, F.concat(F.lit("cat "), i_text(i))).alias("category"),
+            F.when(i % 2 == 0, F.concat(F.lit("insight "), i_text(i))).alias("plain_insight"),
+            F.when(i % 3 != 0, F.concat(F.lit("text "), i_text(i))).alias("text"),
+            F.when(i == 4, F.lit("fine")).alias("fine_label"),
+        ),
+    )
+    report = F.struct(
+        F.concat(_name(n), F.lit(".acme.net")).alias("domain"),
+        (F.col("size") + F.when(n % 2 == 0, 0.5).otherwise(0.0)).alias("score"),
+        F.when(n % 4 != 3, _pick(("A", "B", "C"), n)).alias("grade"),
+        F.lit("medium").alias("risk_level"),
+        F.col("about").alias("summary"),
+        F.create_map(
+            F.lit("tracking"), (n % 6).cast("double"), F.lit("sharing"), F.lit(1.5)
+        ).alias("risk_breakdown"),
+        clauses.alias("clauses"),
+    )
+    failed = F.to_json(F.struct(F.lit("limit reached").alias("error")))
+    kind = n % 5
+    body = (
+        F.when(kind == 0, F.to_json(report))
+        .when(kind == 1, F.to_json(F.struct(report.alias("data"))))
+        .when((kind == 2) & (n % 2 == 0), failed)
+        .when(kind == 2, F.to_json(F.struct(F.lit("x").alias("summary"))))
+        .when(kind == 3, F.lit('{"grade": "A"'))
+    )
+    return packages(spark, sf_dir).select(
+        policy_url(n).alias("url"),
+        F.when(kind == 2, 500).when(kind != 4, 200).alias("status_code"),
+        body.alias("body"),
+        F.when(kind == 4, F.when(n % 2 == 0, F.lit("timeout")).otherwise(F.lit("reset")))
+        .alias("transport_error"),
+    )
+
+
 # -- the same views in DuckDB ------------------------------------------------
 
 def quote(text: str) -> str:
@@ -167,3 +344,23 @@ COPIED_DIFFS_SQL = f"""
          doc_id AS file_idx, {_PATH_SQL} AS file_path, lang,
          {_diff_sql("'file'", 'length(text)')} AS diff
   FROM documents"""
+
+PACKAGES_SQL = """
+  SELECT CAST(p_partkey // 50 AS INTEGER) AS n, min(p_name) AS about, min(p_size) AS size
+  FROM part GROUP BY 1"""
+
+
+def policy_url_sql(n: str) -> str:
+    return f"('https://pkg' || {n} || '.acme.net/privacy')"
+
+
+DEPENDENCIES_SQL = """
+  SELECT l_orderkey AS manifest_id, 'pkg' || (l_partkey // 50) AS name,
+         l_linenumber % 2 = 0 AS is_dev, max(l_linenumber) AS line
+  FROM lineitem GROUP BY ALL"""
+
+# a development entry wins; runtime names keep their place before development-only ones
+MERGED_SQL = """
+  SELECT manifest_id, name, '1.' || arg_max(line, is_dev) || '.0' AS version,
+         bool_or(is_dev) AS is_dev, bool_and(is_dev) AS dev_only
+  FROM dependencies GROUP BY manifest_id, name"""
