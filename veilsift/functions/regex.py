@@ -109,14 +109,15 @@ def quoted(literals: tuple[str, ...]) -> str:
     return "|".join(rf"\Q{text}\E" for text in literals)
 
 
-def matching_items(array_col: str, java_pattern: str) -> Column:
-    """Items of a string array in which the pattern occurs.
-
-    Written as one SQL expression: a Python lambda per rule makes plans slow to
-    build.
-    """
-    literal = java_pattern.replace("\\", "\\\\").replace("'", "\\'")
-    return F.expr(f"filter(`{array_col}`, item -> item rlike '{literal}')")
+def sql_text(text: str) -> str:
+    """A SQL string literal. Rule expressions go to Spark as one SQL text each,
+    because building them call by call makes plans slow to set up."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def matching_items_sql(array_col: str, java_pattern: str) -> str:
+    """Items of a string array in which the pattern occurs."""
+    return f"filter({array_col}, item -> item RLIKE {sql_text(java_pattern)})"
 
 
 def constant_array(values: list[str | None]) -> Column:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK = 1024
@@ -14,24 +14,22 @@ def with_offsets(
     df: DataFrame,
     run_keys: Sequence[str],
     index_col: str,
-    size_of: Callable[[DataFrame], Column],
+    size_col: str,
     out_col: str = "offset",
     block: int = BLOCK,
 ) -> DataFrame:
-    """Add the sum of a row size over all earlier rows of the same run.
+    """Add the sum of ``size_col`` over all earlier rows of the same run.
 
     A window over a whole run would put a run that holds a third of all rows
     into one task. Here rows fall into blocks of ``block`` consecutive indexes
     and blocks into super-blocks; each window sees one block's rows or one
     super-block's blocks, and the top window one row per super-block
     (``block`` squared indexes). Indexes are non-negative integers, increasing
-    in run order.
+    in run order. ``df`` is read three times: pass a frame that is cheap to read.
     """
     runs = list(run_keys)
     b1 = F.floor(F.col(index_col) / block).cast("long")
-    # one shuffle by block serves both the totals and the rows; the totals keep the
-    # last index so that both need the same columns of it and Spark reuses it
-    placed = df.withColumn("_b1", b1).repartition(*runs, "_b1")
+    placed = df.withColumn("_b1", b1)
 
     def before(total: str, partition: list[str], order: str):
         w = Window.partitionBy(*partition).orderBy(order)
@@ -39,10 +37,8 @@ def with_offsets(
             F.sum(total).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
         )
 
-    size = size_of(placed)
     blocks = (
-        placed.groupBy(*runs, "_b1")
-        .agg(F.sum(size).alias("_n"), F.max(index_col).alias("_last"))
+        placed.groupBy(*runs, "_b1").agg(F.sum(size_col).alias("_n"))
         .withColumn("_b2", F.floor(F.col("_b1") / block).cast("long"))
     )
     supers = blocks.groupBy(*runs, "_b2").agg(F.sum("_n").alias("_n"))
@@ -51,13 +47,11 @@ def with_offsets(
         blocks.withColumn("_o1", before("_n", [*runs, "_b2"], "_b1"))
         .drop("_n")
         .join(supers, [*runs, "_b2"])
-        .select(*runs, "_b1", "_last", (F.col("_o1") + F.col("_o2")).alias("_o"))
+        .select(*runs, "_b1", (F.col("_o1") + F.col("_o2")).alias("_o"))
     )
-    local = placed.withColumn("_size", size)
-    local = local.withColumn("_o0", before("_size", [*runs, "_b1"], index_col))
+    local = placed.withColumn("_o0", before(size_col, [*runs, "_b1"], index_col))
     return (
         local.join(offsets, [*runs, "_b1"])
-        .where(F.col(index_col) <= F.col("_last"))
         .withColumn(out_col, (F.col("_o") + F.col("_o0")).cast("long"))
-        .drop("_b1", "_o", "_o0", "_last", "_size")
+        .drop("_b1", "_o", "_o0")
     )

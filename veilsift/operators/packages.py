@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from ..functions.jsontext import parse_whole
 from ..functions.text import plain_number, strip_code_fences
 from ..schemas import PACKAGE_VERDICT
+from .once import computed_once
 
 UNSCORED = "UNSCORED"
 SCORE_ORDER = ("HIGH_RISK", "CAUTION", "SAFE", UNSCORED)
@@ -32,11 +33,12 @@ def score_rank(score: Column) -> Column:
 def parse_package_verdicts(replies: DataFrame, response_col: str = "response") -> DataFrame:
     """One row per package object in a reply; malformed replies give none."""
     items = parse_whole(strip_code_fences(F.col(response_col)), T.ArrayType(PACKAGE_VERDICT))
-    return replies.select(
-        *[c for c in replies.columns if c != response_col], F.explode(items).alias("_v")
-    ).select(
-        *[c for c in replies.columns if c != response_col], "_v.*"
-    ).withColumnRenamed("privacyPolicyUrl", "privacy_policy_url")
+    keep = [c for c in replies.columns if c != response_col]
+    parsed = computed_once(replies.select(*keep, items.alias("_items")), "_items")
+    return (
+        parsed.select(*keep, F.explode("_items").alias("_v")).select(*keep, "_v.*")
+        .withColumnRenamed("privacyPolicyUrl", "privacy_policy_url")
+    )
 
 
 def _given(value: Column) -> Column:

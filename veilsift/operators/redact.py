@@ -10,11 +10,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.regex import matching_items, to_java
+from ..functions.regex import matching_items_sql, to_java
 from ..functions.text import is_example, is_safe_reference, secret_candidate, split_lines
 from ..rules import DEFAULT_RULES, LATE_REDACTION_RULES, Rule
+from .once import computed_once
 from .scan import (
-    detector, low_entropy, minimum_entropy, rule_field, text_matches, with_guards,
+    detector, low_entropy, match_sql, minimum_entropy, rule_field, with_guards,
 )
 
 MODES = ("redact", "block", "warn", "off")
@@ -24,18 +25,15 @@ _FLAGS, _LINES, _HITS = "_vs_flags", "_vs_lines", "_vs_hits"
 def _matched_lines(rules: Sequence[Rule]) -> Column:
     """``(rule position, line)`` of every line a rule matches, rule by rule."""
     return F.flatten(F.array_compact(F.array(*[
-        F.when(
-            F.get(F.col(_FLAGS), F.lit(i)),
-            F.transform(matching_items(_LINES, detector(rule)), _at(i)),
+        F.expr(
+            f"CASE WHEN {_FLAGS}[{i}] THEN transform("
+            f"{matching_items_sql(_LINES, detector(rule))}, line -> struct({i} AS i, line AS line)"
+            ") END"
         )
         for i, rule in enumerate(rules)
     ])))
 
 
-def _at(i: int):
-    return lambda line: F.struct(F.lit(i).alias("i"), line.alias("line"))
-
-
 def _values_in(hit: Column, rules: Sequence[Rule]) -> Column:
     """All matches of the hit's rule in its line, in text order."""
     found = None
@@ -64,7 +62,7 @@ def find_sensitive(
         # a match inside one line is a match in the whole text, so this only
         # rules rows and rules out
         _FLAGS,
-        F.array(*[F.coalesce(text_matches(r, text, guards), F.lit(False)) for r in active]),
+        F.array(*[F.expr(f"coalesce({match_sql(r, text_col, guards)}, false)") for r in active]),
     )
     lined = flagged.withColumn(
         _LINES, F.when(F.array_contains(F.col(_FLAGS), True), split_lines(text))
@@ -89,9 +87,10 @@ def find_sensitive(
         *[rule_field(active, n, v.i).alias(n) for n in ("rule_id", "category", "severity")],
         v.m.alias("matched_text"),
     ))
-    return lined.withColumn(findings_col, findings).drop(
+    found = lined.withColumn(findings_col, findings).drop(
         _FLAGS, _LINES, _HITS, *guards.values()
     )
+    return computed_once(found, findings_col)
 
 
 def _replacements(findings: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..rules import SEVERITIES
+from ..session import written_once
 from .ordering import with_offsets
 from .scan import issue_rows
 
@@ -70,12 +71,19 @@ def number_issues(
     file_results: DataFrame,
     run_keys: Sequence[str] = RUN_KEYS,
     index_col: str = "file_idx",
+    written: bool = False,
 ) -> DataFrame:
-    """All issues of a run numbered from 1, by file order then rule order."""
-    with_issues = file_results.select(*run_keys, index_col, "issues").where(F.size("issues") > 0)
-    placed = with_offsets(
-        with_issues, run_keys, index_col, lambda df: F.size(df["issues"]), "_before"
-    )
+    """All issues of a run numbered from 1, by file order then rule order.
+
+    The rows with issues are written once first; ``written`` says that
+    ``file_results`` already is a stored table or checkpoint.
+    """
+    sized = file_results.select(
+        *run_keys, index_col, "issues", F.size("issues").alias("_size")
+    ).where(F.col("_size") > 0)
+    if not written:
+        sized = written_once(sized)
+    placed = with_offsets(sized, run_keys, index_col, "_size", "_before")
     return issue_rows(placed, *run_keys, index_col, "_before").select(
         *run_keys,
         (F.col("_before") + F.col("issue_pos") + 1).alias("issue_no"),

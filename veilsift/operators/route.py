@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.jsontext import parse_whole
 from ..functions.text import strip_code_fences
 from ..schemas import MODEL_RESULT
+from .once import computed_once
 from .scan import risk_of
 
 REVIEW = "review"
@@ -31,7 +32,8 @@ def parse_verdict(response: Column) -> Column:
 def latest_verdicts(verdicts: DataFrame) -> DataFrame:
     """One parsed reply per ``diff_hash``; copies collapse before the shuffle."""
     one = verdicts.groupBy("diff_hash").agg(F.min("response").alias("response"))
-    return one.select("diff_hash", parse_verdict(F.col("response")).alias("verdict"))
+    parsed = one.select("diff_hash", parse_verdict(F.col("response")).alias("verdict"))
+    return computed_once(parsed, "verdict")
 
 
 def merge_issues(local: Column, verdict_issues: Column) -> Column:

@@ -11,11 +11,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.paths import is_doc_file
-from ..functions.regex import any_literal, constant_array, matching_items, to_java
+from ..functions.regex import (
+    any_literal, constant_array, matching_items_sql, sql_text, to_java,
+)
 from ..functions.text import (
     added_lines, hint_text, is_example, secret_candidate, shannon_entropy,
 )
 from ..rules import DEFAULT_RULES, MAX_HINT_CHARS, Guard, Rule
+from .once import computed_once
 
 _LINES, _ADDED, _HITS, _DOC = "_vs_lines", "_vs_added", "_vs_hits", "_vs_doc"
 
@@ -43,12 +46,10 @@ def with_guards(
     return (df.withColumns(tests) if tests else df), names
 
 
-def text_matches(rule: Rule, text: Column, guards: dict[Guard, str]) -> Column:
-    """The rule's pattern occurs in the text."""
-    test = text.rlike(detector(rule))
-    if rule.guard in guards:
-        test = F.col(guards[rule.guard]) & test
-    return test
+def match_sql(rule: Rule, text_col: str, guards: dict[Guard, str]) -> str:
+    """SQL test that the rule's pattern occurs in a text column."""
+    test = f"`{text_col}` RLIKE {sql_text(detector(rule))}"
+    return f"({guards[rule.guard]} AND {test})" if rule.guard in guards else f"({test})"
 
 
 def low_entropy(rule_min: Column | float, secret: Column) -> Column:
@@ -56,15 +57,10 @@ def low_entropy(rule_min: Column | float, secret: Column) -> Column:
     return (secret != "") & (shannon_entropy(secret) < rule_min)
 
 
-def _applies(rule: Rule) -> Column:
+def _hit_sql(rule: Rule, guards: dict[Guard, str]) -> str:
     """Code-only rules pass over documentation files."""
-    return ~F.col(_DOC) if rule.skip_on_docs else F.lit(True)
-
-
-def _first_hint(rule: Rule) -> Column:
-    hits = matching_items(_LINES, detector(rule))
-    # no single line matches when the match spans lines: the hint is empty then
-    return hint_text(F.coalesce(F.get(hits, F.lit(0)), F.lit("")))
+    test = match_sql(rule, _ADDED, guards)
+    return f"NOT {_DOC} AND {test}" if rule.skip_on_docs else test
 
 
 def minimum_entropy(rules: Sequence[Rule], rule_pos: Column) -> Column:
@@ -116,11 +112,12 @@ def rule_hits(
         _with_added(df, diff_col, path_col, doc_col), F.col(_ADDED), rules
     )
     hits = F.array(*[
-        F.when(_applies(r) & text_matches(r, F.col(_ADDED), guards), F.lit(i))
-        for i, r in enumerate(rules)
+        F.expr(f"CASE WHEN {_hit_sql(r, guards)} THEN {i} END") for i, r in enumerate(rules)
     ])
+    found = added.withColumn(_HITS, F.filter(hits, lambda h: h.isNotNull()))
     return (
-        added.select(*keep, F.explode(F.filter(hits, lambda h: h.isNotNull())).alias("rule_idx"))
+        computed_once(found.select(*keep, _HITS), _HITS)
+        .select(*keep, F.explode(_HITS).alias("rule_idx"))
         .withColumn("rule_id", rule_field(rules, "rule_id", F.col("rule_idx")))
     )
 
@@ -143,15 +140,22 @@ def scan_rules(
         _with_added(df, diff_col, path_col, doc_col), F.col(_ADDED), rules if use_guards else ()
     )
     hits = F.array(*[
-        F.when(
-            _applies(rule) & text_matches(rule, F.col(_ADDED), guards),
-            F.struct(F.lit(i).alias("i"), _first_hint(rule).alias("hint")),
+        F.expr(
+            f"CASE WHEN {_hit_sql(rule, guards)} THEN struct({i} AS i, "
+            f"get({matching_items_sql(_LINES, detector(rule))}, 0) AS line) END"
         )
         for i, rule in enumerate(rules)
     ])
+    hinted = F.transform(
+        F.array_compact(F.col(_HITS)),
+        # no single line matches when the match spans lines: the hint is empty then
+        lambda h: F.struct(
+            h.i.alias("i"), hint_text(F.coalesce(h.line, F.lit(""))).alias("hint")
+        ),
+    )
     checked = F.filter(
         F.transform(
-            F.filter(F.col(_HITS), lambda h: h.isNotNull() & ~is_example(h.hint)),
+            F.filter(hinted, lambda h: ~is_example(h.hint)),
             lambda h: F.struct(
                 h.i.alias("i"), h.hint.alias("hint"), _secret_of(h, rules).alias("secret")
             ),
@@ -177,7 +181,7 @@ def scan_rules(
         .withColumn("issues", F.transform(checked, issue))
         .drop(_LINES, _ADDED, _HITS, _DOC, *guards.values())
     )
-    return scanned.withColumns({
+    return computed_once(scanned, "issues").withColumns({
         "overall_risk": risk_of(F.col("issues")),
         "summary": local_summary(F.col("issues")),
     })

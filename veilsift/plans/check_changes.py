@@ -7,13 +7,14 @@ bytes:
 2. The text of each *distinct* diff is scanned once: a map-side deduplication by
    hash collapses copies before the only shuffle that carries text. Cache lookup
    and verdict join reuse that hash partitioning.
-3. Everything after is narrow, and read from a checkpoint where the cluster names
-   a folder for it, so text is read twice in all. Files are first grouped by what
-   decides their result (run, hash, documentation or not, path risk), so a diff
-   copied into a third of all files is one row per run when results are attached.
+3. Everything after is narrow and read from a checkpoint, so text is read twice in
+   all. Files are first grouped by what decides their result (run, hash,
+   documentation or not, path risk), so a diff copied into a third of all files is
+   one row per run when results are attached.
 4. The per-file join back is the one place a hot key can meet many rows. Its
-   other side has one row per key, and nothing but a re-shuffled aggregate
-   follows, so adaptive skew handling can split it.
+   other side has one row per key, and the write that follows needs no
+   particular partitioning, so adaptive skew handling can split it.
+5. File results, without text, are written once; the outputs are views of them.
 """
 
 from __future__ import annotations
@@ -41,7 +42,7 @@ NOTHING_TO_SCAN = (
 
 @dataclass(frozen=True)
 class ChangeCheck:
-    """Lazy results of one check."""
+    """Results of one check, all read from one checkpoint."""
 
     file_results: DataFrame
     run_results: DataFrame
@@ -214,6 +215,7 @@ def check_changes(
             "_r.*",
         )
     )
+    file_results = written_once(file_results)
     visible = file_results.drop("_stores")
     stored = (
         file_results.where("_stores")
@@ -224,7 +226,7 @@ def check_changes(
     return ChangeCheck(
         file_results=visible,
         run_results=_run_results(files, visible, runs),
-        issues=number_issues(visible, runs),
+        issues=number_issues(visible, runs, written=True),
         new_cache_entries=cache_entries(stored),
     )
 

@@ -22,9 +22,12 @@ def scratch_root(spark: SparkSession) -> str:
 
 
 def written_once(df: DataFrame) -> DataFrame:
-    """A frame with several consumers, computed once where a checkpoint folder is set.
+    """A frame with several consumers, computed once and written to the checkpoint folder.
 
-    Without ``spark.checkpoint.dir`` the frame stays lazy and is computed per
-    consumer, which is right for small local runs.
+    Starts a job. The copy is a reliable checkpoint: consumers do not depend on the
+    executors that computed it, and its lineage is cut.
     """
-    return df.checkpoint() if df.sparkSession.conf.get("spark.checkpoint.dir", None) else df
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(scratch_root(df.sparkSession))
+    return df.checkpoint()

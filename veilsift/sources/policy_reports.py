@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.jsontext import parse_whole
+from ..operators.once import computed_once
 from ..schemas import POLICY_BODY, POLICY_REPORTS, REPORT_DATA
 
 TIMEOUT_SECONDS = 240
@@ -27,8 +28,8 @@ def report_envelopes(reports: DataFrame) -> DataFrame:
         F.min(F.struct("status_code", "body", "transport_error")).alias("_r")
     ).select("url", "_r.*")
     failed = F.col("transport_error").isNotNull()
-    parsed = one.withColumn(
-        "_b", F.when(~failed, parse_whole(F.trim("body"), POLICY_BODY))
+    parsed = computed_once(
+        one.withColumn("_b", F.when(~failed, parse_whole(F.trim("body"), POLICY_BODY))), "_b"
     )
     body = F.col("_b")
     readable = body.isNotNull()
