@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from veilsift.rules import (
     DEFAULT_RULES, DOC_SUFFIXES, EXAMPLE_ALLOWLIST, HIGH_RISK_PATHS, LATE_REDACTION_RULES,
-    LOW_RISK_PATHS, MAX_DIFF_CHARS, MAX_HINT_CHARS, SAFE_REFERENCES, SKIP_INFIX, SKIP_NAMES,
+    LOW_RISK_PATHS, MAX_DIFF_CHARS, MAX_HINT_CHARS, SAFE_REFERENCES, Rule, SKIP_INFIX, SKIP_NAMES,
     SKIP_SUFFIXES, TRUNCATION_MARKER,
 )
 
@@ -31,6 +31,19 @@ def rules_cte() -> str:
     )
 
 
+def _pattern(rule: Rule) -> str:
+    return quote(("(?i)" if rule.ignore_case else "") + rule.pattern)
+
+
+def _per_rule(select: str, source: str, test: str, only_redactable: bool = False) -> str:
+    """One branch per rule, so that each pattern is a constant; ``{p}`` is the pattern."""
+    return "\n  UNION ALL ".join(
+        f"SELECT {select.format(p=_pattern(r))}, {i} AS rule_idx FROM {source} "
+        f"WHERE {test.format(p=_pattern(r))}"
+        for i, r in enumerate(DEFAULT_RULES) if r.redactable or not only_redactable
+    )
+
+
 def trim(x: str) -> str:
     return f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
 
@@ -112,11 +125,13 @@ def issue_ctes(source: str, keys: str) -> str:
     k = ", ".join(f"a.{c.strip()}" for c in keys.split(","))
     return f"""{rules_cte()},
 {added_ctes(source)},
+matched AS (
+  {_per_rule(
+      k + ", a.file_path, a.is_doc, a.path_risk, "
+      "coalesce(list_filter(a.lines, lambda l: regexp_matches(l, {p}))[1], '') AS line",
+      "added a", "regexp_matches(a.added, {p})")}),
 hits AS (
-  SELECT {k}, a.file_path, a.is_doc, a.path_risk, r.*,
-         coalesce(list_filter(a.lines, lambda l: regexp_matches(l, r.pattern))[1], '') AS line
-  FROM added a, rules r
-  WHERE regexp_matches(a.added, r.pattern) AND NOT (a.is_doc AND r.skip_on_docs)),
+  SELECT * FROM matched JOIN rules USING (rule_idx) WHERE NOT (is_doc AND skip_on_docs)),
 hinted AS (
   SELECT *, {trim("regexp_replace(line, '^\\+', '')")} AS hint FROM hits),
 candidates AS (
@@ -157,12 +172,13 @@ def finding_ctes(source: str, keys: str, text: str, with_rules: bool = True) ->
 open_lines AS (
   SELECT * FROM text_lines WHERE NOT {is_safe('line')} AND NOT {is_example('line')}),
 matches AS (
-  SELECT l.*, r.*, regexp_extract_all(l.line, r.pattern, 0) AS found
-  FROM open_lines l, rules r WHERE r.redactable AND regexp_matches(l.line, r.pattern)),
+  {_per_rule(
+      "l.*, regexp_extract_all(l.line, {p}, 0) AS found", "open_lines l",
+      "regexp_matches(l.line, {p})", only_redactable=True)}),
 valued AS (
   SELECT * EXCLUDE (found), unnest(found) AS matched_text,
          generate_subscripts(found, 1) AS match_no
-  FROM matches),
+  FROM matches JOIN rules USING (rule_idx)),
 tested AS (
   SELECT *, {secret('matched_text')} AS secret FROM valued),
 findings AS (

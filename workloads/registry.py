@@ -138,10 +138,8 @@ def html_escaped(spark, sf_dir):
 
 # -- scan ----------------------------------------------------------------------
 
-@query(f"""WITH {DIFFS}, {Q.rules_cte()}, {Q.added_ctes('file_diffs')}
-SELECT r.rule_id, count(*) AS n_files FROM added a, rules r
-WHERE regexp_matches(a.added, r.pattern) AND NOT (a.is_doc AND r.skip_on_docs)
-GROUP BY r.rule_id""")
+@query(f"""WITH {ISSUES}
+SELECT rule_id, count(*) AS n_files FROM hits GROUP BY rule_id""")
 def rule_hits(spark, sf_dir):
     return O.rule_hits(V.file_diffs(spark, sf_dir)).groupBy("rule_id").agg(
         F.count(F.lit(1)).alias("n_files")
@@ -167,8 +165,8 @@ def file_risk(spark, sf_dir):
 
 RUN_SUMMARY_SQL = f"""WITH {ISSUES},
 runs AS (
-  SELECT {RUN}, count(*) AS n_files, sum(n_issues) AS n_issues, sum(n_high) AS n_high,
-         sum(n_medium) AS n_medium FROM file_results GROUP BY ALL)
+  SELECT {RUN}, count(*) AS n_files, CAST(sum(n_issues) AS BIGINT) AS n_issues,
+         CAST(sum(n_high) AS BIGINT) AS n_high, CAST(sum(n_medium) AS BIGINT) AS n_medium FROM file_results GROUP BY ALL)
 SELECT repo_id, commit_no, n_files, n_issues, n_high, n_medium,
        CASE WHEN n_high > 0 THEN 'HIGH' WHEN n_medium > 0 THEN 'MEDIUM' ELSE 'LOW' END
          AS overall_risk,
@@ -391,7 +389,7 @@ def _english_cache(spark, sf_dir) -> DataFrame:
 
 @query(f"""WITH {CUT_ISSUES}
 SELECT f.file_idx, {CACHED} AS hit, CASE WHEN {CACHED} THEN f.overall_risk END AS cached_risk,
-       CASE WHEN {CACHED} THEN f.n_issues END AS cached_issues
+       CASE WHEN {CACHED} THEN f.n_issues ELSE 0 END AS cached_issues
 FROM file_results f JOIN file_diffs d USING (file_idx)""")
 def cache_hits(spark, sf_dir):
     files = S.prepare_files(V.file_diffs(spark, sf_dir)).select("file_idx", "diff_hash")
@@ -399,7 +397,8 @@ def cache_hits(spark, sf_dir):
     return files.join(cache, "diff_hash", "left").select(
         "file_idx", F.col("result").isNotNull().alias("hit"),
         F.col("result.overall_risk").alias("cached_risk"),
-        F.when(F.col("result").isNotNull(), F.size("result.issues")).alias("cached_issues"),
+        F.when(F.col("result").isNotNull(), F.size("result.issues")).otherwise(0)
+        .alias("cached_issues"),
     )
 
 
@@ -657,10 +656,10 @@ envelopes AS (
 
 
 @query(f"""WITH {PKG}, {REPORTS}
-SELECT url, ok, status_code, error, raw_response, grade, score, summary FROM envelopes""")
+SELECT url, ok, CAST(status_code AS VARCHAR) AS status_code, error, raw_response, grade, score, summary FROM envelopes""")
 def policy_reports(spark, sf_dir):
     return S.report_envelopes(V.policy_reports(spark, sf_dir)).select(
-        "url", "ok", "status_code", "error", "raw_response", "report.grade", "report.score",
+        "url", "ok", F.col("status_code").cast("string"), "error", "raw_response", "report.grade", "report.score",
         "report.summary",
     )
 
@@ -673,14 +672,14 @@ SELECT s.manifest_id, s.name, s.privacy_policy_url, e.n IS NOT NULL AS report_av
             ELSE CAST(e.score AS VARCHAR) || '/100' END AS score_text,
        CASE WHEN e.kind IN (0, 1) THEN 'tracking: ' || (e.n % 6) || ', sharing: 1.5' ELSE '' END
          AS breakdown,
-       e.status_code AS http_status, e.error AS report_error,
+       CAST(e.status_code AS VARCHAR) AS http_status, e.error AS report_error,
        greatest(e.n_clauses - 5, 0) AS more_clauses
 FROM scored s LEFT JOIN envelopes e ON e.url = s.privacy_policy_url
 WHERE s.privacy_policy_url IS NOT NULL""")
 def report_display(spark, sf_dir):
     return _package_check(spark, sf_dir).reports.select(
         "manifest_id", "name", "privacy_policy_url", "report_available", "grade", "score_text",
-        "breakdown", "http_status", "report_error", "more_clauses",
+        "breakdown", F.col("http_status").cast("string"), "report_error", "more_clauses",
     )
 
 
