@@ -30,7 +30,7 @@ from ..operators.rollup import RUN_KEYS, number_issues, run_summary
 from ..operators.route import REVIEW, latest_verdicts, merge_issues, route
 from ..operators.scan import local_summary, risk_of, scan_rules
 from ..rules import DEFAULT_RULES, MAX_DIFF_CHARS, Rule
-from ..schemas import ISSUE
+from ..schemas import ISSUE, RESULT
 from ..session import written_once
 from ..sources.diffs import prepare_files
 from ..sources.scan_cache import cache_entries
@@ -88,11 +88,9 @@ def scan_distinct(
         _result(F.col("overall_risk"), F.col("summary"), F.col("issues")).alias("code"),
         _result(risk_of(doc_issues), local_summary(doc_issues), doc_issues).alias("doc"),
     )
+    none = F.lit(None).cast(RESULT)
     if verdicts is None:
-        empty = variants.schema["code"].dataType
-        variants = variants.withColumns({
-            "called": F.lit(False), "merged": F.lit(None).cast(empty),
-        })
+        variants = variants.withColumns({"called": F.lit(False), "merged": none})
     else:
         joined = variants.join(latest_verdicts(verdicts), "diff_hash", "left")
         issues = merge_issues(F.col("code.issues"), F.col("verdict.issues"))
@@ -104,20 +102,14 @@ def scan_distinct(
                 _result(risk_of(issues), F.col("verdict.summary"), issues),
             ).alias("merged"),
         )
+    variants = variants.withColumn("cached", none)
     if cache is None:
-        return variants.withColumn(
-            "cached", F.lit(None).cast(variants.schema["code"].dataType)
-        )
-    kind = variants.schema["code"].dataType
+        return variants
     hits = cache.select(
-        "diff_hash",
-        F.lit(None).cast(kind).alias("code"),
-        F.lit(None).cast(kind).alias("doc"),
-        F.lit(False).alias("called"),
-        F.lit(None).cast(kind).alias("merged"),
-        F.col("result").cast(kind).alias("cached"),
+        "diff_hash", none.alias("code"), none.alias("doc"), F.lit(False).alias("called"),
+        none.alias("merged"), F.col("result").alias("cached"),
     )
-    return variants.withColumn("cached", F.lit(None).cast(kind)).unionByName(hits)
+    return variants.unionByName(hits)
 
 
 def _own_result(groups: DataFrame, results: DataFrame) -> DataFrame:
