@@ -46,19 +46,17 @@ def secret_candidate(match: Column) -> Column:
 
 def shannon_entropy(text: Column) -> Column:
     """Bits per character over code points; 0 for empty text."""
-    n = F.length(text).cast("double")
-    return F.when(F.length(text) == 0, F.lit(0.0)).otherwise(
-        F.aggregate(
-            F.array_distinct(F.split(text, "")),
-            F.lit(0.0),
-            lambda acc, ch: acc - _plogp((n - F.length(F.replace(text, ch, F.lit("")))) / n),
-        )
+    n = F.length(text)
+    # each step binds its result as a lambda variable, so nothing is computed twice
+    counts = F.transform(
+        F.array_distinct(F.split(text, "")),
+        lambda ch: n - F.length(F.replace(text, ch, F.lit(""))),
+    )
+    shares = F.transform(counts, lambda c: c.cast("double") / n)
+    return F.aggregate(
+        # split may add an empty piece, whose share is 0
+        F.filter(shares, lambda p: p > 0), F.lit(0.0), lambda acc, p: acc - p * F.log2(p)
     )
-
-
-def _plogp(p: Column) -> Column:
-    # split(text, '') may yield an empty piece, whose share is 0
-    return F.when(p > 0, p * F.log2(p)).otherwise(F.lit(0.0))
 
 
 def is_example(line: Column) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from veilsift.functions import content_hash, cut_diff
 from veilsift.rules import DEFAULT_RULES
+from veilsift.session import spread_rows
 
 _PIECES = (
     # 0-42: one line per rule, in rule order
@@ -75,8 +76,12 @@ EXTENSIONS = (".ts", ".js", ".md", ".py", ".png", ".min.js", ".lock")
 CHANGES = ("A", "M", "R", "M", "C", "D", "T", "M", "X")
 
 
+TEXT_TABLES = ("documents", "conversations", "pages")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread_rows(df) if name in TEXT_TABLES else df
 
 
 def _pick(values: tuple[str, ...], key: Column) -> Column:
