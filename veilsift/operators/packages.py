@@ -2,8 +2,7 @@
 
 Scores come from a verdict table; nothing here invents one. Package names are
 skewed (a few names sit in most manifests), so every join side is reduced to one
-row per key first and no broadcast is forced: Spark broadcasts a side it knows
-to be small and otherwise splits hot keys adaptively.
+row per key first and joined with ``join_unique``.
 """
 
 from __future__ import annotations
@@ -15,6 +14,7 @@ from pyspark.sql import types as T
 from ..functions.jsontext import parse_whole
 from ..functions.text import plain_number, strip_code_fences
 from ..schemas import PACKAGE_VERDICT
+from .joins import join_unique
 from .once import computed_once
 
 UNSCORED = "UNSCORED"
@@ -48,7 +48,7 @@ def _given(value: Column) -> Column:
 def attach_reference(dependencies: DataFrame, reference: DataFrame) -> DataFrame:
     """Add the reference's entry for each dependency, matched by name."""
     known = reference.select("name", "category", "status", "privacy_url", "security_url")
-    return dependencies.join(known, "name", "left")
+    return join_unique(dependencies, known, "name")
 
 
 def package_results(
@@ -62,7 +62,7 @@ def package_results(
     keys = ["manifest_id", "name"] if "manifest_id" in verdicts.columns else ["name"]
     fields = ("score", "reason", "alternative", "regulation", "privacy_policy_url")
     judged = verdicts.groupBy(*keys).agg(F.min(F.struct(*fields)).alias("_v"))
-    joined = attach_reference(dependencies, reference).join(judged, keys, "left")
+    joined = join_unique(attach_reference(dependencies, reference), judged, keys)
     return joined.select(
         *dependencies.columns,
         F.coalesce("_v.score", F.lit(UNSCORED)).alias("score"),
@@ -87,7 +87,7 @@ def attach_reports(results: DataFrame, envelopes: DataFrame) -> DataFrame:
     url = F.col("privacy_policy_url")
     wanted = results.where(url.isNotNull() & (url != ""))
     rest = results.where(url.isNull() | (url == ""))
-    return wanted.join(side, "privacy_policy_url", "left").unionByName(
+    return join_unique(wanted, side, "privacy_policy_url").unionByName(
         rest.withColumn("privacy_report", F.lit(None).cast(kind))
     )
 

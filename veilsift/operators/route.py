@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.jsontext import parse_whole
 from ..functions.text import strip_code_fences
 from ..schemas import MODEL_RESULT
+from .joins import join_unique
 from .once import computed_once
 from .scan import risk_of
 
@@ -68,7 +69,7 @@ def merge_verdicts(scanned: DataFrame, verdicts: DataFrame) -> DataFrame:
     local result. Adds ``merged`` (reply used) and ``called`` (reply readable).
     """
     v = latest_verdicts(verdicts)
-    joined = scanned.join(v, "diff_hash", "left")
+    joined = join_unique(scanned, v, "diff_hash")
     reviewed = F.col("route") == REVIEW
     readable = reviewed & F.col("verdict").isNotNull()
     usable = readable & F.col("verdict.issues").isNotNull()

@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.paths import should_skip
+from ..operators.joins import join_unique
 from ..operators.rollup import RUN_KEYS, number_issues, run_summary
 from ..operators.route import REVIEW, latest_verdicts, merge_issues, route
 from ..operators.scan import local_summary, risk_of, scan_rules
@@ -114,13 +115,7 @@ def scan_distinct(
 
 def _own_result(groups: DataFrame, results: DataFrame) -> DataFrame:
     """Attach the result each group would get on its own, and whether it may be stored."""
-    # The second key repeats the first. It makes Spark shuffle the scanned results
-    # (no text in them) once more for this join, and with both sides coming straight
-    # from a shuffle, adaptive execution can split a diff that very many runs share.
-    prefix = F.substring("diff_hash", 1, 2)
-    joined = groups.withColumn("_prefix", prefix).join(
-        results.withColumn("_prefix", prefix), ["_prefix", "diff_hash"], "left"
-    ).drop("_prefix")
+    joined = join_unique(groups, results, "diff_hash")
     local = F.when(F.col("is_doc"), F.col("doc")).otherwise(F.col("code"))
     way = F.when(F.col("cached").isNotNull(), F.lit("cached")).otherwise(
         route(F.col("is_doc"), local["overall_risk"], F.col("path_risk"))
@@ -189,7 +184,7 @@ def check_changes(
         "_stored": F.min_by("own", storing).over(same_diff),
     }).drop("_first", "_storable")
 
-    per_file = narrow.join(decided, group, "left")
+    per_file = join_unique(narrow, decided, group)
     reused = F.coalesce(F.col("file_idx") > F.col("_stored_by.file_idx"), F.lit(False))
     file_results = (
         per_file.withColumn("_reused", reused)

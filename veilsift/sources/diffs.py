@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.paths import is_doc_file, path_risk, should_skip
 from ..functions.text import content_hash, cut_diff, is_blank
+from ..operators.joins import join_unique
 from ..rules import CHANGE_TYPES, MAX_DIFF_CHARS
 from ..schemas import FILE_DIFFS
 
@@ -33,7 +34,7 @@ def changed_files(df: DataFrame, run_keys: Sequence[str] = ("repo_id",)) -> Data
         .select(*run_keys, "_any_staged")
     )
     return (
-        kept.join(staged, list(run_keys), "left")
+        join_unique(kept, staged, run_keys)
         .where(F.col("is_staged") | F.col("_any_staged").isNull())
         .drop("_any_staged")
     )

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..operators.joins import join_unique
 from ..operators.scan import issue_rows, scan_rules
 from ..rules import DEFAULT_RULES, MAX_DIFF_CHARS, Rule, ruleset_version
 from ..sources.diffs import prepare_files
@@ -64,7 +65,7 @@ def start_cached_scan(
         spark = batch.sparkSession
         part = f"batch-{batch_id}"
         known = load_cache(spark, cache_path, version, skip_part=part).select("diff_hash")
-        fresh = batch.join(known, "diff_hash", "left_anti")
+        fresh = join_unique(batch, known, "diff_hash", "left_anti")
         target = f"{out_path}/batch={batch_id}"
         scan_rules(fresh, doc_col="is_doc", rules=rules).drop("diff").write.mode(
             "overwrite"
