@@ -99,3 +99,30 @@ def test_modes(spark, mode, expected):
     if mode == "redact":
         assert rows[0].outbound_rules == (
             "sk-key, credentials-in-url, pii-email, cred-generic-secret")
+
+
+def test_hostile_texts_are_linear_and_do_not_recurse(spark):
+    mail = "b" + "@c.de"
+    values = [
+        "12" + " Aaaa" * 20000 + " x",
+        "12" + " Aaaa" * 20000 + " Ave",
+        "a" * 60000 + " " + mail,
+        "ab." * 20000 + "@ x" + mail,
+        "1" * 100000,
+        'password="' + "😀a" * 30000,
+        " " * 100000 + ":=",
+    ]
+    rows = run(spark, values)
+    assert rows[0].findings == []
+    assert rows[1].redacted == "[REDACTED:pii-address]"
+    assert [f.matched_text for f in rows[2].findings] == [mail]
+    assert [f.matched_text for f in rows[3].findings] == ["x" + mail]
+
+
+def test_street_addresses(spark):
+    values = ["12 Main St Oak Ave Foo", "12 St Ave", "9 Oak Stone", "7 Ave", "12 Elm St-James x",
+              "123456 Elm Rd", "x12 Elm Rd", "12 Elm Rd 14 Oak Ct", "5 Maple  Grove\tLn, 6 A B Dr"]
+    for value, row in zip(values, run(spark, values)):
+        text, findings = model.redact(value)
+        assert (row.redacted, [(f.rule_id, f.matched_text) for f in row.findings]) == (
+            text, findings), value

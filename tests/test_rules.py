@@ -17,7 +17,7 @@ PIECES = [
     ":", "=", " = ", ":  ", " " * 10, '"', "'", "`", "//", "://", "http", "https", "@", ".com",
     "a.b", "console.log(", "console.warn (", ")", "user.email", "${", "}", "req.body.password",
     "req", "+1", "(415)", "415", "8675309", "-", "867-5309", "519-84-2277", "519842277", "10.1.2.3",
-    "192.168.0.1", "172.20.1.9", "999", "48.8, 2.35", "1,2", "742 Maple Ave", "12 Oak Tree St",
+    "192.168.0.1", "172.20.1.9", "12 ", " Oak", " St", " Ave", " Rd", " Stone", " Way", "St", "999", "48.8, 2.35", "1,2", "742 Maple Ave", "12 Oak Tree St",
     "AKIA", "ASIA", "Q7XM2LV9RT4KP8WN", "gh", "ghp_", "github_pat_", "Qz7Lm2Xv9Rt4Kp8Wn3Hd6Yb1",
     "sk-", "eyJ", "AIza", "sig=", "?", "&", "PO ", "contract #", "invoice", "purchase order",
     "TODO", "hack", "xxx", "FIXME", "confidential", "proprietary", "do not copy", "internal.",

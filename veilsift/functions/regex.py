@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 _SPACES = r"\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 _ANY = r"[^\n\r\u2028\u2029]"
-TRIM_ENDS = rf"^[{_SPACES}]+|[{_SPACES}]+\z"
+NOT_SPACE = f"[^{_SPACES}]"
 
 # Next to a piece that can only be a word character, a boundary needs one look.
 _NOT_WORD_BEHIND = r"(?<!\w)"

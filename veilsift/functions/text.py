@@ -6,16 +6,24 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..rules import EXAMPLE_ALLOWLIST, MAX_DIFF_CHARS, SAFE_REFERENCES, TRUNCATION_MARKER
-from .regex import TRIM_ENDS, quoted
+from .regex import NOT_SPACE, quoted
+
+
+# What the ECMAScript trim strips: the ASCII spaces and the Unicode ones.
+_TRIMMED = "".join(map(chr, (
+    *range(0x09, 0x0E), 0x20, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F,
+    0x205F, 0x3000, 0xFEFF,
+)))
 
 
 def trim_text(text: Column) -> Column:
-    """Strip every Unicode space at both ends (``trim`` strips U+0020 only)."""
-    return F.regexp_replace(text, TRIM_ENDS, "")
+    """Strip every Unicode space at both ends (plain ``trim`` strips U+0020 only)."""
+    return F.btrim(text, F.lit(_TRIMMED))
 
 
 def is_blank(text: Column) -> Column:
-    return F.coalesce(trim_text(text), F.lit("")) == ""
+    """Null, empty or spaces only; looks no further than the first other character."""
+    return ~F.coalesce(text.rlike(NOT_SPACE), F.lit(False))
 
 
 def split_lines(text: Column) -> Column:
@@ -48,15 +56,15 @@ def shannon_entropy(text: Column) -> Column:
     """Bits per character over code points; 0 for empty text."""
     n = F.length(text)
     # each step binds its result as a lambda variable, so nothing is computed twice
-    counts = F.transform(
-        F.array_distinct(F.split(text, "")),
-        lambda ch: n - F.length(F.replace(text, ch, F.lit(""))),
+    counts = F.filter(
+        F.transform(
+            F.array_distinct(F.split(text, "")),
+            lambda ch: n - F.length(F.replace(text, ch, F.lit(""))),
+        ),
+        lambda c: c > 0,  # empty text splits into one empty piece
     )
     shares = F.transform(counts, lambda c: c.cast("double") / n)
-    return F.aggregate(
-        # split may add an empty piece, whose share is 0
-        F.filter(shares, lambda p: p > 0), F.lit(0.0), lambda acc, p: acc - p * F.log2(p)
-    )
+    return F.aggregate(shares, F.lit(0.0), lambda acc, p: acc - p * F.log2(p))
 
 
 def is_example(line: Column) -> Column:

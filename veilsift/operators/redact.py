@@ -10,12 +10,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.regex import matching_items_sql, to_java
+from ..functions.regex import matching_items_sql
 from ..functions.text import is_example, is_safe_reference, secret_candidate, split_lines
 from ..rules import DEFAULT_RULES, LATE_REDACTION_RULES, Rule
 from .once import computed_once
 from .scan import (
-    detector, low_entropy, match_sql, minimum_entropy, rule_field, with_guards,
+    detector, low_entropy, match_sql, matcher, minimum_entropy, rule_field, with_guards,
 )
 
 MODES = ("redact", "block", "warn", "off")
@@ -38,8 +38,7 @@ def _values_in(hit: Column, rules: Sequence[Rule]) -> Column:
     """All matches of the hit's rule in its line, in text order."""
     found = None
     for i, rule in enumerate(rules):
-        pattern = F.lit(to_java(rule.pattern, rule.ignore_case))
-        matches = F.regexp_extract_all(hit.line, pattern, F.lit(0))
+        matches = F.regexp_extract_all(hit.line, F.lit(matcher(rule)), F.lit(0))
         found = F.when(hit.i == i, matches) if found is None else found.when(hit.i == i, matches)
     return found
 

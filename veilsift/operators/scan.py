@@ -25,7 +25,12 @@ _LINES, _ADDED, _HITS, _DOC = "_vs_lines", "_vs_added", "_vs_hits", "_vs_doc"
 
 def detector(rule: Rule) -> str:
     """The Java pattern that tells whether the rule matches somewhere."""
-    return to_java(rule.detect or rule.pattern, rule.ignore_case)
+    return to_java(rule.detect or rule.matcher or rule.pattern, rule.ignore_case)
+
+
+def matcher(rule: Rule) -> str:
+    """The Java pattern whose matches are the rule's matches."""
+    return to_java(rule.matcher or rule.pattern, rule.ignore_case)
 
 
 def with_guards(
@@ -80,7 +85,7 @@ def _secret_of(hit: Column, rules: Sequence[Rule]) -> Column:
     for i, rule in enumerate(rules):
         if rule.min_entropy is None:
             continue
-        match = F.regexp_extract(hit.hint, to_java(rule.pattern, rule.ignore_case), 0)
+        match = F.regexp_extract(hit.hint, matcher(rule), 0)
         test = hit.i == i
         secret = F.when(test, match) if secret is None else secret.when(test, match)
     return F.lit("") if secret is None else secret_candidate(F.coalesce(secret, F.lit("")))
