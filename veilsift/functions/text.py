@@ -104,8 +104,8 @@ def package_prompt(dependency_list: Column, reference: Column) -> Column:
     """Outbound text for scoring a dependency list against a reference document."""
     block = F.when(
         F.coalesce(reference, F.lit("")) == "",
-        F.lit("Complete packages_info.md content: File not found or empty."),
-    ).otherwise(F.concat(F.lit("Complete packages_info.md content:\n\n"), reference))
+        F.lit("Package reference: none."),
+    ).otherwise(F.concat(F.lit("Package reference:\n\n"), reference))
     return F.concat(
         block, F.lit("\n\nScore these npm packages for privacy risk:\n\n"), dependency_list
     )

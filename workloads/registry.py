@@ -7,7 +7,7 @@ of the check itself.
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -244,7 +244,7 @@ all_issues AS (
 
 def _merged(spark, sf_dir) -> DataFrame:
     files = V.file_diffs(spark, sf_dir)
-    replies = V.verdicts(spark, sf_dir, files, F.col("file_idx"))
+    replies = V.verdicts(files, F.col("file_idx"))
     # replies are keyed by the cut diff; key the scan the same way
     routed = _routed(spark, sf_dir).withColumn("diff_hash", content_hash(cut_diff(F.col("diff"))))
     return O.merge_verdicts(routed.drop("diff"), replies)
@@ -472,7 +472,7 @@ def _copy_verdicts(spark, sf_dir) -> DataFrame:
     lengths = V.table(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("file_idx"), F.length("text").alias("n")
     )
-    return V.verdicts(spark, sf_dir, files.join(lengths, "file_idx"), F.col("n"))
+    return V.verdicts(files.join(lengths, "file_idx"), F.col("n"))
 
 
 @query(f"""WITH {CHECK_SQL}
@@ -711,8 +711,8 @@ def _document_stream(spark, sf_dir) -> DataFrame:
 
 
 def _scratch(spark) -> str:
-    root = scratch_root(spark)
-    return tempfile.mkdtemp(prefix="stream-", dir=root) if root.startswith("/") else root
+    """A new folder of its own for each run."""
+    return f"{scratch_root(spark)}/stream-{uuid.uuid4().hex}"
 
 
 STREAM_SQL = f"""WITH {DIFFS},

@@ -141,7 +141,7 @@ def copied_diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
 NEW_ISSUE = "Free-text note kept without an expiry date."
 
 
-def verdicts(spark: SparkSession, sf_dir: str, diffs: DataFrame, key: Column) -> DataFrame:
+def verdicts(diffs: DataFrame, key: Column) -> DataFrame:
     """Reviewer replies for all diffs: plain JSON, fenced JSON, or cut-off JSON by key.
 
     Each names the issue text of one rule and one new issue.
