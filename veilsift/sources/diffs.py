@@ -52,7 +52,7 @@ def prepare_files(df: DataFrame, max_chars: int | None = MAX_DIFF_CHARS) -> Data
     """Triage, cut, drop blank diffs, hash; add ``is_doc`` and ``path_risk``.
 
     A ``diff_hash`` column already present is kept, so that narrow consumers do
-    not read the text again.
+    not read the text again; rows that carry one are taken as not blank.
     """
     path = F.col("file_path")
     out = df.where(~should_skip(path)).withColumn("diff", cut_diff(F.col("diff"), max_chars))
