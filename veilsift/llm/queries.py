@@ -9,7 +9,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, near_dup, token_counts, wavelet
+from . import bpe, chat, decontaminate, line_rules, near_dup, token_counts, wavelet
 
 Query = Callable[[SparkSession, str], DataFrame]
 ROOT = str(Path(__file__).resolve().parents[2])
@@ -37,8 +37,10 @@ def _registered(query: Query) -> Query:
 
 QUERIES: dict[str, Query] = {
     f.__name__: _registered(f) for f in (
-        bpe.op4_bpe, near_dup.op6_dart_minhash, wavelet.op8_wavelet_shards, token_counts.op9_token_counts,
+        chat.op1_chat_format, bpe.op4_bpe, line_rules.op5_line_rules, near_dup.op6_dart_minhash, wavelet.op8_wavelet_shards, token_counts.op9_token_counts,
         decontaminate.op10_string_tiling,
     )
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_chat_format": chat.OP1_SQL, "op5_line_rules": line_rules.OP5_SQL,
+}
