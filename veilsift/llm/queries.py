@@ -9,7 +9,9 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontaminate, line_rules, near_dup, token_counts, wavelet
+from . import (
+    bpe, chat, decontaminate, language_id, license_scan, line_rules, lm_score, near_dup, token_counts, wavelet,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 ROOT = str(Path(__file__).resolve().parents[2])
@@ -37,8 +39,9 @@ def _registered(query: Query) -> Query:
 
 QUERIES: dict[str, Query] = {
     f.__name__: _registered(f) for f in (
-        chat.op1_chat_format, bpe.op4_bpe, line_rules.op5_line_rules, near_dup.op6_dart_minhash, wavelet.op8_wavelet_shards, token_counts.op9_token_counts,
-        decontaminate.op10_string_tiling,
+        chat.op1_chat_format, lm_score.op2_lm_difference, language_id.op3_language_id, bpe.op4_bpe,
+        line_rules.op5_line_rules, near_dup.op6_dart_minhash, license_scan.op7_license_scan,
+        wavelet.op8_wavelet_shards, token_counts.op9_token_counts, decontaminate.op10_string_tiling,
     )
 }
 ORACLES: dict[str, str] = {
