@@ -18,7 +18,7 @@ FIT_ROWS = 120
 FIT_CHARS = 6000
 EPOCHS = 4
 UNKNOWN = "und"
-MIN_SCORE = 0.5
+MIN_SCORE = 0.4
 
 
 @dataclass

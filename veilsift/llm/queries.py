@@ -37,11 +37,18 @@ def _registered(query: Query) -> Query:
     return run
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus pipeline's rows."""
+    import corpus_pipeline  # at the top of the repository; it imports this package
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: _registered(f) for f in (
         chat.op1_chat_format, lm_score.op2_lm_difference, language_id.op3_language_id, bpe.op4_bpe,
         line_rules.op5_line_rules, near_dup.op6_dart_minhash, license_scan.op7_license_scan,
-        wavelet.op8_wavelet_shards, token_counts.op9_token_counts, decontaminate.op10_string_tiling,
+        wavelet.op8_wavelet_shards, token_counts.op9_token_counts, decontaminate.op10_string_tiling, pipeline,
     )
 }
 ORACLES: dict[str, str] = {
