@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import heapq
 import json
+import struct
 import unicodedata
 
 import numpy as np
@@ -18,11 +19,17 @@ from .bytelevel import PieceCache, SPACE, byte_alphabet, per_worker, pieces_with
 
 NEVER = 1 << 30
 SHORT_WORD = 256
+CACHED = 150_000
 
 #: How the vocabulary's texts split into words. A fixed value of the public vocabulary.
 WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^" + SPACE + r"\p{L}\p{N}]+")
 
 
+def packed_ids(ids: list[int]) -> bytes:
+    """Ids as little-endian unsigned 32-bit integers."""
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class WordBpe:
     """A lower-casing BPE vocabulary with word ends, read from its public file."""
 
@@ -44,8 +51,8 @@ class WordBpe:
         letters = byte_alphabet()
         self.inner = [vocab.get(c) for c in letters]
         self.last = [vocab.get(c + self.end) for c in letters]
-        self.words = PieceCache(lambda ws: [self.encode_word(w) for w in ws], 200_000)
-        self.pieces = PieceCache(lambda ps: [self.encode_piece(p) for p in ps])
+        self.words = PieceCache(lambda ws: [packed_ids(self.encode_word(w)) for w in ws], CACHED)
+        self.pieces = PieceCache(lambda ps: [self.encode_piece(p) for p in ps], CACHED)
 
     def symbols(self, word: str) -> list[int]:
         data = word.encode("utf-8")
@@ -107,15 +114,15 @@ class WordBpe:
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
         return WORD.findall(text.lower())
 
-    def encode_piece(self, piece: str) -> np.ndarray:
-        ids: list[int] = []
+    def encode_piece(self, piece: str) -> bytes:
+        ids: list[bytes] = []
         at = 0
-        for hit in self.cut.finditer(piece) if self.cut and "<|" in piece else ():
-            ids.extend(x for w in self.words(self.split(piece[at:hit.start()])) for x in w)
-            ids.append(self.special[hit[0]])
+        for hit in self.cut.finditer(piece) if self.cut else ():
+            ids.extend(self.words(self.split(piece[at:hit.start()])))
+            ids.append(packed_ids([self.special[hit[0]]]))
             at = hit.end()
-        ids.extend(x for w in self.words(self.split(piece[at:])) for x in w)
-        return np.array(ids, "<u4")
+        ids.extend(self.words(self.split(piece[at:] if at else piece)))
+        return b"".join(ids)
 
     def decode(self, ids: list[int]) -> str:
         """The tokens' strings with single spaces between; the vocabulary has no other decoder."""
@@ -148,8 +155,8 @@ def encode_bpe(
         def compute(texts: pa.Array) -> list[pa.Array]:
             pieces = pieces_without_space(texts)
             each = vocabulary.pieces(pieces.distinct)
-            sizes = np.fromiter(map(len, each), np.int64, len(each))
-            flat = np.concatenate(each) if each else np.empty(0, "<u4")
+            sizes = np.fromiter(map(len, each), np.int64, len(each)) // 4
+            flat = np.frombuffer(b"".join(each), "<u4")
             starts = np.cumsum(sizes) - sizes
             ids = gathered(flat, starts[pieces.codes], sizes[pieces.codes])
             counts = row_sums(sizes[pieces.codes], pieces.offsets)
