@@ -35,9 +35,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null and empty texts go. ``lang`` is set to the prediction where it was null.
     """
-    rows = identify_languages(docs, fit_on_documents(docs), runs=False)
-    clear = rows.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= MIN_SCORE))
-    return _same_columns(clear.withColumn("lang", F.coalesce("lang", "lang_pred")), docs)
+    rows = identify_languages(docs, fit_on_documents(docs), lang_col="_lang", score_col="_score")
+    clear = rows.where((F.col("_lang") != UNKNOWN) & (F.col("_score") >= MIN_SCORE))
+    return _same_columns(clear.withColumn("lang", F.coalesce("lang", "_lang")), docs)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

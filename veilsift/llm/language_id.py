@@ -134,7 +134,10 @@ def label_runs(model: Model, offsets: np.ndarray, each: np.ndarray) -> list[list
     return out
 
 
-def identify_languages(df: DataFrame, model: Model | None, text_col: str = "text", runs: bool = False) -> DataFrame:
+def identify_languages(
+    df: DataFrame, model: Model | None, text_col: str = "text", runs: bool = False,
+    lang_col: str = "lang_pred", score_col: str = "score",
+) -> DataFrame:
     """``df`` with ``lang_pred`` (string) and ``score`` (0 to 1), from the whole text.
 
     Forward-backward gives each word with a letter the chances of the labels; the text's
@@ -145,7 +148,7 @@ def identify_languages(df: DataFrame, model: Model | None, text_col: str = "text
     from: ``und``, score 0, no runs. Of equal languages the first by name wins. One narrow
     step, no shuffle; columns with the new names are replaced.
     """
-    fields = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
+    fields = [T.StructField(lang_col, T.StringType()), T.StructField(score_col, T.DoubleType())]
     fields += [T.StructField("lang_runs", RUNS)] * runs
     held = df.sparkSession.sparkContext.broadcast(model)
 

@@ -214,8 +214,7 @@ def op5_line_rules(spark, sf_dir):
 
 OP5_SQL = rf"""
 WITH docs AS (SELECT doc_id, source, coalesce(text, '') AS text FROM documents),
-words AS (SELECT doc_id, source, text, list_filter(regexp_split_to_array(text, '[ 	-
-]+'), lambda w: w <> '') AS ws FROM docs),
+words AS (SELECT doc_id, source, text, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda w: w <> '') AS ws FROM docs),
 windows AS (
   SELECT doc_id, i, ws[i] AS a, ws[i + 1] AS b, ws[i + 2] AS c
   FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 1, 1))) AS i FROM words)
@@ -227,8 +226,7 @@ cut AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line FROM
 lines AS (
   SELECT doc_id, source, line,
     trim(regexp_replace(lower(line), '[^\p{{L}}\p{{N}}]+', ' ', 'g')) AS form,
-    len(list_filter(regexp_split_to_array(line, '[ 	-
-]+'), lambda w: w <> '')) AS n
+    len(list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D]+'), lambda w: w <> '')) AS n
   FROM cut
 ),
 dups AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM lines WHERE n > 0 GROUP BY doc_id),
@@ -245,8 +243,7 @@ lost AS (
 ),
 rated AS (
   SELECT w.doc_id, len(w.ws) AS n_words,
-    length(regexp_replace(w.text, '[ 	-
-]+', '', 'g')) AS word_chars,
+    length(regexp_replace(w.text, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars,
     length(w.text) - length(translate(w.text, '{SYMBOLS}', '')) AS n_symbols,
     coalesce(d.n, 0) AS n_dup_lines, CAST(coalesce(r.n, 0) AS BIGINT) AS n_repeat_words,
     CAST(len(w.ws) - coalesce(l.n, 0) AS BIGINT) AS left_words

@@ -267,7 +267,8 @@ def near_duplicate_classes(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY,
     size: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, leaders: int = 1, growth: int = 8,
 ) -> DataFrame:
-    """Near-duplicate classes of all rows: ``doc_id``, ``text_key``, ``class_id``, ``class_size``.
+    """Near-duplicate classes of all rows: ``doc_id``, ``text_key``, ``class_id``, ``class_size``
+    and ``class_key``, which tells classes apart even where ids are repeated.
 
     Two texts are linked if the Jaccard similarity of their sets of ``size``-word shingles
     (lower case, split at white space) is at least ``similarity``; classes are the connected
@@ -368,13 +369,12 @@ def _labelled(signed: DataFrame, nodes: DataFrame, roots: DataFrame | None) -> D
         keys = join_unique(keys, roots, "node").withColumn("node", F.coalesce("root", "node"))
     rows = join_unique(signed.select("doc_id", "text_key", "_id"), keys.select("text_key", "node"), "text_key")
     # a row without words is its own class, told apart by its id
-    rows = rows.withColumn("_alone", F.when(F.col("node").isNull(), F.col("_id"))).fillna(-1, ["node"])
-    rows = rows.fillna("", ["_alone"])
-    classes = rows.groupBy("node", "_alone").agg(
-        F.min("doc_id").alias("class_id"), F.count("*").alias("class_size")
+    rows = rows.withColumn(
+        "class_key", F.coalesce(F.col("node").cast("string"), F.concat(F.lit("row "), "_id"))
     )
-    return join_unique(rows, classes, ["node", "_alone"], "inner").select(
-        "doc_id", "text_key", "class_id", "class_size"
+    classes = rows.groupBy("class_key").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
+    return join_unique(rows, classes, "class_key", "inner").select(
+        "doc_id", "text_key", "class_id", "class_size", "class_key"
     )
 
 
@@ -385,9 +385,9 @@ def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str =
     chosen row is repeated is settled by a count of equal rows.
     """
     classes = Scratch(df.sparkSession).kept(near_duplicate_classes(df, id_col, text_col, **options))
-    chosen = classes.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("doc_id", "class_id").agg(
-        F.min("text_key").alias("text_key"), F.count("*").alias("_copies")
-    )
+    equal = classes.groupBy("class_key", "doc_id", "text_key").agg(F.count("*").alias("_copies"))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key", "_copies"))
+    chosen = equal.groupBy("class_key").agg(least.alias("c")).select("c.doc_id", "c.text_key", "c._copies")
     names = df.columns
     keyed = df.select(
         F.struct(*[f"`{c}`" for c in names]).alias("_row"), _id_key(F.col(id_col)).alias("_id"),
