@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -7,8 +8,9 @@ from tests import model
 from tests.test_rules import texts
 from veilsift.functions.paths import is_doc_file, path_risk, should_skip
 from veilsift.functions.text import cut_diff
-from veilsift.operators.scan import issue_rows, rule_hits, scan_rules
-from veilsift.rules import DEFAULT_RULES, Rule
+from veilsift.functions.regex import to_java
+from veilsift.operators.scan import detector, issue_rows, rule_hits, scan_rules
+from veilsift.rules import DEFAULT_RULES, MAX_DIFF_CHARS, Rule
 from workloads.views import PLANTED
 
 
@@ -110,7 +112,7 @@ def test_issue_rows_order(spark):
 def test_cut(spark, n, cut):
     text = "x" * n
     got = spark.createDataFrame([(text,)], "d string").select(
-        cut_diff(F.col("d")).alias("a"), cut_diff(F.col("d"), None).alias("b")
+        cut_diff(F.col("d"), MAX_DIFF_CHARS).alias("a"), cut_diff(F.col("d")).alias("b")
     ).first()
     assert got.a == ("x" * 6000 + "\n...(truncated)" if cut else text)
     assert got.b == text
@@ -132,3 +134,32 @@ def test_paths(spark):
     ).collect():
         assert (r.s, r.d, r.r) == cases[r.p], r.p
         assert r.d == model.is_doc(r.p) and r.r == model.path_risk(r.p)
+
+
+PARTS = (
+    "console.log(", "console.info (", "email", "user.email", "user.", " token", ")", "(", "\n", "\r", " ", "x", "`",
+    "https://", "http://a", "/webhook/", "abcdefghijk", "\"", "TODO", " FIXME ", "todos", "password", "key",
+)
+SLOW_RULES = ("pii-in-log-field", "pii-in-log-user-field", "net-webhook-url", "biz-todo-sensitive")
+
+
+def test_detectors_find_what_the_plain_patterns_find(spark):
+    rng = random.Random(8)
+    rows = [("".join(rng.choice(PARTS) for _ in range(rng.randrange(1, 14))),) for _ in range(3000)]
+    rules = [r for r in DEFAULT_RULES if r.rule_id in SLOW_RULES]
+    assert all(r.detect for r in rules) and len(rules) == len(SLOW_RULES)
+    found = spark.createDataFrame(rows, "t string").select("t", *[
+        F.col("t").rlike(p(r)).alias(f"{r.rule_id}{k}") for r in rules
+        for k, p in enumerate((detector, lambda r: to_java(r.pattern, r.ignore_case)))
+    ]).collect()
+    for r in rules:
+        assert [x[f"{r.rule_id}0"] for x in found] == [x[f"{r.rule_id}1"] for x in found], r.rule_id
+        assert 10 < sum(x[f"{r.rule_id}0"] for x in found) < 2900
+
+
+@pytest.mark.parametrize("piece", ["console.log(a ", "https://x", "TODO ", "console.log(user."])
+def test_hostile_texts_take_linear_time(spark, piece):
+    text = "+" + piece * (1_000_000 // len(piece))
+    start = time.perf_counter()
+    rows = scan_rules(spark.createDataFrame([("a.ts", text)], "file_path string, diff string")).collect()
+    assert rows[0].issues == [] and time.perf_counter() - start < 30

@@ -32,7 +32,10 @@ def test_cached_scan_skips_known_diffs(spark, tmp_path):
     start_cached_scan(source(spark, folder), cache, out, state).awaitTermination()
     rows = spark.read.parquet(out).collect()
     # 10 repeats a stored diff; 12 repeats one that was LOW and so is scanned again
-    assert sorted(r.file_idx for r in rows) == [0, 1, 2, 11, 12]
+    assert sorted(r.file_idx for r in rows) == [0, 1, 2, 10, 11, 12]
+    by_file = {r.file_idx: r for r in rows}
+    assert [k for k, r in by_file.items() if r.from_cache] == [10]
+    assert by_file[10].overall_risk == by_file[0].overall_risk and by_file[10].issues == by_file[0].issues
     assert load_cache(spark, cache).count() == 3
     # a retry of the second batch does not see its own entries
     assert load_cache(spark, cache, skip_part="batch-1").count() == 2

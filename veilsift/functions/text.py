@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..rules import EXAMPLE_ALLOWLIST, MAX_DIFF_CHARS, SAFE_REFERENCES, TRUNCATION_MARKER
+from ..rules import EXAMPLE_ALLOWLIST, SAFE_REFERENCES, TRUNCATION_MARKER
 from .regex import NOT_SPACE, quoted
 
 
@@ -81,8 +81,8 @@ def content_hash(diff: Column) -> Column:
     return F.sha2(diff, 256)
 
 
-def cut_diff(diff: Column, max_chars: int | None = MAX_DIFF_CHARS) -> Column:
-    """Bound a diff to ``max_chars`` with a marker; ``None`` keeps it whole."""
+def cut_diff(diff: Column, max_chars: int | None = None) -> Column:
+    """Bound a diff to ``max_chars`` with a marker; by default it stays whole."""
     if max_chars is None:
         return diff
     return F.when(

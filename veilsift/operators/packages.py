@@ -51,45 +51,99 @@ def attach_reference(dependencies: DataFrame, reference: DataFrame) -> DataFrame
     return join_unique(dependencies, known, "name")
 
 
+FIELDS = ("score", "reason", "alternative", "regulation", "privacy_policy_url")
+
+
+def _with_version(verdicts: DataFrame) -> DataFrame:
+    if "version" in verdicts.columns:
+        return verdicts
+    return verdicts.withColumn("version", F.lit(None).cast("string"))
+
+
+def _judged(verdicts: DataFrame, keys: list[str]) -> DataFrame:
+    """One verdict per key and version; of several the most severe."""
+    order = F.struct(score_rank(F.col("score")).alias("rank"), F.struct(*FIELDS).alias("fields"))
+    return _with_version(verdicts).groupBy(*keys, "version").agg(F.min(order).alias("_v")).select(
+        *keys, "version", "_v.rank", "_v.fields"
+    )
+
+
+def _by_key(judged: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
+    """One row per key: the verdict of each version, and the most severe for all others."""
+    result = F.struct(*fields)
+    known = F.col("version").isNotNull()
+    return judged.groupBy(*keys).agg(
+        F.map_from_entries(
+            F.collect_list(F.when(known, F.struct(F.col("version"), result.alias("result"))))
+        ).alias("_versions"),
+        F.min_by(result, F.struct("rank", "version")).alias("_any"),
+    )
+
+
+def _chosen() -> Column:
+    return F.coalesce(F.col("_versions")[F.col("version")], F.col("_any"))
+
+
 def package_results(
-    dependencies: DataFrame, reference: DataFrame, verdicts: DataFrame
+    dependencies: DataFrame, reference: DataFrame, verdicts: DataFrame,
+    envelopes: DataFrame | None = None,
 ) -> DataFrame:
-    """Score, reason and policy URL per dependency.
+    """Score, reason and policy URL per dependency, and its policy report if ``envelopes`` are given.
+
+    A verdict for the dependency's own version counts; without one, the most severe of the
+    package's verdicts does, so a risk is never hidden. The reference's URL comes first,
+    then the verdict's. ``verdicts`` may carry ``manifest_id``, and then counts for that
+    manifest only.
 
-    ``verdicts`` has one row per ``name``, or per ``(manifest_id, name)`` when it
-    carries ``manifest_id``. The reference's URL comes first, then the verdict's.
+    Reference, verdicts and reports meet per package, where all are small; the
+    dependencies, a fact table, are joined once.
     """
-    keys = ["manifest_id", "name"] if "manifest_id" in verdicts.columns else ["name"]
-    fields = ("score", "reason", "alternative", "regulation", "privacy_policy_url")
-    judged = verdicts.groupBy(*keys).agg(F.min(F.struct(*fields)).alias("_v"))
-    joined = join_unique(attach_reference(dependencies, reference), judged, keys)
+    if "manifest_id" in verdicts.columns:
+        return _results_per_manifest(dependencies, reference, verdicts, envelopes)
+    known = reference.select("name", "privacy_url")
+    judged = known.join(_judged(verdicts, ["name"]), "name", "full").select(
+        "name", "version", F.coalesce("rank", F.lit(len(SCORE_ORDER))).alias("rank"),
+        F.coalesce("fields.score", F.lit(UNSCORED)).alias("score"),
+        *[F.col(f"fields.{c}").alias(c) for c in FIELDS[1:-1]],
+        F.coalesce(_given(F.col("privacy_url")), _given(F.col("fields.privacy_policy_url")))
+        .alias("privacy_policy_url"),
+    )
+    fields = list(FIELDS)
+    if envelopes is not None:
+        judged = attach_reports(judged, envelopes)
+        fields.append("privacy_report")
+    packages = _by_key(judged, ["name"], fields)
+    joined = join_unique(dependencies, packages, "name").withColumn("_r", _chosen())
     return joined.select(
-        *dependencies.columns,
-        F.coalesce("_v.score", F.lit(UNSCORED)).alias("score"),
-        F.col("_v.reason").alias("reason"),
-        F.col("_v.alternative").alias("alternative"),
-        F.col("_v.regulation").alias("regulation"),
-        F.coalesce(_given(F.col("privacy_url")), _given(F.col("_v.privacy_policy_url")))
+        *dependencies.columns, F.coalesce("_r.score", F.lit(UNSCORED)).alias("score"),
+        *[F.col(f"_r.{c}").alias(c) for c in fields[1:]],
+    )
+
+
+def _results_per_manifest(dependencies, reference, verdicts, envelopes):
+    keys = ["manifest_id", "name"]
+    judged = _by_key(_judged(verdicts, keys).select(*keys, "version", "rank", "fields.*"), keys, list(FIELDS))
+    joined = join_unique(attach_reference(dependencies, reference), judged, keys).withColumn("_r", _chosen())
+    results = joined.select(
+        *dependencies.columns, F.coalesce("_r.score", F.lit(UNSCORED)).alias("score"),
+        *[F.col(f"_r.{c}").alias(c) for c in FIELDS[1:-1]],
+        F.coalesce(_given(F.col("privacy_url")), _given(F.col("_r.privacy_policy_url")))
         .alias("privacy_policy_url"),
     )
+    return results if envelopes is None else attach_reports(results, envelopes)
 
 
 def attach_reports(results: DataFrame, envelopes: DataFrame) -> DataFrame:
     """Add the policy report of each result that has a URL; null elsewhere.
 
-    Results without a URL bypass the join, so they do not pile up on a null key.
+    Results without a URL match nothing and are spread over many keys of their own, so
+    that they do not pile up on a null key.
     """
     fields = [c for c in envelopes.columns if c != "url"]
-    side = envelopes.select(
-        F.col("url").alias("privacy_policy_url"), F.struct(*fields).alias("privacy_report")
-    )
-    kind = side.schema["privacy_report"].dataType
-    url = F.col("privacy_policy_url")
-    wanted = results.where(url.isNotNull() & (url != ""))
-    rest = results.where(url.isNull() | (url == ""))
-    return join_unique(wanted, side, "privacy_policy_url").unionByName(
-        rest.withColumn("privacy_report", F.lit(None).cast(kind))
-    )
+    side = envelopes.select(F.col("url").alias("_url"), F.struct(*fields).alias("privacy_report"))
+    spread = F.concat(F.lit("\0"), F.pmod(F.xxhash64(*results.columns), F.lit(1024)).cast("string"))
+    keyed = results.withColumn("_url", F.coalesce(_given(F.col("privacy_policy_url")), spread))
+    return join_unique(keyed, side, "_url").drop("_url")
 
 
 def score_counts(results: DataFrame, *keys: str) -> DataFrame:
@@ -114,8 +168,11 @@ def clause_text(clause: Column) -> Column:
     return F.coalesce(clause["plain_insight"], clause["summary"], clause["text"], F.lit(""))
 
 
-def report_display(results: DataFrame) -> DataFrame:
-    """Display fields of every result that has a policy URL or a report."""
+def report_display(results: DataFrame, top_clauses: int | None = TOP_CLAUSES) -> DataFrame:
+    """Display fields of every result that has a policy URL or a report.
+
+    The display shows the first ``top_clauses`` clauses; ``None`` shows all.
+    """
     rpt = F.col("privacy_report")
     data = rpt["report"]
     clauses = data["clauses"]
@@ -141,14 +198,14 @@ def report_display(results: DataFrame) -> DataFrame:
         "http_status": rpt["status_code"],
         "report_error": rpt["error"],
         "top_clauses": F.transform(
-            F.slice(clauses, 1, TOP_CLAUSES),
+            clauses if top_clauses is None else F.slice(clauses, 1, top_clauses),
             lambda c: F.struct(
                 clause_label(c).alias("label"),
                 clause_text(c).alias("text"),
                 c["fine_label"].alias("fine_label"),
             ),
         ),
-        "more_clauses": F.greatest(n_clauses - TOP_CLAUSES, F.lit(0)),
+        "more_clauses": F.lit(0) if top_clauses is None else F.greatest(n_clauses - top_clauses, F.lit(0)),
     }).drop("privacy_report")
 
 

@@ -31,10 +31,19 @@ def parse_verdict(response: Column) -> Column:
 
 
 def latest_verdicts(verdicts: DataFrame) -> DataFrame:
-    """One parsed reply per ``diff_hash``; copies collapse before the shuffle."""
-    one = verdicts.groupBy("diff_hash").agg(F.min("response").alias("response"))
-    parsed = one.select("diff_hash", parse_verdict(F.col("response")).alias("verdict"))
-    return computed_once(parsed, "verdict")
+    """One parsed reply per ``diff_hash``: a usable one (with issues) before one that is only
+    readable, then the newest by ``arrived_at`` where the table has it, then by text.
+
+    Partial aggregation leaves one reply per hash and task before the shuffle.
+    """
+    newest = F.col("arrived_at") if "arrived_at" in verdicts.columns else F.lit(0)
+    parsed = computed_once(
+        verdicts.withColumn("verdict", parse_verdict(F.col("response"))), "verdict"
+    )
+    rank = F.when(F.col("verdict.issues").isNotNull(), 2).when(F.col("verdict").isNotNull(), 1).otherwise(0)
+    return parsed.groupBy("diff_hash").agg(
+        F.max_by("verdict", F.struct(rank.alias("rank"), newest.alias("at"), "response")).alias("verdict")
+    )
 
 
 def merge_issues(local: Column, verdict_issues: Column) -> Column:

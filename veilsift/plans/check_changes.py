@@ -3,7 +3,7 @@
 Data flow, with the text column followed closely because it is nearly all the
 bytes:
 
-1. Files are triaged, cut and hashed where they are read.
+1. Files are triaged and hashed where they are read.
 2. The text of each *distinct* diff is scanned once: a map-side deduplication by
    hash collapses copies before the only shuffle that carries text. Cache lookup
    and verdict join reuse that hash partitioning.
@@ -30,7 +30,7 @@ from ..operators.joins import join_unique
 from ..operators.rollup import RUN_KEYS, number_issues, run_summary
 from ..operators.route import REVIEW, latest_verdicts, merge_issues, route
 from ..operators.scan import local_summary, risk_of, scan_rules
-from ..rules import DEFAULT_RULES, MAX_DIFF_CHARS, Rule
+from ..rules import DEFAULT_RULES, Rule, ruleset_version
 from ..schemas import ISSUE, RESULT
 from ..session import written_once
 from ..sources.diffs import prepare_files
@@ -155,7 +155,7 @@ def check_changes(
     verdicts: DataFrame | None = None,
     run_keys: Sequence[str] = RUN_KEYS,
     rules: Sequence[Rule] = DEFAULT_RULES,
-    max_chars: int | None = MAX_DIFF_CHARS,
+    max_chars: int | None = None,
 ) -> ChangeCheck:
     """Check changed files (run keys, ``file_idx``, ``file_path``, ``diff``).
 
@@ -214,7 +214,7 @@ def check_changes(
         file_results=visible,
         run_results=_run_results(files, visible, runs),
         issues=number_issues(visible, runs, written=True),
-        new_cache_entries=cache_entries(stored),
+        new_cache_entries=cache_entries(stored, ruleset_version(tuple(rules))),
     )
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import package_prompt
-from ..operators.packages import attach_reports, package_results, report_display, score_counts
+from ..operators.packages import package_results, report_display, score_counts
 from ..sources.manifests import dependency_lists, manifest_dependencies
 from ..sources.package_reference import unique_reference
 from ..sources.policy_reports import report_envelopes
@@ -31,15 +31,11 @@ def check_packages(
     policy_reports: DataFrame,
 ) -> PackageCheck:
     """Score every dependency of every manifest and attach policy reports."""
-    results = attach_reports(
-        package_results(
-            manifest_dependencies(manifests), unique_reference(reference), verdicts
-        ),
-        report_envelopes(policy_reports),
-    )
+    dependencies, known = manifest_dependencies(manifests), unique_reference(reference)
+    results = package_results(dependencies, known, verdicts, report_envelopes(policy_reports))
     return PackageCheck(
         results=results,
-        counts=score_counts(results, "manifest_id"),
+        counts=score_counts(package_results(dependencies, known, verdicts), "manifest_id"),
         reports=report_display(results),
         empty_manifests=dependency_lists(manifests).where("n_dependencies = 0"),
     )

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.paths import is_doc_file, path_risk, should_skip
 from ..functions.text import content_hash, cut_diff, is_blank
 from ..operators.joins import join_unique
-from ..rules import CHANGE_TYPES, MAX_DIFF_CHARS
+from ..rules import CHANGE_TYPES
 from ..schemas import FILE_DIFFS
 
 
@@ -48,7 +48,7 @@ def pick_diff(df: DataFrame, staged_col: str, head_col: str, out_col: str = "dif
     )
 
 
-def prepare_files(df: DataFrame, max_chars: int | None = MAX_DIFF_CHARS) -> DataFrame:
+def prepare_files(df: DataFrame, max_chars: int | None = None) -> DataFrame:
     """Triage, cut, drop blank diffs, hash; add ``is_doc`` and ``path_risk``.
 
     A ``diff_hash`` column already present is kept, so that narrow consumers do

@@ -20,17 +20,26 @@ def read_policy_reports(spark: SparkSession, path: str, fmt: str = "json") -> Da
 def report_envelopes(reports: DataFrame) -> DataFrame:
     """One envelope per URL: ``ok``, ``status_code``, ``error``, ``raw_response``, ``report``.
 
+    Of several answers for a URL, one with status 200 and a readable body comes first, then
+    any answer before none, then the newest by ``fetched_at`` where the table has it.
+
     Fields of the same name inside the body win over the envelope's own.
     ``report`` is the body's ``data`` object when it has one, else the body's own
     fields; bodies are parsed once per URL, before any join.
     """
-    one = reports.groupBy("url").agg(
-        F.min(F.struct("status_code", "body", "transport_error")).alias("_r")
-    ).select("url", "_r.*")
     failed = F.col("transport_error").isNotNull()
-    parsed = computed_once(
-        one.withColumn("_b", F.when(~failed, parse_whole(F.trim("body"), POLICY_BODY))), "_b"
+    newest = F.col("fetched_at") if "fetched_at" in reports.columns else F.lit(0)
+    read = computed_once(
+        reports.withColumn("_b", F.when(~failed, parse_whole(F.trim("body"), POLICY_BODY))), "_b"
     )
+    rank = F.when(F.col("_b").isNotNull() & (F.col("status_code") == 200), 2).when(failed, 0).otherwise(1)
+    answer = F.struct("status_code", "body", "transport_error")
+    parsed = read.groupBy("url").agg(
+        F.max_by(
+            F.struct("status_code", "body", "transport_error", "_b"),
+            F.struct(rank.alias("rank"), newest.alias("at"), answer.alias("answer")),
+        ).alias("_r")
+    ).select("url", "_r.*")
     body = F.col("_b")
     readable = body.isNotNull()
     fine = readable & (F.col("status_code") == 200)

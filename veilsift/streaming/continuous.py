@@ -10,7 +10,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.joins import join_unique
 from ..operators.scan import issue_rows, scan_rules
-from ..rules import DEFAULT_RULES, MAX_DIFF_CHARS, Rule, ruleset_version
+from ..rules import DEFAULT_RULES, Rule, ruleset_version
+from ..schemas import RESULT
 from ..sources.diffs import prepare_files
 from ..sources.scan_cache import append_cache, cache_entries, load_cache
 
@@ -18,7 +19,7 @@ from ..sources.scan_cache import append_cache, cache_entries, load_cache
 def scan_stream(
     files: DataFrame,
     rules: Sequence[Rule] = DEFAULT_RULES,
-    max_chars: int | None = MAX_DIFF_CHARS,
+    max_chars: int | None = None,
 ) -> DataFrame:
     """Triage and scan a streaming ``file_diffs`` frame; stateless and row-local."""
     return scan_rules(prepare_files(files, max_chars), doc_col="is_doc", rules=rules)
@@ -48,15 +49,17 @@ def start_cached_scan(
     out_path: str,
     checkpoint_path: str,
     rules: Sequence[Rule] = DEFAULT_RULES,
-    max_chars: int | None = MAX_DIFF_CHARS,
+    max_chars: int | None = None,
     **trigger,
 ) -> StreamingQuery:
-    """Scan arriving diffs that the cache does not hold yet; store results and entries.
+    """Give every arriving file a result; scan diffs that the cache does not hold yet.
 
-    Each micro-batch anti-joins the cache table, so a diff with a stored result is
-    scanned once over all batches. A retried batch replaces its own output folder
-    and its own part of the cache, and does not look at that part, so a retry
-    gives what the first try would have given.
+    Each micro-batch is joined to the cache table once, so a diff with a stored result
+    is not scanned again: its file gets the stored result and ``from_cache``. Of files
+    with one diff in a batch, that of a code file is stored before that of documentation,
+    then that of the first path. A retried batch replaces its own output folder and its
+    own part of the cache, and does not look at that part, so a retry gives what the
+    first try would have given.
     """
     version = ruleset_version(tuple(rules))
     prepared = prepare_files(files, max_chars)
@@ -64,15 +67,26 @@ def start_cached_scan(
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         part = f"batch-{batch_id}"
-        known = load_cache(spark, cache_path, version, skip_part=part).select("diff_hash")
-        fresh = join_unique(batch, known, "diff_hash", "left_anti")
+        known = load_cache(spark, cache_path, version, skip_part=part).select(
+            "diff_hash", F.col("result").alias("_known")
+        )
+        met = join_unique(batch, known, "diff_hash")
+        hit = F.col("_known").isNotNull()
+        # a text with a stored result is not looked at
+        scanned = scan_rules(
+            met.withColumn("diff", F.when(~hit, F.col("diff")).otherwise("")), doc_col="is_doc", rules=rules
+        )
         target = f"{out_path}/batch={batch_id}"
-        scan_rules(fresh, doc_col="is_doc", rules=rules).drop("diff").write.mode(
-            "overwrite"
-        ).parquet(target)
+        scanned.withColumns({
+            **{c: F.when(hit, F.col(f"_known.{c}")).otherwise(F.col(c)) for c in RESULT.names},
+            "from_cache": hit,
+        }).drop("diff", "_known").write.mode("overwrite").parquet(target)
         # the written rows, so that the scan is not run a second time
-        results = spark.read.parquet(target).dropDuplicates(["diff_hash"])
-        append_cache(cache_entries(results, version), cache_path, part)
+        fresh = spark.read.parquet(target).where("not from_cache")
+        stored = fresh.groupBy("diff_hash").agg(
+            F.min_by(F.struct(*RESULT.names), F.struct("is_doc", "file_path")).alias("_r")
+        ).select("diff_hash", "_r.*")
+        append_cache(cache_entries(stored, version), cache_path, part)
 
     return (
         prepared.writeStream.foreachBatch(run)

@@ -1,8 +1,7 @@
 """All registered queries with their SQL twins.
 
-Every query runs over its whole tables. Text is scanned whole, except in the
-queries that run the complete change check, where the 6000-character cut is part
-of the check itself.
+Every query runs over its whole tables and whole texts; ``diff_hash_truncate``
+shows the cut that a caller may ask for.
 """
 
 from __future__ import annotations
@@ -20,7 +19,8 @@ from veilsift.functions import (
     path_risk, shannon_entropy, should_skip,
 )
 from veilsift.plans import check_changes, check_packages, review_requests
-from veilsift.rules import DEFAULT_RULES
+from veilsift.rules import DEFAULT_RULES, MAX_DIFF_CHARS, ruleset_version
+from veilsift.operators.joins import join_unique
 from veilsift.operators.packages import clause_rows
 from veilsift.operators.scan import rule_field
 from veilsift.session import scratch_root
@@ -91,7 +91,7 @@ def changed_files(spark, sf_dir):
 cut AS (SELECT file_idx, {Q.cut('diff')} AS diff FROM file_diffs)
 SELECT file_idx, sha256(diff) AS diff_hash, length(diff) AS n_chars FROM cut""")
 def diff_hash_truncate(spark, sf_dir):
-    diff = cut_diff(F.col("diff"))
+    diff = cut_diff(F.col("diff"), MAX_DIFF_CHARS)
     return V.file_diffs(spark, sf_dir).select(
         "file_idx", content_hash(diff).alias("diff_hash"), F.length(diff).alias("n_chars")
     )
@@ -245,8 +245,7 @@ all_issues AS (
 def _merged(spark, sf_dir) -> DataFrame:
     files = V.file_diffs(spark, sf_dir)
     replies = V.verdicts(files, F.col("file_idx"))
-    # replies are keyed by the cut diff; key the scan the same way
-    routed = _routed(spark, sf_dir).withColumn("diff_hash", content_hash(cut_diff(F.col("diff"))))
+    routed = _routed(spark, sf_dir).withColumn("diff_hash", content_hash(F.col("diff")))
     return O.merge_verdicts(routed.drop("diff"), replies)
 
 
@@ -373,10 +372,10 @@ def review_request_texts(spark, sf_dir):
 
 # -- cache and complete change check -------------------------------------------
 
-CUT_ISSUES = f"""{DIFFS},
-cut_diffs AS (SELECT * REPLACE ({Q.cut('diff')} AS diff) FROM file_diffs
+KEPT_ISSUES = f"""{DIFFS},
+kept_diffs AS (SELECT * FROM file_diffs
   WHERE NOT {Q.should_skip('file_path')}),
-{Q.issue_ctes('cut_diffs', 'file_idx')}"""
+{Q.issue_ctes('kept_diffs', 'file_idx')}"""
 CACHED = "lang = 'en' AND f.overall_risk <> 'LOW'"
 
 
@@ -387,14 +386,14 @@ def _english_cache(spark, sf_dir) -> DataFrame:
     return latest_entries(S.cache_entries(scanned))
 
 
-@query(f"""WITH {CUT_ISSUES}
+@query(f"""WITH {KEPT_ISSUES}
 SELECT f.file_idx, {CACHED} AS hit, CASE WHEN {CACHED} THEN f.overall_risk END AS cached_risk,
        CASE WHEN {CACHED} THEN f.n_issues ELSE 0 END AS cached_issues
 FROM file_results f JOIN file_diffs d USING (file_idx)""")
 def cache_hits(spark, sf_dir):
     files = S.prepare_files(V.file_diffs(spark, sf_dir)).select("file_idx", "diff_hash")
     cache = _english_cache(spark, sf_dir)
-    return files.join(cache, "diff_hash", "left").select(
+    return join_unique(files, cache, "diff_hash").select(
         "file_idx", F.col("result").isNotNull().alias("hit"),
         F.col("result.overall_risk").alias("cached_risk"),
         F.when(F.col("result").isNotNull(), F.size("result.issues")).otherwise(0)
@@ -402,7 +401,7 @@ def cache_hits(spark, sf_dir):
     )
 
 
-@query(f"""WITH {CUT_ISSUES}
+@query(f"""WITH {KEPT_ISSUES}
 SELECT f.file_idx, CASE WHEN {CACHED} THEN 'cached' ELSE {Q.ROUTE} END AS route,
        f.overall_risk, f.summary, f.n_issues
 FROM file_results f JOIN file_diffs d USING (file_idx)""")
@@ -417,12 +416,12 @@ def cache_incremental(spark, sf_dir):
 # The one-by-one semantics in SQL: own result per file, then the first storable
 # file of the run with the same diff serves the later ones.
 CHECK_SQL = f"""{COPIES},
-cut_diffs AS (SELECT * REPLACE ({Q.cut('diff')} AS diff) FROM copied_diffs
+kept_diffs AS (SELECT * FROM copied_diffs
   WHERE NOT {Q.should_skip('file_path')}),
-{Q.issue_ctes('cut_diffs', 'file_idx')},
+{Q.issue_ctes('kept_diffs', 'file_idx')},
 keyed AS (
   SELECT f.*, c.commit_no, sha256(c.diff) AS diff_hash, length(d.text) AS n, {Q.ROUTE} AS own_route
-  FROM file_results f JOIN cut_diffs c USING (file_idx)
+  FROM file_results f JOIN kept_diffs c USING (file_idx)
   JOIN documents d ON d.doc_id = f.file_idx),
 replied AS (SELECT *, own_route = 'review' AND n % 3 <> 2 AS merged FROM keyed),
 asked AS (
@@ -468,11 +467,7 @@ def _check_copies(spark, sf_dir):
 
 
 def _copy_verdicts(spark, sf_dir) -> DataFrame:
-    files = V.copied_diffs(spark, sf_dir)
-    lengths = V.table(spark, sf_dir, "documents").select(
-        F.col("doc_id").alias("file_idx"), F.length("text").alias("n")
-    )
-    return V.verdicts(files.join(lengths, "file_idx"), F.col("n"))
+    return V.verdicts(V.copied_diffs(spark, sf_dir), F.col("text_chars"))
 
 
 @query(f"""WITH {CHECK_SQL}
@@ -526,7 +521,7 @@ def check_cache_entries(spark, sf_dir):
     )
 
 
-@query(f"""WITH {CUT_ISSUES},
+@query(f"""WITH {KEPT_ISSUES},
 routed AS (SELECT f.*, CASE WHEN {CACHED} THEN 'cached' ELSE {Q.ROUTE} END AS route
   FROM file_results f JOIN file_diffs d USING (file_idx))
 SELECT {RUN}, count(*) AS n_files, CAST(0 AS BIGINT) AS model_calls,
@@ -536,6 +531,66 @@ def run_stats(spark, sf_dir):
     return O.run_stats(done.file_results)
 
 
+def _stored(spark, entries, **version) -> DataFrame:
+    """Entries written to a cache table and read back."""
+    path = f"{_scratch(spark)}/cache"
+    S.append_cache(entries, path, "first")
+    return S.load_cache(spark, path, **version)
+
+
+STORABLE = f"{CACHED} AND {Q.ROUTE} <> 'review'"
+
+
+@query(f"""WITH {KEPT_ISSUES}
+SELECT f.file_idx, CASE WHEN {STORABLE} THEN 'cached' ELSE {Q.ROUTE} END AS route, f.overall_risk, f.n_issues
+FROM file_results f JOIN file_diffs d USING (file_idx)""")
+def cache_roundtrip(spark, sf_dir):
+    """A check of the English files stores entries; the next check of all files reads them."""
+    files = V.file_diffs(spark, sf_dir)
+    first = check_changes(files.where(F.col("lang") == "en"))
+    done = check_changes(files, cache=_stored(spark, first.new_cache_entries))
+    return done.file_results.select("file_idx", "route", "overall_risk", F.size("issues").alias("n_issues"))
+
+
+OWN_RULES = DEFAULT_RULES[:20]
+
+
+@query(f"""WITH {KEPT_ISSUES},
+own AS (
+  SELECT a.file_idx, a.diff, a.is_doc, a.path_risk, count(i.rule_idx) AS n_issues,
+    CASE WHEN count(*) FILTER (WHERE i.severity = 'HIGH') > 0 THEN 'HIGH'
+         WHEN count(*) FILTER (WHERE i.severity = 'MEDIUM') > 0 THEN 'MEDIUM' ELSE 'LOW' END AS overall_risk
+  FROM added a LEFT JOIN issues i ON i.file_idx = a.file_idx AND i.rule_idx < {len(OWN_RULES)} GROUP BY ALL)
+SELECT sha256(diff) AS diff_hash, overall_risk, n_issues, CAST(0 AS BIGINT) AS n_default FROM own
+WHERE overall_risk <> 'LOW' AND {Q.ROUTE} <> 'review'""")
+def cache_own_rules(spark, sf_dir):
+    """Entries of a check with own rules are found under these rules' version, not the default's."""
+    done = check_changes(V.file_diffs(spark, sf_dir), rules=OWN_RULES)
+    path = f"{_scratch(spark)}/cache"
+    S.append_cache(done.new_cache_entries, path, "own")
+    own = S.load_cache(spark, path, version=ruleset_version(tuple(OWN_RULES)))
+    return own.select(
+        "diff_hash", "result.overall_risk", F.size("result.issues").cast("long").alias("n_issues"),
+        F.lit(S.load_cache(spark, path).count()).cast("long").alias("n_default"),
+    )
+
+
+@query(f"""WITH {KEPT_ISSUES}
+SELECT count(*) AS n_before, CAST(0 AS BIGINT) AS n_after
+FROM file_results f JOIN file_diffs d USING (file_idx) WHERE {CACHED}""")
+def cache_cleared(spark, sf_dir):
+    """A stored cache, before and after it is cleared."""
+    english = V.file_diffs(spark, sf_dir).where(F.col("lang") == "en")
+    entries = S.cache_entries(O.scan_rules(S.prepare_files(english), doc_col="is_doc"))
+    path = f"{_scratch(spark)}/cache"
+    S.append_cache(entries, path, "first")
+    before = S.load_cache(spark, path).count()
+    S.clear_cache(spark, path)
+    return S.load_cache(spark, path).agg(
+        F.lit(before).cast("long").alias("n_before"), F.count("*").alias("n_after")
+    )
+
+
 # -- dependencies --------------------------------------------------------------
 
 DEPS = f"dependencies AS ({V.DEPENDENCIES_SQL}), merged AS ({V.MERGED_SQL})"
@@ -551,19 +606,25 @@ REF = (
     "FROM packages WHERE n % 8 <> 7)"
 )
 JUDGED = (
-    "judged AS (SELECT 'pkg' || n AS name, '1.0.0' AS version, "
+    "first_judged AS (SELECT n, about, 'pkg' || n AS name, '1.0.0' AS version, "
     "['SAFE', 'CAUTION', 'HIGH_RISK'][n % 3 + 1] AS score, 'About ' || about AS reason, "
     "CASE WHEN n % 3 = 2 THEN 'alt-pkg' || n END AS alternative, "
     "CASE WHEN n % 2 = 0 THEN 'GDPR Article 6' END AS regulation, "
     f"CASE WHEN n % 4 = 0 THEN {V.policy_url_sql('n')} END AS privacy_policy_url "
-    "FROM packages WHERE n % 7 <> 6)"
+    "FROM packages WHERE n % 7 <> 6), "
+    "judged AS (SELECT * EXCLUDE (n, about) FROM first_judged UNION ALL "
+    "SELECT * EXCLUDE (n, about) REPLACE ('1.3.0' AS version, 'HIGH_RISK' AS score, "
+    "'Version of ' || about AS reason) FROM first_judged WHERE n % 5 = 0)"
 )
 SCORED = f"""{DEPS}, {REF}, {JUDGED},
 scored AS (
   SELECT m.manifest_id, m.name, m.version, m.is_dev, coalesce(j.score, 'UNSCORED') AS score,
          j.reason, j.alternative, j.regulation,
          coalesce(r.privacy_url, j.privacy_policy_url) AS privacy_policy_url
-  FROM merged m LEFT JOIN reference r USING (name) LEFT JOIN judged j USING (name))"""
+  FROM merged m LEFT JOIN reference r USING (name) LEFT JOIN judged j USING (name)
+  QUALIFY row_number() OVER (PARTITION BY m.manifest_id, m.name ORDER BY
+    coalesce(j.version = m.version, false) DESC,
+    list_position(['HIGH_RISK', 'CAUTION', 'SAFE'], j.score), j.version) = 1)"""
 
 
 @query(f"WITH {DEPS} SELECT manifest_id, name, version, is_dev FROM merged")
@@ -725,7 +786,7 @@ SELECT file_idx, overall_risk, n_issues FROM file_results"""
 def stream_scan(spark, sf_dir):
     """Documents arriving as a stream, scanned statelessly; equals the batch scan."""
     out = _scratch(spark)
-    scanned = scan_stream(_document_stream(spark, sf_dir), max_chars=None).select(
+    scanned = scan_stream(_document_stream(spark, sf_dir)).select(
         "file_idx", "overall_risk", F.size("issues").alias("n_issues")
     )
     done = (
@@ -742,7 +803,6 @@ def stream_cached_scan(spark, sf_dir):
     out = _scratch(spark)
     start_cached_scan(
         _document_stream(spark, sf_dir), f"{out}/cache", f"{out}/rows", f"{out}/state",
-        max_chars=None,
     ).awaitTermination()
     return spark.read.parquet(f"{out}/rows").select(
         "file_idx", "overall_risk", F.size("issues").alias("n_issues")

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilsift.functions import content_hash, cut_diff
+from veilsift.functions import content_hash
 from veilsift.rules import DEFAULT_RULES
 from veilsift.session import spread_rows
 
@@ -133,7 +133,7 @@ def copied_diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("lang") == "en", F.lit(1)).otherwise(F.lit(2)).alias("commit_no"),
         key.alias("file_idx"),
         path.alias("file_path"),
-        "lang",
+        "lang", F.length("text").alias("text_chars"),
         _diff_text(F.lit("file"), F.length("text"), F.col("text")).alias("diff"),
     )
 
@@ -169,8 +169,11 @@ def verdicts(diffs: DataFrame, key: Column) -> DataFrame:
         .when(key % 3 == 1, F.concat(F.lit("```json\n"), reply, F.lit("\n```\n")))
         .otherwise(F.lit('{"overall_risk": "HIGH", "issues": ['))
     )
-    return diffs.select(content_hash(cut_diff(F.col("diff"))).alias("diff_hash"),
-                        response.alias("response"))
+    # every third diff has a cut-off copy of its reply, too
+    replies = F.when(key % 3 == 0, F.array(F.substring(response, 1, 40), response)).otherwise(F.array(response))
+    return diffs.select(
+        content_hash(F.col("diff")).alias("diff_hash"), F.explode(replies).alias("response")
+    )
 
 
 def packages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -256,9 +259,14 @@ def package_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(n % 2 == 0, F.lit("GDPR Article 6")).alias("regulation"),
         F.when(n % 4 == 0, policy_url(n)).alias("privacyPolicyUrl"),
     )
-    grouped = packages(spark, sf_dir).where(n % 7 != 6).groupBy(F.floor(n / 10).alias("g")).agg(
-        F.to_json(F.array_sort(F.collect_list(verdict))).alias("json")
+    # every fifth package has a verdict for one version, too
+    later = verdict.withField("version", F.lit("1.3.0")).withField("score", F.lit("HIGH_RISK")).withField(
+        "reason", F.concat(F.lit("Version of "), F.col("about"))
     )
+    verdicts = F.when(n % 5 == 0, F.array(verdict, later)).otherwise(F.array(verdict))
+    grouped = packages(spark, sf_dir).where(n % 7 != 6).select(
+        F.floor(n / 10).alias("g"), F.explode(verdicts).alias("v")
+    ).groupBy("g").agg(F.to_json(F.array_sort(F.collect_list("v"))).alias("json"))
     fenced = F.concat(F.lit("```json\n"), F.col("json"), F.lit("\n```"))
     return grouped.select(
         F.when(F.col("g") % 2 == 1, fenced).otherwise(F.col("json")).alias("response")
@@ -299,13 +307,21 @@ def policy_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(kind == 2, F.to_json(F.struct(F.lit("x").alias("summary"))))
         .when(kind == 3, F.lit('{"grade": "A"'))
     )
-    return packages(spark, sf_dir).select(
-        policy_url(n).alias("url"),
+    answer = F.struct(
         F.when(kind == 2, 500).when(kind != 4, 200).alias("status_code"),
         body.alias("body"),
         F.when(kind == 4, F.when(n % 2 == 0, F.lit("timeout")).otherwise(F.lit("reset")))
         .alias("transport_error"),
     )
+    late = F.struct(
+        F.lit(None).cast("int").alias("status_code"), F.lit(None).cast("string").alias("body"),
+        F.lit("timeout").alias("transport_error"),
+    )
+    # a report that was read once and timed out another time
+    answers = F.when(kind < 2, F.array(late, answer)).otherwise(F.array(answer))
+    return packages(spark, sf_dir).select(
+        policy_url(n).alias("url"), F.explode(answers).alias("a")
+    ).select("url", "a.*")
 
 
 # -- the same views in DuckDB ------------------------------------------------
