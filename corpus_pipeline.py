@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veilsift.llm.arrowtext import unused_name
 from veilsift.llm.bpe import decode_bpe, encode_bpe
 from veilsift.llm.decontaminate import with_leaks
 from veilsift.llm.language_id import MIN_SCORE, UNKNOWN, fit_on_documents, identify_languages
@@ -35,9 +36,10 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null and empty texts go. ``lang`` is set to the prediction where it was null.
     """
-    rows = identify_languages(docs, fit_on_documents(docs), lang_col="_lang", score_col="_score")
-    clear = rows.where((F.col("_lang") != UNKNOWN) & (F.col("_score") >= MIN_SCORE))
-    return _same_columns(clear.withColumn("lang", F.coalesce("lang", "_lang")), docs)
+    lang, score = unused_name(docs, "_lang"), unused_name(docs, "_score")
+    rows = identify_languages(docs, fit_on_documents(docs), lang_col=lang, score_col=score)
+    clear = rows.where((F.col(lang) != UNKNOWN) & (F.col(score) >= MIN_SCORE))
+    return _same_columns(clear.withColumn("lang", F.coalesce("lang", lang)), docs)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,8 +59,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that cover no benchmark item."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    rows = with_leaks(docs, benchmark, out_col="_leaks").where(F.size("_leaks") == 0)
-    return _same_columns(rows, docs)
+    leaks = unused_name(docs, "_leaks")
+    return _same_columns(with_leaks(docs, benchmark, out_col=leaks).where(F.size(leaks) == 0), docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

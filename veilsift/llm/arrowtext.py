@@ -32,6 +32,13 @@ def plain_texts(batch: pa.RecordBatch, column: str) -> pa.Array:
     return pc.fill_null(batch.column(column).cast(pa.string()), "")
 
 
+def unused_name(df: DataFrame, name: str) -> str:
+    """``name``, or with underscores behind it until no column has it."""
+    while name in df.columns:
+        name += "_"
+    return name
+
+
 def with_arrow_columns(
     df: DataFrame,
     text_col: str,

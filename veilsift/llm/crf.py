@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
+import regex
 
-from .arrowtext import gathered, mixed
+from .arrowtext import gathered, mixed, word_hashes
 
-NOT_LETTERS = re.compile(r"[\W\d_]+")
+NOT_LETTERS = regex.compile(r"\P{L}+")
 GRAMS = (2, 3, 4, 5)
 CHAIN_BLOCK = 32
 
@@ -49,7 +49,7 @@ def word_features(forms: list[str], bits: int, lexicon: np.ndarray | None) -> Fe
             value = mixed(value) + letters[at + j]
         found.append(mixed(value))
         owners.append(word[at])
-    whole = whole_word_hashes(forms)
+    whole = word_hashes(forms)
     known = np.ones(len(forms), bool) if lexicon is None else np.isin(whole, lexicon)
     found.append(mixed(whole[known] + np.uint64(1)))
     owners.append(np.flatnonzero(known))
@@ -60,12 +60,6 @@ def word_features(forms: list[str], bits: int, lexicon: np.ndarray | None) -> Fe
     return Features(ids, np.concatenate([[0], np.cumsum(counts)]))
 
 
-def whole_word_hashes(forms: list[str]) -> np.ndarray:
-    from .arrowtext import word_hashes
-
-    return word_hashes(forms)
-
-
 def _by_block(offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Sequences cut into blocks: first word, size, sequence and number in it of each block."""
     blocks = -(-np.diff(offsets) // CHAIN_BLOCK)

@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .arrowtext import inside_rows, split_words, window_hashes, with_arrow_columns, word_hashes
+from .arrowtext import (
+    inside_rows, split_words, unused_name, window_hashes, with_arrow_columns, word_hashes,
+)
 
 MIN_MATCH = 5
 COVERAGE = 0.5
@@ -260,7 +262,7 @@ def with_leaks(
 
             return compute
 
-        names.append(f"_leaks_{n}")
+        names.append(unused_name(df, f"_leaks_{n}"))
         df = with_arrow_columns(df, text_col, [T.StructField(names[-1], T.ArrayType(struct))], make)
     return df.select(*[f"`{c}`" for c in rest], F.concat(*names).alias(out_col))
 

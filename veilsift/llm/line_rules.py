@@ -193,15 +193,15 @@ def apply_line_rules(
     """The kept rows of ``df``, all columns, their text without the lines above the limits."""
     verdicts = line_rules(df, id_col, text_col, host_col, **options).where("kept").groupBy(
         "id_key", "text_hash"
-    ).agg(F.first("removed").alias("_removed")).select(
-        F.col("id_key").alias("_id_key"), F.col("text_hash").alias("_text_hash"), "_removed"
+    ).agg(F.first("removed").alias("removed"))
+    keyed = df.select(
+        F.struct(*[f"`{c}`" for c in df.columns]).alias("row"), _key(F.col(id_col)).alias("id_key"),
+        F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("text_hash"),
     )
-    keyed = df.withColumn("_id_key", _key(F.col(id_col))).withColumn(
-        "_text_hash", F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    )
-    rows = join_unique(keyed, verdicts, ["_id_key", "_text_hash"], "inner")
-    cut = F.when(F.size("_removed") > 0, without_lines(F.col(text_col), F.col("_removed"))).otherwise(F.col(text_col))
-    return rows.withColumn(text_col, cut).select(*[f"`{c}`" for c in df.columns])
+    rows = join_unique(keyed, verdicts, ["id_key", "text_hash"], "inner")
+    text = F.col("row")[text_col]
+    cut = F.when(F.size("removed") > 0, without_lines(text, F.col("removed"))).otherwise(text)
+    return rows.select(*[(cut if c == text_col else F.col("row")[c]).alias(c) for c in df.columns])
 
 
 def op5_line_rules(spark, sf_dir):
