@@ -134,25 +134,34 @@ def scan_rules(
     rules: Sequence[Rule] = DEFAULT_RULES,
     doc_col: str | None = None,
     use_guards: bool = True,
+    max_hint_chars: int | None = MAX_HINT_CHARS,
+    all_lines: bool = False,
 ) -> DataFrame:
     """Add ``issues``, ``overall_risk`` and ``summary`` to every row.
 
     ``doc_col`` names an existing boolean column; without it the path decides.
+    ``max_hint_chars`` bounds the line shown with an issue; ``None`` shows it whole.
+    A rule reports its first matching line; with ``all_lines`` every matching line, so
+    that a placeholder hides no later secret.
     Rules are unrolled into literal patterns, which Spark compiles once per task.
     """
     rules = tuple(rules)
     added, guards = with_guards(
         _with_added(df, diff_col, path_col, doc_col), F.col(_ADDED), rules if use_guards else ()
     )
-    hits = F.array(*[
-        F.expr(
-            f"CASE WHEN {_hit_sql(rule, guards)} THEN struct({i} AS i, "
-            f"get({matching_items_sql(_LINES, detector(rule))}, 0) AS line) END"
-        )
-        for i, rule in enumerate(rules)
-    ])
+    def hit_sql(i: int, rule: Rule) -> str:
+        lines = matching_items_sql(_LINES, detector(rule))
+        if all_lines:  # a match that spans lines has none of its own, and one empty hint
+            found = f"transform(concat({lines}, array('')), line -> struct({i} AS i, line AS line))"
+            found = f"slice({found}, 1, greatest(size({lines}), 1))"
+        else:
+            found = f"struct({i} AS i, get({lines}, 0) AS line)"
+        return f"CASE WHEN {_hit_sql(rule, guards)} THEN {found} END"
+
+    hits = F.array(*[F.expr(hit_sql(i, rule)) for i, rule in enumerate(rules)])
+    found = F.array_compact(F.col(_HITS))
     hinted = F.transform(
-        F.array_compact(F.col(_HITS)),
+        F.flatten(found) if all_lines else found,
         # no single line matches when the match spans lines: the hint is empty then
         lambda h: F.struct(
             h.i.alias("i"), hint_text(F.coalesce(h.line, F.lit(""))).alias("hint")
@@ -174,7 +183,7 @@ def scan_rules(
             h.i.alias("rule_idx"),
             rule_field(rules, "rule_id", h.i).alias("rule_id"),
             path.alias("file"),
-            F.substring(h.hint, 1, MAX_HINT_CHARS).alias("line_hint"),
+            (h.hint if max_hint_chars is None else F.substring(h.hint, 1, max_hint_chars)).alias("line_hint"),
             *[
                 rule_field(rules, name, h.i).alias(name)
                 for name in ("severity", "issue", "fix", "regulation")

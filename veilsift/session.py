@@ -31,13 +31,3 @@ def written_once(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(scratch_root(df.sparkSession))
     return df.checkpoint()
-
-
-def spread_rows(df: DataFrame) -> DataFrame:
-    """Text from a source with fewer splits than cores, spread over all cores.
-
-    Scanning text is heavy per byte, and one small file is one task. A source with
-    at least as many splits as cores, so any large table, is returned as it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores * 2) if df.rdd.getNumPartitions() < cores else df

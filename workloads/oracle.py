@@ -120,15 +120,18 @@ def added_ctes(source: str) -> str:
     )
 
 
-def issue_ctes(source: str, keys: str) -> str:
+def issue_ctes(source: str, keys: str, all_lines: bool = False) -> str:
     """``issues`` and ``file_results`` over ``source`` (keys, file_path, diff)."""
+    found = "list_filter(a.lines, lambda l: regexp_matches(l, {p}))"
+    line = f"coalesce({found}[1], '')"
+    if all_lines:
+        line = f"unnest(CASE WHEN len({found}) = 0 THEN [''] ELSE {found} END)"
     k = ", ".join(f"a.{c.strip()}" for c in keys.split(","))
     return f"""{rules_cte()},
 {added_ctes(source)},
 matched AS (
   {_per_rule(
-      k + ", a.file_path, a.is_doc, a.path_risk, "
-      "coalesce(list_filter(a.lines, lambda l: regexp_matches(l, {p}))[1], '') AS line",
+      k + f", a.file_path, a.is_doc, a.path_risk, {line} AS line",
       "added a", "regexp_matches(a.added, {p})")}),
 hits AS (
   SELECT * FROM matched JOIN rules USING (rule_idx) WHERE NOT (is_doc AND skip_on_docs)),

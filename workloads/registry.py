@@ -272,6 +272,15 @@ def merged_issues(spark, sf_dir):
     )
 
 
+@query(f"""WITH {DIFFS},
+{Q.issue_ctes('file_diffs', 'file_idx', all_lines=True)}
+SELECT file_idx, rule_id, hint AS line_hint, severity FROM issues""")
+def issues_all_lines(spark, sf_dir):
+    """Every matching line of every rule."""
+    scanned = O.scan_rules(V.file_diffs(spark, sf_dir), all_lines=True)
+    return O.issue_rows(scanned, "file_idx").select("file_idx", "rule_id", "line_hint", "severity")
+
+
 # -- redaction -----------------------------------------------------------------
 
 REDACT_SOURCES = {
