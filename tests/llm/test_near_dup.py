@@ -25,6 +25,12 @@ def corpus(seed=4):
         for k in range(rng.choice([1, 2, 9])):
             texts.append(" ".join(chain))
             chain = edited(rng, chain if g % 2 else base, max(1, len(base) // 60))
+    chain = [f"c{k}" for k in range(120)]
+    for _ in range(30):  # its ends share little
+        texts.append(" ".join(chain))
+        chain = edited(rng, chain, 2)
+    base = [f"b{k}" for k in range(100)]  # copies edited on their own, many in several places
+    texts += [" ".join(edited(rng, base, rng.randrange(1, 9))) for _ in range(80)]
     texts += [texts[3]] * 7 + [texts[3].upper()] + ["one two", "one two", "One  Two", "one two three"]
     texts += [None, None, "", "  "] + ["alone " + " ".join(f"q{rng.randrange(999)}" for _ in range(30)) for _ in range(5)]
     return texts
@@ -66,18 +72,6 @@ def test_classes(spark):
     assert sorted(r.doc_id for r in kept) == sorted(set(want)) and set(kept[0].asDict()) == {"doc_id", "text", "node"}
 
 
-def test_one_bucket_of_many_texts_over_several_rounds(spark):
-    rng = random.Random(1)
-    words = [f"w{k}" for k in range(120)]
-    texts = []
-    for _ in range(40):  # a long chain: its ends share little
-        texts.append(" ".join(words))
-        words = edited(rng, words, 2)
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {r.doc_id: r.class_id for r in N.near_duplicate_classes(df, growth=2).collect()}
-    assert [got[k] for k in range(40)] == brute(texts)
-
-
 def test_repeated_rows_null_ids_and_no_rows(spark):
     long = " ".join(f"w{k}" for k in range(30))
     rows = [(None, long), (5, long), (5, long), (5, "other text of six words here"), (None, None), (7, None), (7, None)]
