@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .arrowtext import row_sums, split_words, with_arrow_columns
-from .crf import NOT_LETTERS, Features, fit, label_chances, whole_word_hashes, word_features
+from .arrowtext import row_sums, split_words, with_arrow_columns, word_hashes
+from .crf import NOT_LETTERS, fit, label_chances, word_features
 
 BITS = 17
 FIT_ROWS = 120
@@ -53,9 +53,15 @@ def fit_sample(labelled: DataFrame, rows: int, chars: int) -> DataFrame:
     language, so what reaches the driver is bounded whatever the input; copies count once.
     """
     short = labelled.where(F.col("lang").isNotNull() & (F.length("text") <= chars) & (F.col("text") != ""))
-    counts = short.groupBy("lang").agg(F.count("*").alias("n"))
-    drawn = short.withColumn("h", F.xxhash64("text")).join(counts, "lang").where(
-        F.pmod("h", F.lit(1 << 30)) * F.col("n") < F.lit(float(rows) * 3 * (1 << 30))
+    counts = short.groupBy("lang").count().collect()  # one row per language
+    if not counts:
+        return short.select("lang", "text", F.lit(0).cast("long").alias("h"))
+    span = 1 << 30
+    limits = F.create_map(*[
+        F.lit(x) for r in counts for x in (r["lang"], min(span, 3 * rows * span // r["count"] + 1))
+    ])
+    drawn = short.withColumn("h", F.xxhash64("text")).where(
+        F.pmod("h", F.lit(span)) < F.element_at(limits, F.col("lang"))
     ).groupBy("lang", "h").agg(F.first("text").alias("text"))
     order = Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(1 << 30)), "h")
     return drawn.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= rows).select("lang", "text", "h")
@@ -97,7 +103,7 @@ def fit_language_model(
     if not labels or not len(codes):
         return None
     counts = np.bincount(codes, minlength=len(forms))
-    lexicon = np.sort(whole_word_hashes([w for w, n in zip(forms, counts) if n > 1]))
+    lexicon = np.sort(word_hashes([w for w, n in zip(forms, counts) if n > 1]))
     features = word_features(forms, bits, lexicon)
     pieces = [
         (codes[offsets[k]:offsets[k + 1]], labels.index(r["lang"])) for k, r in enumerate(sample)
