@@ -239,19 +239,20 @@ def likely(pairs: DataFrame, nodes: DataFrame, k: int, similarity: float) -> Dat
     return both.withColumn("_n", agreeing("_sa", "_sb")).where(F.col("_n") >= least).select("a", "b")
 
 
-def linked(
-    pairs: DataFrame, nodes: DataFrame, texts: DataFrame, similarity: float, size: int, scratch: Scratch
+def shingle_sets(
+    members: DataFrame, nodes: DataFrame, texts: DataFrame, size: int, scratch: Scratch
 ) -> DataFrame:
-    """The pairs (a, b) of nodes whose shingle sets have the Jaccard similarity asked for.
-
-    Reads one text for each node in question, and no others.
-    """
-    involved = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    places = join_unique(nodes.select("node", "text_key", "_id"), involved, "node", "inner")
+    """``node``, ``shingles`` of the nodes that share a bucket; reads one text for each."""
+    wanted = members.select("node").distinct()
+    places = join_unique(nodes.select("node", "text_key", "_id"), wanted, "node", "inner")
     found = join_unique(texts, places, ["text_key", "_id"], "inner").select("node", "text")
-    sets = scratch.kept(
+    return scratch.kept(
         with_shingles(found, "text", size).groupBy("node").agg(F.first("shingles").alias("shingles"))
     )
+
+
+def linked(pairs: DataFrame, sets: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
+    """The pairs (a, b) of nodes whose shingle sets have the Jaccard similarity asked for."""
     a = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
     b = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
     both = join_unique(join_unique(pairs, a, "a", "inner"), b, "b", "inner")
@@ -263,9 +264,88 @@ def linked(
     )
 
 
+def prefix_members(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The nodes of open buckets, dealt anew by the rare shingles that a link has to share.
+
+    Order all shingles by how many of these nodes have them. Two sets of the similarity
+    asked for share one of the first ``n - ceil(similarity n) + 1`` of either's ``n``
+    (prefix filtering), so no link is lost. ``place`` is the shingle's place in that order.
+    """
+    roots = members.groupBy("node").agg(F.first("root").alias("root"))
+    each = join_unique(sets, roots, "node", "inner").select(
+        "node", "root", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle")
+    )
+    common = each.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1")
+    shared = join_unique(each, common, "shingle", "inner").groupBy("node", "root", "n").agg(
+        F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("shared")
+    )
+    reach = F.col("n") - F.ceil(F.col("n") * F.lit(similarity) - 1e-9) + 1
+    own = F.col("n") - F.size("shared")  # shingles of this node alone come first
+    return shared.select(
+        "node", "root", "n", own.alias("own"),
+        F.posexplode(F.slice("shared", 1, F.greatest(reach - own, F.lit(0)).cast("int"))).alias("k", "s"),
+    ).select(F.col("s.shingle").alias("bucket"), "node", "root", "n", (F.col("own") + F.col("k")).alias("place"))
+
+
+def _near_enough(similarity: float):
+    """Whether a member and a head have enough shingles left, from the common one on, to be similar."""
+    least = F.lit(similarity / (1 + similarity)) * (F.col("n") + F.col("m")) - 1e-9
+    left = F.least(F.col("n") - F.col("place"), F.col("m") - F.col("at"))
+    return (F.col("root") != F.col("head_root")) & (left >= least)
+
+
+def _as_heads(members: DataFrame) -> DataFrame:
+    return members.select(
+        "bucket", F.col("node").alias("head"), F.col("root").alias("head_root"), F.col("n").alias("m"),
+        F.col("place").alias("at"),
+    )
+
+
+def centre_pairs(dealt: DataFrame, similarity: float) -> DataFrame:
+    """Each rare shingle's most central member with the others that could be similar.
+
+    The member with the fewest own shingles before it is the least changed one, so in a
+    group of edited copies it is similar to most that are similar to any.
+    """
+    centre = dealt.groupBy("bucket").agg(
+        F.min(F.struct("place", "node", "root", "n")).alias("c")
+    ).select("bucket", "c.*")
+    met = join_unique(dealt, _as_heads(centre), "bucket", "inner").where(_near_enough(similarity))
+    return _ordered(met)
+
+
+def rare_shingle_pairs(dealt: DataFrame, similarity: float) -> DataFrame:
+    """Pairs of two classes that share a rare shingle and have enough shingles left to be similar.
+
+    After the common shingle the two have at most the rest of either in common. A text that
+    was changed in many places has its own shingles before it, so it has too few left: in a
+    group of edited copies nearly all pairs that are not similar end here. Every pair of two
+    classes has an end outside the class with most members in the bucket; only these ends
+    are heads.
+    """
+    main = dealt.groupBy("bucket", "root").agg(F.count("*").alias("c")).groupBy("bucket").agg(
+        F.max_by("root", F.struct("c", "root")).alias("main"), F.count("*").alias("roots")
+    ).where("roots > 1").select("bucket", "main")
+    marked = join_unique(dealt, main, "bucket", "inner")
+    heads = _as_heads(marked.where("root != main"))
+    return _ordered(join_unique(marked, heads, "bucket", "inner").where(_near_enough(similarity)))
+
+
+def _ordered(met: DataFrame) -> DataFrame:
+    return met.select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")).distinct()
+
+
+def leader_pairs(members: DataFrame) -> DataFrame:
+    """Each bucket's leader, drawn by hash, with all its other members."""
+    leaders = members.groupBy("bucket").agg(
+        F.min(F.struct(F.xxhash64("node").alias("h"), "node")).alias("l")
+    ).select("bucket", F.col("l.node").alias("head"))
+    return _ordered(join_unique(members, leaders, "bucket", "inner").where("node != head"))
+
+
 def near_duplicate_classes(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY,
-    size: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, leaders: int = 1, growth: int = 8,
+    size: int = SHINGLE, bands: int = BANDS, rows: int = ROWS,
 ) -> DataFrame:
     """Near-duplicate classes of all rows: ``doc_id``, ``text_key``, ``class_id``, ``class_size``
     and ``class_key``, which tells classes apart even where ids are repeated.
@@ -277,10 +357,15 @@ def near_duplicate_classes(
     1. Rows with equal text share a node, so copies never form pairs.
     2. Each node gets a DartMinHash signature; ``bands`` of ``rows`` coordinates name its
        buckets. With 40 bands of 5, a pair at 0.8 shares no bucket once in 7 million.
-    3. In a bucket, some leaders are compared with all members of other classes; then
-       classes are merged, leaders leave, and the next round takes ``growth`` times as
-       many, until no bucket holds two classes. So a pair that shares a bucket is either
-       checked exactly or already in one class, and no group forms all its pairs.
+    3. In each bucket one leader is compared with all other members, and classes are merged.
+    4. Nodes of buckets that still hold two classes are dealt anew by the rare shingles
+       that similar texts must share (``prefix_members``). First each such shingle's most
+       central text is compared with the others, then, when classes are merged, all pairs
+       of two classes that could still be similar (``rare_shingle_pairs``).
+
+    Comparisons are exact. A pair that shares a band bucket is compared, or in one class
+    already, or not similar by the counts of 4: no link is lost, and no group forms all
+    its pairs.
 
     A null or word-free text is a class of its own, shared by the rows that repeat its id.
     Null ids: the class id is the least id that is not null. Repeated rows fall in one
@@ -299,56 +384,42 @@ def near_duplicate_classes(
     )
     buckets = bands_of(nodes, bands, rows)
     crowded = buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-    members = scratch.kept(join_unique(buckets, crowded, "bucket", "inner").select(
-        "bucket", "node", F.col("node").alias("root")
-    ))
-    roots, number = None, 0
-    while True:
-        # buckets that still hold two classes
-        open_buckets = members.groupBy("bucket").agg(
-            F.min("root").alias("_low"), F.max("root").alias("_high"), F.count("*").alias("n"),
-            F.min(F.struct(F.xxhash64("node", F.lit(number)).alias("h"), "node")).alias("least"),
-        ).where("_low != _high").select("bucket", "n", F.col("least.node").alias("least"))
-        members = scratch.kept(join_unique(members, open_buckets, "bucket", "inner"))
-        if members.isEmpty():
-            break
-        share = F.ceil(F.col("n") / leaders)
-        lead = (F.col("node") == F.col("least")) | (
-            F.pmod(F.xxhash64("node", F.lit(number + 1000)), share) == 0
-        )
-        marked = members.withColumn("leads", lead)
-        heads = marked.where("leads").select(
-            "bucket", F.col("node").alias("head"), F.col("root").alias("head_root")
-        )
-        met = join_unique(marked, heads, "bucket", "inner").where("root != head_root")
-        pairs = met.select(
-            F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")
-        ).distinct()
-        pairs = scratch.kept(likely(pairs, nodes, bands * rows, similarity))
-        if not pairs.isEmpty():
-            edges = linked(pairs, nodes, texts, similarity, size, scratch)
-            # an edge joins the classes of its ends
-            merged = scratch.kept(smallest_neighbours(_over_roots(edges, roots), scratch))
-            roots = merged if roots is None else scratch.kept(_merged_roots(roots, merged))
-        members = marked.where("not leads").select("bucket", "node", "root")
-        if roots is not None:
-            fresh = roots.select("node", F.col("root").alias("_new"))
-            members = join_unique(members, fresh, "node").select(
-                "bucket", "node", F.coalesce("_new", "root").alias("root")
-            )
-        members = scratch.kept(members)
-        leaders *= growth
-        number += 1
+    members = scratch.kept(join_unique(buckets, crowded, "bucket", "inner").select("bucket", "node"))
+    sets = shingle_sets(members, nodes, texts, size, scratch)
+
+    def links(pairs: DataFrame) -> DataFrame:
+        some = scratch.kept(likely(pairs, nodes, bands * rows, similarity))
+        return linked(some, sets, similarity, scratch)
+
+    def merged(roots: DataFrame, edges: DataFrame) -> DataFrame:
+        """Roots after edges joined the classes of their ends."""
+        if edges.isEmpty():
+            return roots
+        up = scratch.kept(smallest_neighbours(_over_roots(edges, roots), scratch))
+        return scratch.kept(_merged_roots(roots, up))
+
+    def classed(rows: DataFrame, roots: DataFrame) -> DataFrame:
+        found = join_unique(rows.drop("root"), roots, "node")
+        return scratch.kept(found.withColumn("root", F.coalesce("root", "node")))
+
+    roots = scratch.kept(smallest_neighbours(links(leader_pairs(members)), scratch))
+    dealt = scratch.kept(prefix_members(_open(classed(members, roots)), sets, similarity))
+    roots = merged(roots, links(centre_pairs(dealt, similarity)))
+    roots = merged(roots, links(rare_shingle_pairs(classed(dealt, roots), similarity)))
     return _labelled(signed, nodes, roots)
 
 
+def _open(members: DataFrame) -> DataFrame:
+    """Members of the buckets that hold two classes."""
+    mixed_up = members.groupBy("bucket").agg(F.min("root").alias("_low"), F.max("root").alias("_high"))
+    return join_unique(members, mixed_up.where("_low != _high").select("bucket"), "bucket", "inner")
+
+
 def _id_key(column):
     return F.coalesce(column.cast("string"), F.lit("\0null"))
 
 
-def _over_roots(edges: DataFrame, roots: DataFrame | None) -> DataFrame:
-    if roots is None:
-        return edges
+def _over_roots(edges: DataFrame, roots: DataFrame) -> DataFrame:
     for end in ("a", "b"):
         to = roots.select(F.col("node").alias(end), F.col("root").alias("_root"))
         edges = join_unique(edges, to, end).withColumn(end, F.coalesce("_root", end)).drop("_root")
@@ -363,10 +434,10 @@ def _merged_roots(roots: DataFrame, merged: DataFrame) -> DataFrame:
     return moved.unionByName(fresh)
 
 
-def _labelled(signed: DataFrame, nodes: DataFrame, roots: DataFrame | None) -> DataFrame:
-    keys = nodes.select("text_key", F.col("node"))
-    if roots is not None:
-        keys = join_unique(keys, roots, "node").withColumn("node", F.coalesce("root", "node"))
+def _labelled(signed: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    keys = join_unique(nodes.select("text_key", "node"), roots, "node").withColumn(
+        "node", F.coalesce("root", "node")
+    )
     rows = join_unique(signed.select("doc_id", "text_key", "_id"), keys.select("text_key", "node"), "text_key")
     # a row without words is its own class, told apart by its id
     rows = rows.withColumn(
