@@ -97,7 +97,8 @@ def pieces_with_space(texts: pa.Array) -> Words:
 class PieceCache:
     """Results for text pieces, kept from task to task in a worker, up to a number of them.
 
-    A full cache is emptied, so that memory stays bounded; results do not depend on it.
+    A full cache takes no more, so memory stays bounded; the pieces met first are mostly
+    the frequent ones. Results do not depend on it.
     """
 
     def __init__(self, compute: Callable[[list[str]], list], size: int = 400_000):
@@ -107,13 +108,13 @@ class PieceCache:
         found = list(map(self.known.get, pieces))
         missing = [k for k, x in enumerate(found) if x is None]
         if missing:
-            made = self.compute([pieces[k] for k in missing])
-            if len(self.known) + len(made) > self.size:
-                self.known.clear()
+            new = [pieces[k] for k in missing]
+            made = self.compute(new)
             for k, x in zip(missing, made):
                 found[k] = x
-                if len(self.known) < self.size and len(pieces[k]) <= 64:
-                    self.known[pieces[k]] = x
+            room = self.size - len(self.known)
+            if room > 0:
+                self.known.update((p, x) for p, x in zip(new[:room], made) if len(p) <= 64)
         return found
 
 

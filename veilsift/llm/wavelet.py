@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import json
+import re
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -20,7 +22,8 @@ from veilsift.session import scratch_root
 
 from .arrowtext import byte_slices, gathered, plain_texts, row_sums
 from .bytelevel import (
-    PieceCache, in_byte_batches, load_tokenizer, per_worker, pieces_with_space, vocabulary_path,
+    PieceCache, byte_alphabet, in_byte_batches, load_tokenizer, per_worker, pieces_with_space,
+    vocabulary_path,
 )
 
 MAGIC = b"WMTX0001"
@@ -28,6 +31,11 @@ BLOCK = 512  # bits between two rank samples
 SHARD_TOKENS = 2 << 20
 SHARD_BYTES = 24 << 20
 
+_LETTER, _MARK = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u024f", ".,;:!?"
+#: Pieces that the byte-level pattern cuts into words, marks and line ends, and these parts.
+PLAIN_PIECE = re.compile(f"(?: ?[{_LETTER}]+[{_MARK}]*| ?[{_MARK}]+)?(?:\n[{_LETTER}]+[{_MARK}]*)*")
+PLAIN_PART = re.compile(f" ?[{_LETTER}]+| ?[{_MARK}]+|\n")
+
 
 class WaveletMatrix:
     """A sequence of non-negative integers as bit-planes, highest bit first.
@@ -121,12 +129,14 @@ class WaveletMatrix:
 
     def values(self) -> np.ndarray:
         """The whole sequence, by undoing the planes' orders from the last to the first."""
-        out = np.zeros(self.length, np.uint32)
+        kind = np.uint16 if self.bits <= 16 else np.uint32
+        out = np.zeros(self.length, kind)
         for k in reversed(range(self.bits)):
             bit = np.unpackbits(self.planes[k].view(np.uint8), count=self.length, bitorder="little").view(bool)
+            out[self.zeros[k]:] |= kind(1 << (self.bits - 1 - k))
             up = np.empty_like(out)
             up[~bit] = out[:self.zeros[k]]
-            up[bit] = out[self.zeros[k]:] | np.uint32(1 << (self.bits - 1 - k))
+            up[bit] = out[self.zeros[k]:]
             out = up
         return out
 
@@ -180,18 +190,53 @@ class TokenShard:
         )
 
 
-def encode_pieces(path: str) -> PieceCache:
-    """Ids of text pieces by the tokenizers library."""
-    tokenizer = load_tokenizer(path)
+class PieceEncoder:
+    """Ids of text pieces by the tokenizers library, packed as bytes of ``kind``.
+
+    Most pieces are plain: letters of Latin scripts and common marks, where the
+    vocabulary's pattern can be read off. Their words go to the library's BPE model one by
+    one, so a word with another mark behind it is not merged again. All other pieces go
+    through the whole tokenizer.
+    """
+
+    def __init__(self, path: str):
+        self.tokenizer = load_tokenizer(path)
+        self.model = self.tokenizer.model
+        self.code = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
+        self.kind = np.dtype(self.code)
+        self.letters = byte_alphabet()
+        self.words = PieceCache(self.merged, 600_000)
+        self.pieces = PieceCache(self.encode, 100_000)
+
+    def packed(self, ids: list[int]) -> bytes:
+        return array(self.code, ids).tobytes()
 
-    def encode(pieces: list[str]) -> list[np.ndarray]:
+    def merged(self, words: list[str]) -> list[bytes]:
+        letters, tokenize = self.letters, self.model.tokenize
         return [
-            np.array(e.ids, np.uint16 if tokenizer.get_vocab_size() <= 1 << 16 else np.uint32)
-            for batch in in_byte_batches(pieces, 256 << 10)
-            for e in tokenizer.encode_batch_fast(batch, add_special_tokens=False)
+            self.packed([t.id for t in tokenize("".join([letters[b] for b in word.encode()]))])
+            for word in words
         ]
 
-    return PieceCache(encode)
+    def encode(self, pieces: list[str]) -> list[bytes]:
+        out: list[bytes | None] = [None] * len(pieces)
+        other, parts, cuts = [], [], []
+        for k, piece in enumerate(pieces):
+            if PLAIN_PIECE.fullmatch(piece):
+                found = PLAIN_PART.findall(piece)
+                cuts.append((k, len(found)))
+                parts.extend(found)
+            else:
+                other.append(k)
+        each, at = self.words(parts), 0
+        for k, n in cuts:
+            out[k] = b"".join(each[at:at + n])
+            at += n
+        done = iter(other)
+        for batch in in_byte_batches([pieces[k] for k in other], 256 << 10):
+            for e in self.tokenizer.encode_batch_fast(batch, add_special_tokens=False):
+                out[next(done)] = self.packed(e.ids)
+        return out
 
 
 def _shards(path: str, end_id: int, bits: int, shard_tokens: int):
@@ -200,7 +245,8 @@ def _shards(path: str, end_id: int, bits: int, shard_tokens: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        pieces_of = per_worker(("ids", path), lambda: encode_pieces(path))
+        encoder = per_worker(("ids", path), lambda: PieceEncoder(path))
+        width = encoder.kind.itemsize
         part, number = TaskContext.get().partitionId(), 0
         ids, sizes, tokens, held = [], [], [], 0
 
@@ -212,11 +258,11 @@ def _shards(path: str, end_id: int, bits: int, shard_tokens: int):
             return pa.RecordBatch.from_arrays([pa.array([data], pa.binary())], names=["data"])
 
         for batch in batches:
-            for rows in byte_slices(batch, "text", 1 << 20):
+            for rows in byte_slices(batch, "text", min(3 << 20, 8 * shard_tokens)):
                 pieces = pieces_with_space(plain_texts(rows, "text"))
-                each = pieces_of(pieces.distinct)
-                n = np.fromiter(map(len, each), np.int64, len(each))
-                flat = np.concatenate([*each, [end_id]]).astype(np.uint32)
+                each = encoder.pieces(pieces.distinct)
+                n = np.fromiter(map(len, each), np.int64, len(each)) // width
+                flat = np.append(np.frombuffer(b"".join(each), encoder.kind), np.array([end_id], encoder.kind))
                 # the end id follows each document as one more piece
                 codes = np.insert(pieces.codes, pieces.offsets[1:], len(each))
                 offsets = pieces.offsets + np.arange(len(pieces.offsets))
