@@ -78,3 +78,21 @@ def test_query_prefers_the_target(spark, tmp_path):
     spark.createDataFrame(labels, "doc_id long, quality long, toxic long").write.parquet(f"{tmp_path}/labels.parquet")
     rows = {r.doc_id: r.score for r in M.op2_lm_difference(spark, str(tmp_path)).collect()}
     assert len(rows) == 43 and rows[50] < rows[51]
+
+
+def test_rare_words_stay_known_in_a_large_corpus(spark):
+    # 400,000 words in all: by a share of the corpus, a pair of words seen twice would be unknown
+    common = " ".join(["common filler"] * 100)
+    texts = [(k, common, k % 2 == 0) for k in range(2000)]
+    texts += [(5000, "scarce gem", True), (5001, "scarce gem", True), (5002, "odd stone", False), (5003, "odd stone", False)]
+    df = spark.createDataFrame(texts, "doc_id long, text string, target boolean")
+    models = M.fit_models(df)
+    probe = df.where("doc_id >= 5000")
+    want = plain(texts, 1, 1e-12)
+    for options in ({"hot_share": 2.0}, {"hot_share": 1e-5}, {"fitted": True}, {"fitted": True, "hot_share": 2.0}):
+        rows = {r.doc_id: r for r in M.score_texts(probe, models, token_differences=True, **options).collect()}
+        assert len(rows) == 4 and rows[5000].score < rows[5002].score
+        for k, r in rows.items():
+            assert r.n_words == 2 and r.token_differences == pytest.approx([a - b for a, b in want[k]])
+            assert r.target_loss == pytest.approx(sum(a for a, _ in want[k]) / 2)
+            assert r.background_loss == pytest.approx(sum(b for _, b in want[k]) / 2)

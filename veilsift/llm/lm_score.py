@@ -8,195 +8,291 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from veilsift.operators.joins import join_unique
 from veilsift.session import scratch_root
 
-from .arrowtext import byte_slices, plain_texts, row_sums, split_words, with_arrow_columns, word_hashes
+from .arrowtext import (
+    Words, byte_slices, plain_texts, row_sums, split_words, unused_name, word_hashes,
+)
 
-WORD_SHARE = 4e-6
-PAIR_SHARE = 1e-6
 DISCOUNT = 0.75
 ADDED = 0.5
-UNKNOWN, START = 0, 1  # numbers of the unknown word and of a text's start; words follow
+UNKNOWN, START = 0, 1  # stand for the unknown word and a text's start among the words' hashes
 COUNT_BYTES = 16 << 20
-
-
-def word_counts(texts: DataFrame) -> DataFrame:
-    """How often each word stands in all texts: ``word`` (64-bit hash), ``n``."""
+#: Pairs with this share of all pairs are looked up without a shuffle, all others by a join.
+#: It decides where a loss is looked up, never what it is; at most its inverse is sent to workers.
+HOT_SHARE = 1e-6
+
+
+def _written(df: DataFrame) -> DataFrame:
+    path = f"{scratch_root(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def hashed(value: np.ndarray, seed: np.ndarray | np.uint64) -> np.ndarray:
+    """Spark's xxhash64 of 64-bit integers."""
+    p1, p2, p3, p4, p5 = map(np.uint64, (
+        0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5,
+    ))
+    turned = lambda x, n: (x << np.uint64(n)) | (x >> np.uint64(64 - n))
+    with np.errstate(over="ignore"):
+        h = (seed + p5 + np.uint64(8)) ^ (turned(value * p2, 31) * p1)
+        h = turned(h, 27) * p1 + p4
+        h = (h ^ (h >> np.uint64(33))) * p2
+        h = (h ^ (h >> np.uint64(29))) * p3
+        return h ^ (h >> np.uint64(32))
+
+
+def neighbours(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs of a slice, each word with the one before it or the text's start: hash of
+    the pair (``xxhash64(h, w)``), hashes of its two words, and for each word of the slice the place of its pair."""
+    hashes = np.concatenate([word_hashes(words.distinct).view(np.int64), np.array([START], np.int64)])
+    n = len(hashes)
+    before = np.concatenate([[n - 1], words.codes[:-1]]) if len(words.codes) else words.codes
+    before[words.offsets[:-1][np.diff(words.offsets) > 0]] = n - 1
+    found, place = np.unique(before * n + words.codes, return_inverse=True)
+    heads, tails = hashes[found // n], hashes[found % n]
+    pairs = hashed(tails.view(np.uint64), hashed(heads.view(np.uint64), np.uint64(42)))
+    return pairs.view(np.int64), heads, tails, place
+
+
+def pair_counts(texts: DataFrame) -> DataFrame:
+    """Counts of neighbouring words: ``h``, ``w`` (the words' hashes), ``target`` (in target texts), ``background`` (in all)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in byte_slices(batch, "text", COUNT_BYTES):
                 words = split_words(plain_texts(part, "text"))
-                counts = np.bincount(words.codes, minlength=len(words.distinct))
-                some = counts > 0
-                hashes = word_hashes(words.distinct).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(hashes[some]), pa.array(counts[some])], names=["word", "n"])
+                _, heads, tails, place = neighbours(words)
+                wanted = part.column("target").to_numpy(zero_copy_only=False)[words.rows]
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(heads), pa.array(tails),
+                    pa.array(np.bincount(place, wanted, len(heads)).astype(np.int64)),
+                    pa.array(np.bincount(place, minlength=len(heads))),
+                ], names=["h", "w", "target", "background"])
+
+    return texts.select("text", "target").mapInArrow(
+        run, "h long, w long, target long, background long"
+    ).groupBy("h", "w").agg(F.sum("target").alias("target"), F.sum("background").alias("background"))
 
-    return texts.select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
+@dataclass
+class Models:
+    """Two interpolated bigram models over one vocabulary, in Spark tables.
+
+    ``words``: ``word``, its share as second of a pair (``target_share``, ``background_share``)
+    how often it is first (``target_heads``, ``background_heads``) and what its pairs leave over
+    then (``target_rest``, ``background_rest``). ``pairs``: ``h``, ``w`` and counts. ``unknown`` is the row of a word outside the vocabulary. ``whole``:
+    every word and pair was kept.
+    """
 
-def numbered(words, vocabulary: np.ndarray) -> np.ndarray:
-    """Numbers of the words of a slice in the shared vocabulary (sorted hashes)."""
-    hashes = word_hashes(words.distinct).view(np.int64)
-    at = np.minimum(np.searchsorted(vocabulary, hashes), max(len(vocabulary) - 1, 0))
-    known = vocabulary[at] == hashes if len(vocabulary) else np.zeros(len(hashes), bool)
-    return np.where(known, at + 2, UNKNOWN)[words.codes]
+    words: DataFrame
+    pairs: DataFrame
+    unknown: dict[str, float]
+    whole: bool
+
+    def figures(self, pairs: DataFrame, side: str, columns: list[str]) -> DataFrame:
+        """``pairs`` with the columns of the word ``side``; one outside the vocabulary is UNKNOWN."""
+        known = self.words.select(F.col("word").alias(side), F.lit(True).alias("_known"), *columns)
+        rows = join_unique(pairs, known, side)
+        return rows.withColumn(side, F.when(F.col("_known"), F.col(side)).otherwise(F.lit(UNKNOWN))).withColumns(
+            {c: F.coalesce(c, F.lit(self.unknown[c])) for c in columns}
+        ).drop("_known")
+
+    def losses(self, pairs: DataFrame, own: bool) -> DataFrame:
+        """Bits that either model needs for the second word of each pair: ``pair``, ``n``,
+        ``target_bits``, ``background_bits``. ``own``: the pairs are the models', with their counts."""
+        raw = pairs.select(
+            F.xxhash64("h", "w").alias("pair"), "h", "w", F.col("background").alias("n"),
+            *[F.col(m) for m in ("target", "background") if own],
+        )
+        rows = self.figures(raw, "w", ["target_share", "background_share"])
+        rows = self.figures(rows, "h", ["target_heads", "background_heads", "target_rest", "background_rest"])
+        if not own:
+            rows = join_unique(rows, self.pairs, ["h", "w"])
+
+        def bits(m: str) -> Column:
+            seen = F.greatest(F.coalesce(m, F.lit(0)) - DISCOUNT, F.lit(0.0)) / F.col(f"{m}_heads")
+            return (-F.log2(seen + F.col(f"{m}_rest") * F.col(f"{m}_share"))).alias(f"{m}_bits")
+
+        return rows.select("pair", "n", bits("target"), bits("background"))
+
+
+def in_vocabulary(pairs: DataFrame, word_share: float) -> DataFrame:
+    """``pairs`` over the words with at least the share ``word_share`` of all; others are UNKNOWN."""
+    counts = _written(pairs.groupBy("w").agg(F.sum("background").alias("n")))
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    known = counts.where(F.col("n") >= F.lit(float(word_share * total)))
+    for side in ("w", "h"):
+        held = known.select(F.col("w").alias(side), F.lit(True).alias("_known"))
+        kept = F.col("_known") | (F.col(side) == START)
+        pairs = join_unique(pairs, held, side).withColumn(
+            side, F.when(kept, F.col(side)).otherwise(F.lit(UNKNOWN))
+        ).drop("_known")
+    return pairs.groupBy("h", "w").agg(
+        F.sum("target").alias("target"), F.sum("background").alias("background")
+    )
 
 
-def pair_keys(numbers: np.ndarray, offsets: np.ndarray, size: int) -> np.ndarray:
-    """A key for each word with the word before it, or the text's start."""
-    before = np.concatenate([[START], numbers[:-1]]) if len(numbers) else numbers
-    first = offsets[:-1][np.diff(offsets) > 0]
-    before[first] = START
-    return before * size + numbers
+def fit_models(docs: DataFrame, word_share: float = 0.0, pair_share: float = 0.0) -> Models:
+    """Models from all texts (columns ``text``, ``target``): target texts against all.
 
+    Every word and every pair of neighbours of all texts is counted, by Arrow per slice and
+    by Spark over all, and kept: the tables grow with the input and stay in Spark. Nothing
+    of them is collected but three totals. On request words under the share ``word_share``
+    of all words are UNKNOWN, and pairs with neither the share ``pair_share`` of target nor
+    of all pairs back off to single words.
 
-def pair_counts(texts: DataFrame, vocabulary: np.ndarray) -> DataFrame:
-    """Counts of neighbouring words: ``pair``, ``target`` (in target texts), ``background`` (in all)."""
-    held = texts.sparkSession.sparkContext.broadcast(vocabulary)
-    size = len(vocabulary) + 2
+    p(w) = (n(w) + ADDED) / (N + ADDED V); p(w | h) = max(n(h, w) - DISCOUNT, 0) / n(h) for a
+    kept pair, plus p(w) times what the kept pairs of h leave over. Both models differ in
+    their counts only.
+    """
+    pairs = _written(pair_counts(docs))
+    if word_share > 0:
+        pairs = _written(in_vocabulary(pairs, word_share))
+    sides = {"target": F.lit(1.0), "background": F.lit(1.0)}
+    if pair_share > 0:
+        n = pairs.agg(*[F.sum(m) for m in sides]).first()
+        sides = {m: F.lit(float(max(pair_share * (n[k] or 0), 1))) for k, m in enumerate(sides)}
+    kept = (F.col("target") >= sides["target"]) | (F.col("background") >= sides["background"])
+    spent = {m: F.when(kept, F.greatest(F.col(m) - DISCOUNT, F.lit(0.0))).otherwise(0.0) for m in sides}
+    none = pairs.sparkSession.sql(f"""SELECT CAST({UNKNOWN} AS BIGINT) AS word, 0L AS target_after, 0L AS background_after,
+        0L AS target_before, 0L AS background_before, 0D AS target_spent, 0D AS background_spent""")
+    ends = pairs.select(
+        F.col("w").alias("word"), *[F.col(m).alias(f"{m}_after") for m in sides],
+        *[F.lit(0).cast("long").alias(f"{m}_before") for m in sides], *[F.lit(0.0).alias(f"{m}_spent") for m in sides],
+    )
+    starts = pairs.select(
+        F.col("h").alias("word"), *[F.lit(0).cast("long").alias(f"{m}_after") for m in sides],
+        *[F.col(m).alias(f"{m}_before") for m in sides], *[spent[m].alias(f"{m}_spent") for m in sides],
+    )
+    sums = [f"{m}_{x}" for x in ("after", "before", "spent") for m in sides]
+    words = _written(ends.unionByName(starts).unionByName(none).groupBy("word").agg(*[F.sum(c).alias(c) for c in sums]))
+    total = words.agg(
+        F.sum("target_after").alias("target"), F.sum("background_after").alias("background"),
+        F.count_if(~F.col("word").isin(UNKNOWN, START)).alias("size"),
+    ).first()
+    heads = {m: F.greatest(F.col(f"{m}_before"), F.lit(1)) for m in sides}
+    words = words.select("word", *[
+        ((F.col(f"{m}_after") + ADDED) / F.lit(total[m] + ADDED * (total["size"] + 1))).alias(f"{m}_share") for m in sides
+    ], *[F.greatest(1 - F.col(f"{m}_spent") / heads[m], F.lit(1e-12)).alias(f"{m}_rest") for m in sides],
+        *[heads[m].alias(f"{m}_heads") for m in sides])
+    whole = word_share <= 0 and pair_share <= 0
+    unknown = words.where(F.col("word") == UNKNOWN).first().asDict()
+    return Models(words, pairs.where(kept), unknown, whole)
+
+
+def hot_losses(losses: DataFrame, hot_share: float) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of the pairs with at least the share ``hot_share`` of all, and their bits."""
+    total = losses.agg(F.sum("n")).first()[0] or 0
+    rows = losses.where(F.col("n") >= F.lit(float(hot_share * total))).toArrow()
+    order = np.argsort(rows["pair"].to_numpy())
+    bits = np.stack([rows["target_bits"].to_numpy(), rows["background_bits"].to_numpy()], axis=1)
+    return rows["pair"].to_numpy()[order], bits[order]
+
+
+def text_sums(texts: DataFrame, hot: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """One row per text: ``key``, ``n_words``, ``target_bits``, ``background_bits`` of its hot
+    pairs, and ``cold``, the other pairs with their numbers."""
+    held = texts.sparkSession.sparkContext.broadcast(hot)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = held.value
+        known, bits = held.value
         for batch in batches:
             for part in byte_slices(batch, "text", COUNT_BYTES):
                 words = split_words(plain_texts(part, "text"))
-                pairs = pair_keys(numbered(words, known), words.offsets, size)
-                wanted = part.column("target").to_numpy(zero_copy_only=False)[words.rows]
-                found, place = np.unique(pairs, return_inverse=True)
+                pairs, _, _, place = neighbours(words)
+                at = np.minimum(np.searchsorted(known, pairs), max(len(known) - 1, 0))
+                is_hot = known[at] == pairs if len(known) else np.zeros(len(pairs), bool)
+                each = np.zeros((len(pairs), 2))
+                each[is_hot] = bits[at[is_hot]]
+                rare = ~is_hot[place]
+                found, n = np.unique(words.rows[rare] * max(len(pairs), 1) + place[rare], return_counts=True)
+                rows, which = found // max(len(pairs), 1), found % max(len(pairs), 1)
+                ends = np.searchsorted(rows, np.arange(len(words.offsets)))
+                cold = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(
+                    [pa.array(pairs[which]), pa.array(n.astype(np.int64))], names=["pair", "n"]
+                ))
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(found), pa.array(np.bincount(place, wanted, len(found)).astype(np.int64)),
-                    pa.array(np.bincount(place, minlength=len(found))),
-                ], names=["pair", "target", "background"])
+                    part.column("key"), pa.array(np.diff(words.offsets)),
+                    *[pa.array(row_sums(each[place, k], words.offsets)) for k in (0, 1)], cold,
+                ], names=["key", "n_words", "target_bits", "background_bits", "cold"])
 
-    counted = texts.select("text", "target").mapInArrow(run, "pair long, target long, background long")
-    return counted.groupBy("pair").agg(F.sum("target").alias("target"), F.sum("background").alias("background"))
+    return texts.mapInArrow(run, (
+        "key long, n_words long, target_bits double, background_bits double, cold array<struct<pair: long, n: long>>"
+    ))
 
 
-@dataclass
-class Models:
-    """Two interpolated bigram models over one vocabulary; column 0 target, 1 background."""
-
-    vocabulary: np.ndarray
-    word_logs: np.ndarray
-    back_off_logs: np.ndarray
-    pairs: np.ndarray
-    pair_logs: np.ndarray
-
-    def losses(self, words) -> np.ndarray:
-        """Bits that either model needs for each word of a slice."""
-        size = len(self.vocabulary) + 2
-        numbers = numbered(words, self.vocabulary)
-        keys = pair_keys(numbers, words.offsets, size)
-        out = self.word_logs[numbers] + self.back_off_logs[keys // size]
-        if len(self.pairs):
-            at = np.minimum(np.searchsorted(self.pairs, keys), len(self.pairs) - 1)
-            kept = self.pairs[at] == keys
-            out[kept] = self.pair_logs[at[kept]]
-        return -out
-
-
-def matched_models(
-    vocabulary: np.ndarray, pairs: np.ndarray, counts: np.ndarray, before: np.ndarray, after: np.ndarray,
-    discount: float = DISCOUNT, added: float = ADDED,
-) -> Models:
-    """Models from the kept pairs' counts and the totals of words as first and as second of a pair.
-
-    p(w) = (n(w) + added) / (N + added V); p(w | h) = max(n(h, w) - discount, 0) / n(h) for a
-    kept pair, plus p(w) times what the kept pairs of h leave over. Both models differ in
-    their counts only.
-    """
-    size = len(vocabulary) + 2
-    after = after.astype(np.float64).copy()
-    shares = (after + added) / (after.sum(axis=0) + added * (size - 1))
-    head, tail = pairs // size, pairs % size
-    whole = np.maximum(before[head], 1)
-    own = np.maximum(counts - discount, 0) / whole
-    spent = np.stack([np.bincount(head, own[:, k], size) for k in (0, 1)], axis=1)
-    rest = np.maximum(1 - spent, 1e-12)
-    return Models(
-        vocabulary, np.log2(shares), np.log2(rest), pairs, np.log2(own + rest[head] * shares[tail])
-    )
+def text_pairs(texts: DataFrame) -> DataFrame:
+    """One row per word: ``key``, ``place`` in the text, ``pair``."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in byte_slices(batch, "text", COUNT_BYTES):
+                words = split_words(plain_texts(part, "text"))
+                pairs, _, _, place = neighbours(words)
+                keys = part.column("key").to_numpy()[words.rows]
+                at = np.arange(len(place)) - words.offsets[words.rows]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(keys), pa.array(at), pa.array(pairs[place])], names=["key", "place", "pair"]
+                )
 
+    return texts.mapInArrow(run, "key long, place long, pair long")
 
-def fit_models(
-    docs: DataFrame, word_share: float = WORD_SHARE, pair_share: float = PAIR_SHARE,
-) -> Models:
-    """Models from all texts (columns ``text``, ``target``): target texts against all.
 
-    Every word and every pair of neighbours of all texts is counted, by Arrow per slice
-    and by Spark over all. The vocabulary is the words with at least the share
-    ``word_share`` of all words, so it has at most its inverse of entries; pairs with
-    neither the share ``pair_share`` of target nor of all pairs back off to single words,
-    so at most twice its inverse is kept. These bounds hold for any input, and only what
-    they bound is collected and sent to workers.
-    """
-    spark = docs.sparkSession
-    folder = f"{scratch_root(spark)}/{uuid.uuid4().hex}"
-    word_counts(docs).write.parquet(f"{folder}/words")
-    words = spark.read.parquet(f"{folder}/words")
-    total = words.agg(F.sum("n")).first()[0] or 0
-    kept = words.where(F.col("n") >= F.lit(word_share * total)).select("word").toArrow()
-    vocabulary = np.sort(kept["word"].to_numpy())
-    size = len(vocabulary) + 2
-    pair_counts(docs, vocabulary).write.parquet(f"{folder}/pairs")
-    pairs = spark.read.parquet(f"{folder}/pairs")
-
-    def totals(key) -> np.ndarray:
-        rows = pairs.groupBy(key.cast("long").alias("k")).agg(
-            F.sum("target").alias("target"), F.sum("background").alias("background")
-        ).toArrow()
-        out = np.zeros((size, 2))
-        out[rows["k"].to_numpy()] = np.stack([rows["target"].to_numpy(), rows["background"].to_numpy()], axis=1)
-        return out
-
-    before, after = totals(F.floor(F.col("pair") / size)), totals(F.col("pair") % size)
-    n_target, n_all = after.sum(axis=0)
-    rows = pairs.where(
-        (F.col("target") >= F.lit(float(max(pair_share * n_target, 1))))
-        | (F.col("background") >= F.lit(float(max(pair_share * n_all, 1))))
-    ).orderBy("pair").toArrow()
-    counts = np.stack([rows["target"].to_numpy(), rows["background"].to_numpy()], axis=1).astype(np.float64)
-    return matched_models(vocabulary, rows["pair"].to_numpy(), counts, before, after)
-
-
-def score_texts(df: DataFrame, models: Models, text_col: str = "text", token_differences: bool = False) -> DataFrame:
+def score_texts(
+    df: DataFrame, models: Models, text_col: str = "text", token_differences: bool = False,
+    fitted: bool = False, hot_share: float = HOT_SHARE,
+) -> DataFrame:
     """``df`` with ``n_words``, ``target_loss``, ``background_loss`` (bits a word) and ``score``.
 
     The score is the mean over the words of target loss less background loss: the lower,
     the more a text is like the target. ``token_differences`` adds the differences
     themselves, an array with one per word. Null and word-free texts have 0 words and
-    null losses and score. Narrow, no shuffle; columns with the new names are replaced.
-    """
-    fields = [T.StructField("n_words", T.LongType())] + [
-        T.StructField(c, T.DoubleType()) for c in ("target_loss", "background_loss", "score")
-    ] + [T.StructField("token_differences", T.ArrayType(T.DoubleType(), False))] * token_differences
-    held = df.sparkSession.sparkContext.broadcast(models)
-
-    def make():
-        models = held.value
+    null losses and score. Columns with the new names are replaced. ``fitted`` says that
+    the models were fitted on all texts of ``df`` (and maybe more), which saves a pass.
 
-        def compute(texts: pa.Array) -> list[pa.Array]:
-            words = split_words(texts)
-            losses = models.losses(words)
-            n = np.diff(words.offsets)
-            none = n == 0
-            difference = losses[:, 0] - losses[:, 1]
-            means = [
-                pa.array(row_sums(x, words.offsets) / np.maximum(n, 1), mask=none)
-                for x in (losses[:, 0], losses[:, 1], difference)
-            ]
-            each = pa.ListArray.from_arrays(pa.array(words.offsets, pa.int32()), pa.array(difference))
-            return [pa.array(n), *means, *[each] * token_differences]
-
-        return compute
-
-    return with_arrow_columns(df, text_col, fields, make)
+    The losses of hot pairs are sent to workers and summed where the text is; the other
+    pairs of a text, each with its number, are joined to the models' tables. Copies of a
+    text share a key, the hash of the text, and get equal scores. The rows of ``df``
+    themselves are shuffled once, by that key.
+    """
+    names = ["n_words", "target_loss", "background_loss", "score"] + ["token_differences"] * token_differences
+    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    texts = df.select(F.xxhash64(text).alias("key"), text.alias("text"))
+    own = fitted and models.whole
+    pairs = models.pairs if own else pair_counts(texts.withColumn("target", F.lit(False))).drop("target")
+    losses = _written(models.losses(pairs, own))
+    rows = _written(text_sums(texts, hot_losses(losses, hot_share)))
+    table = losses.select("pair", F.col("target_bits").alias("t"), F.col("background_bits").alias("b"))
+    cold = rows.select("key", F.explode("cold").alias("_c")).select("key", "_c.pair", "_c.n").join(table, "pair")
+    sums = rows.select("key", "n_words", "target_bits", "background_bits", F.lit(1).cast("long").alias("copies")).unionByName(
+        cold.select(
+            "key", F.lit(0).cast("long").alias("n_words"), (F.col("n") * F.col("t")).alias("target_bits"),
+            (F.col("n") * F.col("b")).alias("background_bits"), F.lit(0).cast("long").alias("copies"),
+        )
+    ).groupBy("key").agg(*[F.sum(c).alias(c) for c in ("n_words", "target_bits", "background_bits", "copies")])
+    words = F.when(F.col("n_words") > 0, F.col("n_words"))
+    found = sums.select(
+        "key", (F.col("n_words") / F.col("copies")).cast("long").alias("n_words"),
+        (F.col("target_bits") / words).alias("target_loss"), (F.col("background_bits") / words).alias("background_loss"),
+        ((F.col("target_bits") - F.col("background_bits")) / words).alias("score"),
+    )
+    if token_differences:
+        each = text_pairs(texts).join(table, "pair").groupBy("key").agg(
+            F.sort_array(F.collect_set(F.struct("place", (F.col("t") - F.col("b")).alias("d")))).alias("each")
+        ).select("key", F.col("each.d").alias("token_differences"))
+        found = join_unique(found, each, "key").withColumn(
+            "token_differences", F.coalesce("token_differences", F.array().cast("array<double>"))
+        )
+    key = unused_name(df, "_text_key")
+    passed = [c for c in df.columns if c not in names]
+    keyed = df.select(*[f"`{c}`" for c in passed], F.xxhash64(text).alias(key))
+    return join_unique(keyed, found.withColumnRenamed("key", key), key).select(*[f"`{c}`" for c in passed], *names)
 
 
 def op2_lm_difference(spark, sf_dir):
@@ -204,6 +300,6 @@ def op2_lm_difference(spark, sf_dir):
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     good = labels.where("quality = 1").select("doc_id", F.lit(True).alias("good")).distinct()
     marked = join_unique(docs, good, "doc_id").select("text", F.coalesce("good", F.lit(False)).alias("target"))
-    return score_texts(docs, fit_models(marked)).select(
+    return score_texts(docs, fit_models(marked), fitted=True).select(
         "doc_id", "n_words", *[F.round(c, 6).alias(c) for c in ("target_loss", "background_loss", "score")]
     )
