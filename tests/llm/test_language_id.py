@@ -85,3 +85,25 @@ def test_query_learns_from_the_right_rows(spark, docs, tmp_path):
     got = I.op3_language_id(spark, str(tmp_path))
     assert got.columns == ["doc_id", "held_out", "lang_pred", "score"]
     assert {r.lang_pred for r in got.collect()} <= {*SYLLABLES, "und"}
+
+
+def test_sample_counts_copies_once(spark):
+    rng = random.Random(5)
+    rows = [(text_in(rng, "aa"), "aa") for _ in range(40)] + [(text_in(rng, "bb"), "bb") for _ in range(5)] * 400
+    got = I.fit_sample(spark.createDataFrame(rows, "text string, lang string"), 5, 6000).collect()
+    assert [sum(r.lang == lang for r in got) for lang in ("aa", "bb")] == [5, 5]
+    assert len({r.text for r in got}) == 10 and {(r.text, r.lang) for r in got} <= set(rows)
+
+
+def test_sample_takes_stretches_of_long_texts_where_short_ones_do_not_fill_it(spark):
+    rng = random.Random(6)
+    short = [(text_in(rng, "aa"), "aa") for _ in range(8)] + [(text_in(rng, "bb"), "bb") for _ in range(2)]
+    long = [(text_in(rng, lang, 200), lang) for lang in ("aa", "bb", "cc") for _ in range(8)]
+    df = spark.createDataFrame(short + long, "text string, lang string")
+    got = I.fit_sample(df, 5, 500).collect()
+    assert {lang: sum(r.lang == lang for r in got) for lang in SYLLABLES} == {"aa": 5, "bb": 5, "cc": 5}
+    whole = {t for t, _ in short}
+    assert all(r.text in whole for r in got if r.lang == "aa") and {t for t, k in short if k == "bb"} <= {r.text for r in got}
+    for r in got:
+        assert r.text in whole or any(t.startswith(r.text + " ") and len(r.text) <= 500 for t, _ in long)
+    assert I.fit_language_model(df, 5, 500).labels == sorted(SYLLABLES)

@@ -47,23 +47,35 @@ def letter_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
 
 
 def fit_sample(labelled: DataFrame, rows: int, chars: int) -> DataFrame:
-    """About ``rows`` texts of each language, at most; whole texts of up to ``chars`` characters.
+    """Up to ``rows`` different texts of each language: ``lang``, ``text``, ``h``.
 
-    Texts are drawn by a hash of the text, at a rate that follows from a count per
-    language, so what reaches the driver is bounded whatever the input; copies count once.
+    Texts of up to ``chars`` characters come first and whole. Where a language has fewer than
+    ``rows`` of them, longer texts fill the sample with their first ``chars`` characters, less
+    a word that the end cuts. Texts are drawn by a hash of the text, at a rate that follows
+    from a count of each language's different texts, so copies count once, no language is
+    lost, and what reaches the driver is bounded whatever the input.
     """
-    short = labelled.where(F.col("lang").isNotNull() & (F.length("text") <= chars) & (F.col("text") != ""))
-    counts = short.groupBy("lang").count().collect()  # one row per language
-    if not counts:
-        return short.select("lang", "text", F.lit(0).cast("long").alias("h"))
     span = 1 << 30
+    hashed = labelled.where(F.col("lang").isNotNull() & (F.col("text") != "")).select(
+        "lang", "text", F.xxhash64("text").alias("h"), (F.length("text") > chars).alias("long")
+    )
+    counts = hashed.select("lang", "long", "h").distinct().groupBy("lang", "long").count().collect()
+    if not counts:
+        return hashed.select("lang", "text", "h")
+    short = {r["lang"]: r["count"] for r in counts if not r["long"]}
     limits = F.create_map(*[
-        F.lit(x) for r in counts for x in (r["lang"], min(span, 3 * rows * span // r["count"] + 1))
+        x for r in counts if not r["long"] or short.get(r["lang"], 0) < rows for x in (
+            F.struct(F.lit(r["lang"]).alias("lang"), F.lit(r["long"]).alias("long")),
+            F.lit(min(span, 3 * rows * span // r["count"] + 1)),
+        )
     ])
-    drawn = short.withColumn("h", F.xxhash64("text")).where(
-        F.pmod("h", F.lit(span)) < F.element_at(limits, F.col("lang"))
-    ).groupBy("lang", "h").agg(F.first("text").alias("text"))
-    order = Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(1 << 30)), "h")
+    first = F.regexp_replace(F.substring("text", 1, chars), r"(?<=\S)\s\S*$", "")
+    drawn = hashed.where(
+        F.pmod("h", F.lit(span)) < F.element_at(limits, F.struct("lang", "long"))
+    ).select("lang", "h", "long", F.when(F.col("long"), first).otherwise(F.col("text")).alias("text")).groupBy(
+        "lang", "long", "h"
+    ).agg(F.first("text").alias("text"))
+    order = Window.partitionBy("lang").orderBy("long", F.pmod("h", F.lit(span)), "h")
     return drawn.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= rows).select("lang", "text", "h")
 
 
