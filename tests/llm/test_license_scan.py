@@ -70,3 +70,15 @@ def test_query_rows(spark, tmp_path):
     got = L.op7_license_scan(spark, str(tmp_path)).collect()
     assert [(r.doc_id, r.template, r.coverage) for r in got] == [(1, "gpl-3.0-notice", 1.0)]
     assert L.licenses_in(L.PrintIndex(TEMPLATES), pa.array([""]), 0.8) == [[]]
+
+
+def test_short_notices_with_changed_words():
+    index = L.PrintIndex(TEMPLATES)
+    for name in ("mit-notice", "cc-by-nc-notice", "apache-2.0-notice"):
+        words = TEMPLATES[name].split()
+        texts = [" ".join(["before", "it", *words[:k], "changed", *words[k + 1:], "behind"]) for k in range(len(words))]
+        for found in L.licenses_in(index, pa.array(texts), L.COVERAGE):
+            assert name in [x["template"] for x in found]
+    texts = ["Released under an MIT License.", "Licensed under the Apache Licence, Version 2.0."]
+    found = L.licenses_in(index, pa.array(texts), L.COVERAGE)
+    assert [[(x["template"], x["matched_words"]) for x in f] for f in found] == [[("mit-notice", 4)], [("apache-2.0-notice", 6)]]

@@ -1,4 +1,4 @@
-"""License scans (operator 7): winnowed fingerprints pick candidates, banded alignment judges them."""
+"""License scans (operator 7): fingerprints pick candidates, banded alignment judges them."""
 
 from __future__ import annotations
 
@@ -15,7 +15,7 @@ from .decontaminate import bare_words
 from .license_texts import TEMPLATES
 
 GRAM = 3
-WINDOW = 4
+WINDOW = 1  # all grams are fingerprints
 COVERAGE = 0.8
 LEAST_PRINTS = 0.2
 MISS, GAP = -1, -1
@@ -37,26 +37,39 @@ def winnowed(hashes: np.ndarray, window: int) -> np.ndarray:
     return np.unique(np.arange(len(views)) + least)
 
 
+def least_run(words: int, coverage: float) -> int:
+    """Words that stay together in every copy with as many words changed as ``coverage`` allows."""
+    changed = int(words * (1 - coverage) + 1e-9)
+    return -(-(words - changed) // (changed + 1))
+
+
 class PrintIndex:
-    """Winnowed fingerprints of templates, by hash."""
+    """Fingerprints of templates, by gram size and hash. A template so short that a copy at the
+    coverage may keep no ``gram`` words together has shorter grams."""
 
-    def __init__(self, templates: dict[str, str], gram: int = GRAM, window: int = WINDOW):
-        self.names, self.gram = sorted(templates), gram
+    def __init__(
+        self, templates: dict[str, str], gram: int = GRAM, window: int = WINDOW, coverage: float = COVERAGE,
+    ):
+        self.names = sorted(templates)
         self.offsets, self.words, _ = bare_words(pa.array([templates[n] for n in self.names], pa.string()))
-        hashes, owners, places, self.prints = [], [], [], []
+        self.prints = [0] * len(self.names)
+        found: dict[int, list[tuple[np.ndarray, ...]]] = {}
         for k in range(len(self.names)):
             words = self.template(k)
-            grams = window_hashes(words, min(gram, len(words))) if len(words) >= gram else np.empty(0, np.uint64)
+            if len(words) < gram:
+                continue
+            size = max(1, min(gram, least_run(len(words), coverage)))
+            grams = window_hashes(words, size)
             at = winnowed(grams, window)
-            hashes.append(grams[at])
-            owners.append(np.full(len(at), k))
-            places.append(at)
-            self.prints.append(len(at))
-        order = np.argsort(np.concatenate(hashes), kind="stable")
-        self.hashes = np.concatenate(hashes)[order]
-        self.owners, self.places = np.concatenate(owners)[order], np.concatenate(places)[order]
-        self.table = np.zeros(1 << 16, bool)
-        self.table[self.hashes >> np.uint64(48)] = True
+            found.setdefault(size, []).append((grams[at], np.full(len(at), k), at))
+            self.prints[k] = len(at)
+        self.levels = []
+        for size, parts in sorted(found.items()):
+            hashes, owners, places = map(np.concatenate, zip(*parts))
+            order = np.argsort(hashes, kind="stable")
+            table = np.zeros(1 << 16, bool)
+            table[hashes >> np.uint64(48)] = True
+            self.levels.append((size, hashes[order], owners[order], places[order], table))
 
     def template(self, k: int) -> np.ndarray:
         return self.words[self.offsets[k]:self.offsets[k + 1]]
@@ -66,47 +79,54 @@ class PrintIndex:
 
         Every gram of a text is looked up, so a fingerprint is found wherever it stands.
         """
-        starts, rows = inside_rows(offsets, self.gram)
-        if not len(starts):
-            return (np.empty(0, np.int64),) * 4
-        grams = window_hashes(words, self.gram)[starts]
-        maybe = np.flatnonzero(self.table[grams >> np.uint64(48)])
-        low = np.searchsorted(self.hashes, grams[maybe], "left")
-        n = np.searchsorted(self.hashes, grams[maybe], "right") - low
-        at = np.repeat(maybe, n)
-        to = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        return rows[at], self.owners[to], (starts - offsets[:-1][rows])[at], self.places[to]
+        out = [(np.empty(0, np.int64),) * 4]
+        for size, hashes, owners, places, table in self.levels:
+            starts, rows = inside_rows(offsets, size)
+            if not len(starts):
+                continue
+            grams = window_hashes(words, size)[starts]
+            maybe = np.flatnonzero(table[grams >> np.uint64(48)])
+            low = np.searchsorted(hashes, grams[maybe], "left")
+            n = np.searchsorted(hashes, grams[maybe], "right") - low
+            at = np.repeat(maybe, n)
+            to = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            out.append((rows[at], owners[to], (starts - offsets[:-1][rows])[at], places[to]))
+        return tuple(map(np.concatenate, zip(*out)))
 
 
 def banded_alignment(template: np.ndarray, text: np.ndarray, shift: int, band: int) -> tuple[int, int, int]:
     """Best local alignment near a diagonal: matched words, first and last matched place in the text.
 
     Cell (i, d) pairs word i of the template with word ``i + shift + d - band`` of the text;
-    a match scores 1, a mismatch, a word left out on either side -1. No match: (0, -1, -1).
+    a match scores 1, a mismatch, a word left out on either side -1; of equal scores the one
+    with more matches counts, so a single word beyond a changed one is part of the copy.
+    No match: (0, -1, -1).
     """
+    unit = len(template) + 1  # scores are kept times this, plus the matches
+    match, miss, gap = unit + 1, MISS * unit, GAP * unit
     width = 2 * band + 1
-    score = np.zeros((len(template) + 1, width + 1), np.int32)  # the last column stays 0: outside the band
+    score = np.zeros((len(template) + 1, width + 1), np.int64)  # the last column stays 0: outside the band
     steps = np.arange(width)
     for i in range(len(template)):
         at = i + shift + steps - band
         inside = (at >= 0) & (at < len(text))
         equal = inside & (text[np.where(inside, at, 0)] == template[i])
-        row = np.maximum(score[i, :width] + np.where(equal, 1, MISS), score[i, 1:width + 1] + GAP)
+        row = np.maximum(score[i, :width] + np.where(equal, match, miss), score[i, 1:width + 1] + gap)
         row = np.where(inside, np.maximum(row, 0), 0)
-        row = np.maximum(row, np.maximum.accumulate(row - GAP * steps) + GAP * steps)
+        row = np.maximum(row, np.maximum.accumulate(row - gap * steps) + gap * steps)
         score[i + 1, :width] = np.where(inside, row, 0)
     i, d = np.unravel_index(int(np.argmax(score[:, :width])), (len(template) + 1, width))
     matched, first, last = 0, -1, -1
     while i > 0 and score[i, d] > 0:
         at = i - 1 + shift + d - band
         equal = 0 <= at < len(text) and text[at] == template[i - 1]
-        if score[i, d] == score[i - 1, d] + (1 if equal else MISS):
+        if score[i, d] == score[i - 1, d] + (match if equal else miss):
             if equal:
                 matched, first, last = matched + 1, at, max(last, at)
             i -= 1
-        elif score[i, d] == score[i - 1, d + 1] + GAP:
+        elif score[i, d] == score[i - 1, d + 1] + gap:
             i, d = i - 1, d + 1
-        elif d and score[i, d] == score[i, d - 1] + GAP:
+        elif d and score[i, d] == score[i, d - 1] + gap:
             d -= 1
         else:
             break
@@ -141,6 +161,10 @@ def licenses_in(index: PrintIndex, texts: pa.Array, coverage: float) -> list[lis
             begin = found_at - found_place
             middle = int(np.median(begin))
             wide = band + int(max(begin.max() - middle, middle - begin.min()))
+            # each matched word of the template is a word of the band
+            near = text[max(middle - wide, 0):max(middle + wide + len(template), 0)]
+            if np.isin(near, template).sum() < coverage * len(template):
+                continue
             matched, first, last = banded_alignment(template, text, middle, wide)
             if matched < coverage * len(template):
                 continue
@@ -163,14 +187,14 @@ def scan_licenses(
     An entry has ``template``, ``matched_words``, ``coverage`` (of the template's words) and
     ``start``, ``end`` (code points of the text, from the first to past the last matched
     word). Words are compared in lower case without marks. The index of the templates'
-    winnowed fingerprints goes to the workers; its size is that of the templates, a
+    fingerprints, all their grams, goes to the workers; its size is that of the templates, a
     parameter of the operator. A place with a fifth of a template's fingerprints is
     aligned, so copies with changed, missing or added words are found. A text may hold a
     template several times, and a notice that is part of a longer one is reported, too.
 
     Null and empty texts hold none. Templates of fewer than three words are not found.
     """
-    index = PrintIndex(TEMPLATES if templates is None else templates)
+    index = PrintIndex(TEMPLATES if templates is None else templates, coverage=coverage)
     held = df.sparkSession.sparkContext.broadcast(index)
 
     def make():
