@@ -10,7 +10,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 from . import (
-    bpe, chat, decontaminate, language_id, license_scan, line_rules, lm_score, near_dup, token_counts, wavelet,
+    bpe, chat, decontaminate, language_id, license_scan, line_rules, lm_score, near_dup, periodic,
+    token_counts, wavelet,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -48,7 +49,8 @@ QUERIES: dict[str, Query] = {
     f.__name__: _registered(f) for f in (
         chat.op1_chat_format, lm_score.op2_lm_difference, language_id.op3_language_id, bpe.op4_bpe,
         line_rules.op5_line_rules, near_dup.op6_dart_minhash, license_scan.op7_license_scan,
-        wavelet.op8_wavelet_shards, token_counts.op9_token_counts, decontaminate.op10_string_tiling, pipeline,
+        wavelet.op8_wavelet_shards, token_counts.op9_token_counts, decontaminate.op10_string_tiling,
+        periodic.op11_periodic_runs, pipeline,
     )
 }
 ORACLES: dict[str, str] = {
