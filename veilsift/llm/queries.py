@@ -10,7 +10,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 from . import (
-    bpe, chat, decontaminate, language_id, license_scan, line_rules, lm_score, near_dup, periodic,
+    bpe, chat, decontaminate, exact_topk, hard_negatives, language_id, license_scan, line_rules, lm_score, near_dup, periodic,
     token_counts, wavelet,
 )
 
@@ -50,9 +50,10 @@ QUERIES: dict[str, Query] = {
         chat.op1_chat_format, lm_score.op2_lm_difference, language_id.op3_language_id, bpe.op4_bpe,
         line_rules.op5_line_rules, near_dup.op6_dart_minhash, license_scan.op7_license_scan,
         wavelet.op8_wavelet_shards, token_counts.op9_token_counts, decontaminate.op10_string_tiling,
-        periodic.op11_periodic_runs, pipeline,
+        periodic.op11_periodic_runs, exact_topk.op12_exact_topk, hard_negatives.op13_hard_negatives, pipeline,
     )
 }
 ORACLES: dict[str, str] = {
     "op1_chat_format": chat.OP1_SQL, "op5_line_rules": line_rules.OP5_SQL,
+    "op12_exact_topk": exact_topk.OP12_SQL, "op13_hard_negatives": hard_negatives.OP13_SQL,
 }
