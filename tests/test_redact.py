@@ -1,23 +1,25 @@
+import importlib
 import random
+import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from tests import model
 from tests.test_rules import texts
-from veilsift.operators.redact import outbound_filter, redact
+from veilsift.operators.redact import apply_replacements, outbound_filter, redact
+from veilsift.rules import LATE_REDACTION_RULES, SAFE_REFERENCES
 from workloads.views import PLANTED
 
+SK = "sk" + "-Qr5tW8xZ2mB7nC4vL9kJ1hG6fD3sA0pY"
+URL = "mysql:" + "//svc:t0psecret@orders.brightshop.org:3306/orders"
+MAIL = "noor" + "@brightshop.org"
 EXAMPLE = "\n".join([
-    'const apiKey = "sk' + '-x7Kp9mQ2vN4tR8wL3jH6yD1bF5gZ0cVaB";',
-    'const dbUrl  = "postgres:' + '//admin:hunter2@db.internal:5432/prod";',
-    'const email  = "alice' + '@company.com";',
-    "const safe   = process.env.OPENAI_API_KEY;",
+    f"api_key: '{SK}'", f"- orders = {URL}", f"- contact = {MAIL}", "- token = os.environ['ORDERS_TOKEN']",
 ])
 EXPECTED = "\n".join([
-    "const apiKey = [REDACTED:sk-key];",
-    'const dbUrl  = "postgres[REDACTED:credentials-in-url]:5432/prod";',
-    'const email  = "[REDACTED:pii-email]";',
-    "const safe   = process.env.OPENAI_API_KEY;",
+    "api_key: [REDACTED:sk-key]", "- orders = mysql[REDACTED:credentials-in-url]:3306/orders",
+    "- contact = [REDACTED:pii-email]", "- token = os.environ['ORDERS_TOKEN']",
 ])
 
 
@@ -126,3 +128,68 @@ def test_street_addresses(spark):
         text, findings = model.redact(value)
         assert (row.redacted, [(f.rule_id, f.matched_text) for f in row.findings]) == (
             text, findings), value
+
+
+def in_turn(text, findings, protect):
+    """The plain meaning: value by value over the whole text (or over its open lines)."""
+    done = set()
+    for rule_id, value in sorted(findings, key=lambda f: (f[0] in LATE_REDACTION_RULES, -len(f[1]))):
+        if value in done:
+            continue
+        done.add(value)
+        lines = text.split("\n") if protect else [text]
+        text = "\n".join(
+            line if protect and any(s in line for s in SAFE_REFERENCES) else line.replace(value, f"[REDACTED:{rule_id}]")
+            for line in lines
+        )
+    return text
+
+
+def replaced(spark, cases, protect):
+    df = spark.createDataFrame(
+        [(i, t, [{"rule_id": r, "matched_text": m} for r, m in f]) for i, (t, f) in enumerate(cases)],
+        "id int, t string, f array<struct<rule_id string, matched_text string>>",
+    )
+    out = df.select("id", apply_replacements(F.col("t"), F.col("f"), protect).alias("r"))
+    return [r.r for r in out.orderBy("id").collect()]
+
+
+@pytest.mark.parametrize("protect", [False, True])
+def test_many_values_equal_value_by_value(spark, monkeypatch, protect):
+    """Values that overlap, lie in tokens, hold brackets or cut characters; safe lines in between."""
+    module = importlib.import_module("veilsift.operators.redact")
+    monkeypatch.setattr(module, "FEW_VALUES", 0)
+    monkeypatch.setattr(module, "_PIECE", 9)
+    rng = random.Random(3)
+    parts = ["a", "b", "ab", " ", ",", "sk", "-key", "[", "]", ":", "RED", "ED:s", "é", "\U0001f600", "=", "x9" * 7, "]a", "t[R"]
+    rules = ["sk-key", "pii-email", "cred-generic-secret"]
+    cases = []
+    for _ in range(400):
+        line = lambda: "".join(rng.choices(parts, k=rng.randrange(12)))
+        lines = [line() + (SAFE_REFERENCES[0] + "x" + line() if rng.random() < 0.2 else "") for _ in range(rng.randrange(1, 90))]
+        values = ["".join(rng.choices(parts, k=rng.randint(1, 5))) for _ in range(rng.randint(1, 12))]
+        cases.append(("\n".join(lines), [(rng.choice(rules), v) for v in values]))
+    for got, case in zip(replaced(spark, cases, protect), cases):
+        assert got == in_turn(*case, protect), case
+
+
+def test_many_values_in_a_long_text(spark):
+    phones = [f"415-867-{i:04d}" for i in range(10_000)]
+    keys = [f"AKIA{i * 7919:016d}" for i in range(10_000)]
+    one_line = '{"p":"' + '","p":"'.join(phones) + '"}' + "," * 800_000
+    lines = "\n".join(f"key {i} = '{k}' and again {keys[i - 1]} " + "z" * 50 for i, k in enumerate(keys))
+    cases = [(one_line, [("pii-phone-us", p) for p in phones]), (lines, [("aws-key", k) for k in keys])]
+    began = time.time()
+    got = replaced(spark, cases, False)
+    assert time.time() - began < 60
+    assert got[0] == '{"p":"' + '","p":"'.join(["[REDACTED:pii-phone-us]"] * 10_000) + '"}' + "," * 800_000
+    assert "AKIA" not in got[1] and got[1].count("[REDACTED:aws-key]") == 20_000
+
+
+def test_safe_lines_stay_if_protected(spark):
+    text = f"m = {MAIL}\nn = process.env.MAIL // {MAIL}\no = {MAIL}"
+    df = spark.createDataFrame([(text,)], "t string")
+    both = [redact(df, "t", protect_safe_lines=p).first().redacted.split("\n") for p in (False, True)]
+    assert [MAIL in x for x in both[0]] == [False] * 3 and [MAIL in x for x in both[1]] == [False, True, False]
+    sent = outbound_filter(df, "t", protect_safe_lines=True).first()
+    assert sent.outbound_text == "\n".join(both[1]) and sent.outbound_status == "redacted"

@@ -190,8 +190,23 @@ findings AS (
   WHERE min_entropy IS NULL OR secret = '' OR NOT ({entropy('secret')} < min_entropy))"""
 
 
-def redact_ctes(source: str, keys: str, text: str, with_rules: bool = True) -> str:
+def _replaced(text: str) -> str:
+    """The text with every value of ``d.todo`` replaced, one after the other."""
+    return f"""list_reduce(
+             list_prepend({{'acc': {text}, 'm': '', 't': ''}}, d.todo),
+             lambda a, b: {{'acc': replace(a.acc, b.m, b.t), 'm': '', 't': ''}}).acc"""
+
+
+def redact_ctes(
+    source: str, keys: str, text: str, with_rules: bool = True, protect_safe_lines: bool = False,
+) -> str:
     """``redacted``: keys, original text, redacted text and finding counts."""
+    replaced = _replaced(f"s.{text}")
+    if protect_safe_lines:
+        replaced = (
+            f"array_to_string(list_transform(string_split(s.{text}, chr(10)), "
+            f"lambda l: CASE WHEN {is_safe('l')} THEN l ELSE {_replaced('l')} END), chr(10))"
+        )
     late = ", ".join(quote(r) for r in LATE_REDACTION_RULES)
     k = ", ".join(f"s.{c.strip()}" for c in keys.split(","))
     return f"""{finding_ctes(source, keys, text, with_rules)},
@@ -214,9 +229,5 @@ summaries AS (
 redacted AS (
   SELECT {k}, s.{text} AS original, coalesce(d.n_findings, 0) AS n_findings,
          coalesce(d.has_high, false) AS has_high, coalesce(u.rules_found, '') AS rules_found,
-         CASE WHEN d.todo IS NULL THEN s.{text} ELSE
-           list_reduce(
-             list_prepend({{'acc': s.{text}, 'm': '', 't': ''}}, d.todo),
-             lambda a, b: {{'acc': replace(a.acc, b.m, b.t), 'm': '', 't': ''}}).acc
-         END AS redacted
+         CASE WHEN d.todo IS NULL THEN s.{text} ELSE {replaced} END AS redacted
   FROM {source} s LEFT JOIN steps d USING ({keys}) LEFT JOIN summaries u USING ({keys}))"""

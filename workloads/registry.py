@@ -287,8 +287,17 @@ REDACT_SOURCES = {
     # name: (view, CTE, keys, text column)
     "diffs": (V.file_diffs, DIFFS, "file_diffs", "file_idx", "diff"),
     "documents": (None, None, "documents", "doc_id", "text"),
-    "conversations": (None, None, "conversations", "conv_id, turn", "text"),
-    "pages": (None, None, "pages", "page_id", "html"),
+    "conversations": (
+        lambda spark, sf_dir: V.with_planted(
+            V.table(spark, sf_dir, "conversations"), "text", F.col("conv_id") + F.col("turn")),
+        f"planted_turns AS ({V.with_planted_sql('conversations', 'text', 'conv_id + turn')})",
+        "planted_turns", "conv_id, turn", "text",
+    ),
+    "pages": (
+        lambda spark, sf_dir: V.with_planted(V.table(spark, sf_dir, "pages"), "html", F.col("page_id")),
+        f"planted_pages AS ({V.with_planted_sql('pages', 'html', 'page_id')})",
+        "planted_pages", "page_id", "html",
+    ),
 }
 
 
@@ -352,17 +361,21 @@ SELECT file_idx, mode,
 FROM redacted, modes""")
 def outbound_modes(spark, sf_dir):
     files = V.file_diffs(spark, sf_dir).select("file_idx", "diff")
-    parts = [
-        O.outbound_filter(files, "diff", mode).select(
-            "file_idx", F.lit(mode).alias("mode"), "outbound_status", "outbound_rules",
-            "outbound_text",
-        )
-        for mode in ("redact", "block", "warn", "off")
-    ]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    return O.outbound_by_mode(files, "diff").drop("diff")
+
+
+PLANTED_DOCS = f"planted_docs AS ({V.with_planted_sql('documents', 'text', 'doc_id')})"
+
+
+@query(f"""WITH {PLANTED_DOCS},
+{Q.redact_ctes('planted_docs', 'doc_id', 'text', protect_safe_lines=True)}
+SELECT doc_id, redacted, has_high, n_findings FROM redacted""")
+def redact_protected(spark, sf_dir):
+    """Lines with a safe reference stay as they are, even if a value found elsewhere is on them."""
+    docs = V.with_planted(V.table(spark, sf_dir, "documents"), "text", F.col("doc_id"))
+    return O.redact(docs, "text", protect_safe_lines=True).select(
+        "doc_id", "redacted", "has_high", F.size("findings").alias("n_findings")
+    )
 
 
 @query(f"""WITH {ISSUES},

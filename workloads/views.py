@@ -146,6 +146,15 @@ def copied_diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def with_planted(df: DataFrame, text: str, key: Column) -> DataFrame:
+    """The table with one of the planted lines behind each text, and the same line once more
+    on a line that reads from configuration."""
+    planted = _pick(PLANTED, key)
+    return df.withColumn(
+        text, F.concat(F.col(text), F.lit("\n"), planted, F.lit("\nrun(process.env.STAGE) // "), planted)
+    )
+
+
 NEW_ISSUE = "Free-text note kept without an expiry date."
 
 
@@ -374,6 +383,14 @@ COPIED_DIFFS_SQL = f"""
          {_diff_sql("'file'", 'length(text)')} AS diff
   FROM documents"""
 
+def with_planted_sql(source: str, text: str, key: str) -> str:
+    planted = _pick_sql(PLANTED, key)
+    return (
+        f"SELECT * REPLACE ({text} || chr(10) || {planted} || chr(10) || 'run(process.env.STAGE) // ' "
+        f"|| {planted} AS {text}) FROM {source}"
+    )
+
+
 PACKAGES_SQL = """
   SELECT CAST(p_partkey // 50 AS INTEGER) AS n, min(p_name) AS about, min(p_size) AS size
   FROM part GROUP BY 1"""
