@@ -12,7 +12,8 @@ from veilsift.operators.scan import scan_rules
 from veilsift.plans import check_changes
 from veilsift.plans.check_changes import NOTHING_TO_SCAN
 from veilsift.sources import (
-    append_cache, cache_entries, changed_files, clear_cache, compact_cache, load_cache, pick_diff,
+    append_cache, cache_entries, changed_files, clear_cache, compact_cache, compact_in_place, crowded_prefixes,
+    load_cache, pick_diff,
 )
 from workloads.views import PLANTED
 
@@ -188,3 +189,36 @@ def test_cache_table(spark, tmp_path):
     assert {r.diff_hash: r.result.summary for r in again} == rows
     clear_cache(spark, path)
     assert load_cache(spark, path).count() == 0
+
+
+def test_compaction_in_place(spark, tmp_path):
+    path = str(tmp_path / "c")
+    hashes = [digest(str(i)) for i in range(40)]
+    append_cache(entries(spark, [(h, "HIGH", "old") for h in hashes]), path, "p0")
+    for i in range(1, 4):
+        append_cache(entries(spark, [(h, "HIGH", f"new {i}") for h in hashes[:30]]), path, f"p{i}")
+    append_cache(entries(spark, [(hashes[0], "HIGH", "other rules")], version="another"), path, "p4")
+    read = lambda: {r.diff_hash: r.result.summary for r in load_cache(spark, path).collect()}
+    want = read()
+    assert want == {h: "new 3" if i < 30 else "old" for i, h in enumerate(hashes)}
+    assert spark.read.parquet(path).count() == 131
+    crowded = crowded_prefixes(spark, path, max_files=3)
+    assert crowded == sorted({h[:2] for h in hashes[:30]})
+    compact_in_place(spark, path, crowded[:5])
+    assert read() == want and crowded_prefixes(spark, path, max_files=3) == crowded[5:]
+    compact_in_place(spark, path)
+    assert read() == want and spark.read.parquet(path).count() == 41  # one more of other rules
+    assert load_cache(spark, path, version="another").first().result.summary == "other rules"
+    compact_in_place(spark, path)  # a retry
+    append_cache(entries(spark, [(h, "HIGH", "new 3") for h in hashes[:30]]), path, "p3")
+    assert read() == want and spark.read.parquet(path).count() == 71
+    compact_in_place(spark, str(tmp_path / "none"))
+    assert crowded_prefixes(spark, str(tmp_path / "none")) == []
+
+
+def test_files_given_twice(spark, case):
+    files, verdicts = case
+    twice = spark.createDataFrame([*files[:30], *files[:30], (1, 1, None, "src/n.ts", "+null key")], SCHEMA)
+    rows = check_changes(twice, verdicts=verdict_frame(spark, verdicts)).file_results.collect()
+    kept = [f for f in files[:30] if not model.skipped(f[3]) and f[4].strip()]
+    assert len(rows) == 2 * len(kept) + 1 and sum(r.file_idx is None for r in rows) == 1

@@ -20,7 +20,7 @@ Intro with ## inside a line.
 
 ---
 
-## Web Frameworks & Server
+## Servers & Routing
 
 ### 1. **express**
 Fast web framework
@@ -87,7 +87,7 @@ def test_reference_document(spark, tmp_path):
     path.write_text(DOCUMENT)
     rows = parse_reference(read_reference(spark, [str(path)])).orderBy("ordinal").collect()
     assert [r.name for r in rows] == ["express", "@hapi/hapi", "request"]
-    assert [r.category for r in rows] == ["Web Frameworks & Server"] * 2 + ["HTTP"]
+    assert [r.category for r in rows] == ["Servers & Routing"] * 2 + ["HTTP"]
     assert [r.status for r in rows] == [None, "Maintenance Mode", "Deprecated"]
     assert [r.description for r in rows] == ["Fast web framework", "Server framework", None]
     assert rows[0].privacy_url is None and rows[0].security_url == "https://sec.acme.net/1"

@@ -84,4 +84,21 @@ def test_review_and_scorer(spark):
         return batch.map(lambda t: '{"issues": []}' if "pii-email" in t else None)
 
     assert [tuple(r) for r in score_requests(requests, scorer).collect()] == [
-        ("h1", '{"issues": []}')]
+        ("h1", '{"issues": []}', None)]
+
+
+def test_a_failing_scorer_keeps_all_other_replies(spark):
+    def scorer(texts):
+        if (texts == "text 13").any():
+            raise KeyError("13")
+        if len(texts) > 1 and (texts == "text 40").any():
+            return texts.iloc[1:]  # too few
+        return texts.where(texts != "text 7")
+
+    requests = spark.range(64).select(
+        F.concat(F.lit("h"), "id").alias("diff_hash"), F.concat(F.lit("text "), "id").alias("request_text")
+    ).coalesce(1)
+    rows = {r.diff_hash: r for r in score_requests(requests, scorer).collect()}
+    assert set(rows) == {f"h{i}" for i in range(64) if i != 7}  # null: no reply
+    assert (rows["h13"].response, rows["h13"].error) == (None, "KeyError: '13'")
+    assert all(r.response == f"text {h[1:]}" and r.error is None for h, r in rows.items() if h != "h13")

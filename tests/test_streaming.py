@@ -71,3 +71,19 @@ def test_windows(spark, tmp_path):
     query.awaitTermination()
     rows = {(r.window_start.hour, r.severity): r.n_issues for r in spark.table("w").collect()}
     assert rows == {(1, "HIGH"): 2, (1, "MEDIUM"): 1, (3, "HIGH"): 1}
+
+
+def test_windows_in_append_mode_drop_late_rows(spark, tmp_path):
+    folder = str(tmp_path / "in")
+    arrive(spark, folder, files(0, [0, 0]) + files(5, [0], hour=3))
+    counts = issues_per_window(scan_rules(source(spark, folder)), "ts", delay="30 minutes")
+    out, state = str(tmp_path / "out"), str(tmp_path / "s")
+
+    def run():
+        counts.writeStream.outputMode("append").format("parquet").option("path", out).option(
+            "checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+        return sorted((r.window_start.hour, r.severity, r.n_issues) for r in spark.read.parquet(out).collect())
+
+    assert run() == [(1, "HIGH", 2)]  # the window at 3 is open
+    arrive(spark, folder, files(10, [0, 0, 0]) + files(15, [0], hour=3) + files(20, [0], hour=5))
+    assert run() == [(1, "HIGH", 2), (3, "HIGH", 2)]  # three rows of the window at 1 came too late

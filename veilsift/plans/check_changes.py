@@ -4,9 +4,9 @@ Data flow, with the text column followed closely because it is nearly all the
 bytes:
 
 1. Files are triaged and hashed where they are read.
-2. The text of each *distinct* diff is scanned once: a map-side deduplication by
-   hash collapses copies before the only shuffle that carries text. Cache lookup
-   and verdict join reuse that hash partitioning.
+2. Which file's text stands for a *distinct* diff is decided without text, and so is
+   which diffs the cache knows. Only the texts left are fetched, by a semi-join, and
+   scanned. No text is sorted or aggregated.
 3. Everything after is narrow and read from a checkpoint, so text is read twice in
    all. Files are first grouped by what decides their result (run, hash,
    documentation or not, path risk), so a diff copied into a third of all files is
@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from ..functions.paths import should_skip
 from ..operators.joins import join_unique
+from ..operators.once import owners, rows_of
 from ..operators.rollup import RUN_KEYS, number_issues, run_summary
 from ..operators.route import REVIEW, latest_verdicts, merge_issues, route
 from ..operators.scan import local_summary, risk_of, scan_rules
@@ -34,7 +35,7 @@ from ..rules import DEFAULT_RULES, Rule, ruleset_version
 from ..schemas import ISSUE, RESULT
 from ..session import written_once
 from ..sources.diffs import prepare_files
-from ..sources.scan_cache import cache_entries
+from ..sources.scan_cache import cache_entries, prefix_of
 
 NOTHING_TO_SCAN = (
     "All changed files are non-code assets (images, lockfiles, etc). Nothing to scan."
@@ -57,8 +58,24 @@ def _result(risk: Column, summary: Column, issues: Column) -> Column:
     )
 
 
+def _looked_up(owned: DataFrame, cache: DataFrame) -> DataFrame:
+    """The owners with their stored result in ``cached``, from one read of the cache.
+
+    The cache is first cut to the prefixes and then to the hashes of these diffs, so that
+    results of others do not move.
+    """
+    hashes = owned.select("diff_hash").withColumn("prefix", prefix_of(F.col("diff_hash")))
+    if "prefix" in cache.columns:
+        found = [r.prefix for r in hashes.select("prefix").distinct().collect()]  # at most 256
+        cache = cache.where(F.col("prefix").isin(found))
+    met = cache.join(hashes.select("diff_hash"), "diff_hash", "left_semi")
+    return join_unique(owned, met.select("diff_hash", F.col("result").alias("cached")), "diff_hash")
+
+
 def scan_distinct(
     prepared: DataFrame,
+    narrow: DataFrame,
+    row_keys: Sequence[str],
     rules: Sequence[Rule] = DEFAULT_RULES,
     cache: DataFrame | None = None,
     verdicts: DataFrame | None = None,
@@ -69,11 +86,17 @@ def scan_distinct(
     the reviewed one (null without a usable verdict), ``cached`` the stored one.
     Rules act independently, so the documentation result is the code result
     without the code-only rules and one scan serves both.
+
+    ``narrow`` has the rows of ``prepared`` without text. The row to take a diff's text from is
+    chosen on it; only texts without a stored result are fetched and scanned.
     """
-    texts = prepared.select("diff_hash", "diff").dropDuplicates(["diff_hash"])
-    fresh = texts
+    keys = [*row_keys, "file_path"]
+    owned, hits = owners(narrow, "diff_hash", keys), None
     if cache is not None:
-        fresh = texts.join(cache.select("diff_hash"), "diff_hash", "left_anti")
+        owned = written_once(_looked_up(owned, cache))
+        hits = owned.where(F.col("cached").isNotNull())
+        owned = owned.where(F.col("cached").isNull()).drop("cached")
+    fresh = rows_of(prepared, owned, ["diff_hash", *keys]).select("diff_hash", "diff")
     scanned = scan_rules(
         # the file a result is reported for is attached later
         fresh.withColumns({
@@ -89,6 +112,8 @@ def scan_distinct(
         _result(F.col("overall_risk"), F.col("summary"), F.col("issues")).alias("code"),
         _result(risk_of(doc_issues), local_summary(doc_issues), doc_issues).alias("doc"),
     )
+    # a file that is given twice has two equal rows
+    variants = variants.groupBy("diff_hash").agg(F.first("code").alias("code"), F.first("doc").alias("doc"))
     none = F.lit(None).cast(RESULT)
     if verdicts is None:
         variants = variants.withColumns({"called": F.lit(False), "merged": none})
@@ -104,13 +129,12 @@ def scan_distinct(
             ).alias("merged"),
         )
     variants = variants.withColumn("cached", none)
-    if cache is None:
+    if hits is None:
         return variants
-    hits = cache.select(
+    return variants.unionByName(hits.select(
         "diff_hash", none.alias("code"), none.alias("doc"), F.lit(False).alias("called"),
-        none.alias("merged"), F.col("result").alias("cached"),
-    )
-    return variants.unionByName(hits)
+        none.alias("merged"), "cached",
+    ))
 
 
 def _own_result(groups: DataFrame, results: DataFrame) -> DataFrame:
@@ -170,7 +194,7 @@ def check_changes(
     narrow = written_once(
         prepared.select(*runs, "file_idx", "file_path", "diff_hash", "is_doc", "path_risk")
     )
-    results = scan_distinct(prepared, rules, cache, verdicts)
+    results = scan_distinct(prepared, narrow, [*runs, "file_idx"], rules, cache, verdicts)
 
     group = [*runs, "diff_hash", "is_doc", "path_risk"]
     groups = narrow.groupBy(*group).agg(

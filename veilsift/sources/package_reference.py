@@ -50,6 +50,24 @@ def parse_reference(documents: DataFrame, text_col: str = "text") -> DataFrame:
     ).to(PACKAGE_REFERENCE)
 
 
+def reference_entry() -> Column:
+    """A reference row as text, in the form that ``parse_reference`` reads."""
+
+    def link(label: str, column: str) -> Column:
+        return F.concat(F.lit(f"- **{label}**: "), F.col(column))  # null, and so left out, without a link
+
+    return F.concat_ws(
+        "\n",
+        F.concat(
+            F.lit("### "), F.col("ordinal").cast("string"), F.lit(". **"), "name", F.lit("**"),
+            F.coalesce(F.concat(F.lit(" ("), "status", F.lit(")")), F.lit("")),
+        ),
+        "description",
+        link("npm", "npm_url"), link("Security Policy", "security_url"),
+        link("Privacy Policy", "privacy_url"), link("GitHub", "github_url"), link("Note", "note"),
+    )
+
+
 def _parts(text: Column, marker: str) -> Column:
     """Pieces after each line that opens with the marker."""
     pieces = F.split(text, rf"(?m)^{marker}")

@@ -25,7 +25,8 @@ def report_envelopes(reports: DataFrame) -> DataFrame:
 
     Fields of the same name inside the body win over the envelope's own.
     ``report`` is the body's ``data`` object when it has one, else the body's own
-    fields; bodies are parsed once per URL, before any join.
+    fields; bodies are parsed once per URL, before any join. ``content`` is the whole body as
+    VARIANT, with the keys that the report's fixed fields do not name; null where unreadable.
     """
     failed = F.col("transport_error").isNotNull()
     newest = F.col("fetched_at") if "fetched_at" in reports.columns else F.lit(0)
@@ -62,6 +63,7 @@ def report_envelopes(reports: DataFrame) -> DataFrame:
         .when(fine, body["rawResponse"])
         .otherwise(F.coalesce(body["rawResponse"], F.col("body"))).alias("raw_response"),
         F.coalesce(body["data"], own_fields).alias("report"),
+        F.when(readable, F.try_parse_json(F.trim("body"))).alias("content"),
     )
 
 

@@ -13,7 +13,9 @@ from ..operators.scan import issue_rows, scan_rules
 from ..rules import DEFAULT_RULES, Rule, ruleset_version
 from ..schemas import RESULT
 from ..sources.diffs import prepare_files
-from ..sources.scan_cache import append_cache, cache_entries, load_cache
+from ..sources.scan_cache import (
+    append_cache, cache_entries, compact_in_place, crowded_prefixes, load_cache, prefix_of,
+)
 
 
 def scan_stream(
@@ -50,6 +52,7 @@ def start_cached_scan(
     checkpoint_path: str,
     rules: Sequence[Rule] = DEFAULT_RULES,
     max_chars: int | None = None,
+    compact_every: int = 16,
     **trigger,
 ) -> StreamingQuery:
     """Give every arriving file a result; scan diffs that the cache does not hold yet.
@@ -57,9 +60,10 @@ def start_cached_scan(
     Each micro-batch is joined to the cache table once, so a diff with a stored result
     is not scanned again: its file gets the stored result and ``from_cache``. Of files
     with one diff in a batch, that of a code file is stored before that of documentation,
-    then that of the first path. A retried batch replaces its own output folder and its
-    own part of the cache, and does not look at that part, so a retry gives what the
-    first try would have given.
+    then that of the first path. A batch reads the cache partitions of its own hashes only;
+    every ``compact_every`` batches, partitions that have grown by many small files are
+    compacted. A retried batch replaces its own output folder and does not look at cache
+    entries of its own, so a retry gives what the first try would have given.
     """
     version = ruleset_version(tuple(rules))
     prepared = prepare_files(files, max_chars)
@@ -67,7 +71,8 @@ def start_cached_scan(
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         part = f"batch-{batch_id}"
-        known = load_cache(spark, cache_path, version, skip_part=part).select(
+        mine = batch.select(prefix_of(F.col("diff_hash")).alias("p")).distinct().collect()  # at most 256
+        known = load_cache(spark, cache_path, version, part, [r.p for r in mine]).select(
             "diff_hash", F.col("result").alias("_known")
         )
         met = join_unique(batch, known, "diff_hash")
@@ -87,6 +92,10 @@ def start_cached_scan(
             F.min_by(F.struct(*RESULT.names), F.struct("is_doc", "file_path")).alias("_r")
         ).select("diff_hash", "_r.*")
         append_cache(cache_entries(stored, version), cache_path, part)
+        if batch_id % compact_every == compact_every - 1:
+            crowded = crowded_prefixes(spark, cache_path)
+            if crowded:
+                compact_in_place(spark, cache_path, crowded)
 
     return (
         prepared.writeStream.foreachBatch(run)

@@ -18,14 +18,16 @@ from veilsift.functions import (
     added_lines, added_text, base_name, content_hash, cut_diff, html_escape, is_doc_file,
     path_risk, shannon_entropy, should_skip,
 )
-from veilsift.plans import check_changes, check_packages, review_requests
+from veilsift.plans import (
+    check_changes, check_packages, review_requests, score_requests, scoring_requests,
+)
 from veilsift.rules import DEFAULT_RULES, MAX_DIFF_CHARS, ruleset_version
 from veilsift.operators.joins import join_unique
 from veilsift.operators.packages import clause_rows
 from veilsift.operators.scan import rule_field
-from veilsift.session import scratch_root
+from veilsift.session import scratch_root, written_once
 from veilsift.sources.scan_cache import latest_entries
-from veilsift.streaming import issues_per_window, scan_stream, start_cached_scan
+from veilsift.streaming import issues_per_window, once_per_diff, scan_stream, start_cached_scan
 
 from . import oracle as Q
 from . import views as V
@@ -87,6 +89,41 @@ def changed_files(spark, sf_dir):
     )
 
 
+HEAD_SQL = "CASE WHEN file_idx % 3 <> 0 THEN '+head of ' || file_path END"
+
+
+@query(f"""WITH {DIFFS},
+picked AS (SELECT file_idx, CASE WHEN is_staged THEN diff ELSE coalesce({HEAD_SQL}, '') END AS diff
+  FROM file_diffs)
+SELECT file_idx, sha256(diff) AS diff_hash, length(diff) AS n_chars FROM picked""")
+def picked_diffs(spark, sf_dir):
+    """The staged diff; the diff against the last commit where that is blank or missing."""
+    files = V.file_diffs(spark, sf_dir)
+    path, key = F.col("file_path"), F.col("file_idx")
+    both = files.select(
+        "file_idx",
+        F.when(F.col("is_staged"), F.col("diff")).when(key % 2 == 0, F.lit(" \n\t")).alias("staged"),
+        F.when(key % 3 != 0, F.concat(F.lit("+head of "), path)).alias("head"),
+    )
+    diff = F.col("diff")
+    return S.pick_diff(both, "staged", "head").select(
+        "file_idx", content_hash(diff).alias("diff_hash"), F.length(diff).alias("n_chars")
+    )
+
+
+@query(f"""WITH {DIFFS}
+SELECT file_idx, sha256(diff) AS diff_hash FROM file_diffs
+WHERE file_idx % 4 <> 0 AND NOT {Q.should_skip('file_path')}""")
+def blank_diffs(spark, sf_dir):
+    """Blank diffs, of spaces of any kind, and null ones take no part."""
+    key = F.col("file_idx")
+    blank = F.when(key % 8 == 0, F.lit(" \n\t\u00a0\u2003\r\n"))
+    files = V.file_diffs(spark, sf_dir).withColumn(
+        "diff", F.when(key % 4 == 0, blank).otherwise(F.col("diff"))
+    )
+    return S.prepare_files(files).select("file_idx", "diff_hash")
+
+
 @query(f"""WITH {DIFFS},
 cut AS (SELECT file_idx, {Q.cut('diff')} AS diff FROM file_diffs)
 SELECT file_idx, sha256(diff) AS diff_hash, length(diff) AS n_chars FROM cut""")
@@ -378,18 +415,45 @@ def redact_protected(spark, sf_dir):
     )
 
 
-@query(f"""WITH {ISSUES},
+REQUESTS = f"""{ISSUES},
 reviewed AS (SELECT file_idx FROM file_results WHERE {Q.ROUTE} = 'review'),
 wanted AS (SELECT d.* FROM file_diffs d JOIN reviewed USING (file_idx)),
-{Q.redact_ctes('wanted', 'file_idx', 'diff', with_rules=False)}
-SELECT sha256(r.original) AS diff_hash,
+{Q.redact_ctes('wanted', 'file_idx', 'diff', with_rules=False)},
+requests AS (
+  SELECT sha256(r.original) AS diff_hash,
        CASE WHEN n_findings = 0 THEN 'clean' ELSE 'redacted' END AS outbound_status,
        r.rules_found AS outbound_rules,
        'Review this diff for file "' || d.file_path || '":' || chr(10) || chr(10) || r.redacted
          AS request_text
-FROM redacted r JOIN file_diffs d USING (file_idx)""")
+  FROM redacted r JOIN file_diffs d USING (file_idx))"""
+
+
+def _requests(spark, sf_dir) -> DataFrame:
+    """Routes are written once without texts; the texts come from the files."""
+    routed = written_once(_routed(spark, sf_dir).select("file_idx", "file_path", "diff_hash", "route"))
+    files = V.file_diffs(spark, sf_dir).withColumn("diff_hash", content_hash(F.col("diff")))
+    return review_requests(routed, files=files)
+
+
+@query(f"WITH {REQUESTS} SELECT * FROM requests")
 def review_request_texts(spark, sf_dir):
-    return review_requests(_routed(spark, sf_dir))
+    return _requests(spark, sf_dir)
+
+
+def _failing_scorer(texts):
+    """Replies with a text's length; gives up on batches that hold a path of the first directory."""
+    if texts.str.contains(f'file "{V.DIRS[0]}', regex=False).any():
+        raise ValueError("no reply")
+    return texts.str.len().map("chars: {}".format)
+
+
+@query(f"""WITH {REQUESTS}, asked AS (
+  SELECT *, contains(request_text, {quote(f'file "{V.DIRS[0]}')}) AS failed FROM requests)
+SELECT diff_hash, CASE WHEN NOT failed THEN 'chars: ' || length(request_text) END AS response,
+       CASE WHEN failed THEN 'ValueError: no reply' END AS error FROM asked""")
+def scored_requests(spark, sf_dir):
+    """A scorer that raises on some requests keeps its replies to all others."""
+    return score_requests(_requests(spark, sf_dir), _failing_scorer)
 
 
 # -- cache and complete change check -------------------------------------------
@@ -546,10 +610,13 @@ def check_cache_entries(spark, sf_dir):
 @query(f"""WITH {KEPT_ISSUES},
 routed AS (SELECT f.*, CASE WHEN {CACHED} THEN 'cached' ELSE {Q.ROUTE} END AS route
   FROM file_results f JOIN file_diffs d USING (file_idx))
-SELECT {RUN}, count(*) AS n_files, CAST(0 AS BIGINT) AS model_calls,
+SELECT {RUN}, count(*) AS n_files,
+       count(*) FILTER (WHERE route = 'review' AND file_idx % 3 <> 2) AS model_calls,
        count(*) FILTER (WHERE route = 'cached') AS cache_hits FROM routed GROUP BY ALL""")
 def run_stats(spark, sf_dir):
-    done = check_changes(V.file_diffs(spark, sf_dir), cache=_english_cache(spark, sf_dir))
+    """Half-warm cache, and replies to two thirds of the diffs."""
+    files = V.file_diffs(spark, sf_dir)
+    done = check_changes(files, _english_cache(spark, sf_dir), V.verdicts(files, F.col("file_idx")))
     return O.run_stats(done.file_results)
 
 
@@ -574,6 +641,23 @@ def cache_roundtrip(spark, sf_dir):
     return done.file_results.select("file_idx", "route", "overall_risk", F.size("issues").alias("n_issues"))
 
 
+@query(f"""WITH {KEPT_ISSUES}
+SELECT sha256(d.diff) AS diff_hash, f.overall_risk, f.n_issues, CAST(1 AS BIGINT) AS n_rows
+FROM file_results f JOIN file_diffs d USING (file_idx) WHERE f.overall_risk <> 'LOW'""")
+def cache_compacted(spark, sf_dir):
+    """Entries appended by one job, by a second one and by its retry, then compacted in place."""
+    files = V.file_diffs(spark, sf_dir)
+    path = f"{_scratch(spark)}/cache"
+    for part, rows in (("first", files.where(F.col("lang") == "en")), ("second", files), ("second", files)):
+        scanned = O.scan_rules(S.prepare_files(rows), doc_col="is_doc")
+        S.append_cache(S.cache_entries(scanned), path, part)
+    S.compact_in_place(spark, path)
+    rows = spark.read.parquet(path).groupBy("diff_hash").agg(F.count(F.lit(1)).alias("n_rows"))
+    return join_unique(S.load_cache(spark, path), rows, "diff_hash").select(
+        "diff_hash", "result.overall_risk", F.size("result.issues").alias("n_issues"), "n_rows"
+    )
+
+
 OWN_RULES = DEFAULT_RULES[:20]
 
 
@@ -681,6 +765,32 @@ def dependency_reference(spark, sf_dir):
     return O.attach_reference(deps, reference).drop("ordinal", "is_dev")
 
 
+ENTRY_SQL = """'### ' || ordinal || '. **' || name || '**' || coalesce(' (' || status || ')', '')
+  || coalesce(chr(10) || description, '') || coalesce(chr(10) || '- **npm**: ' || npm_url, '')
+  || coalesce(chr(10) || '- **Security Policy**: ' || security_url, '')
+  || coalesce(chr(10) || '- **Privacy Policy**: ' || privacy_url, '')
+  || coalesce(chr(10) || '- **GitHub**: ' || github_url, '')
+  || coalesce(chr(10) || '- **Note**: ' || note, '')"""
+
+
+@query(f"""WITH {DEPS}, {REF},
+lists AS (
+  SELECT manifest_id, string_agg(name || '@' || version, chr(10) ORDER BY dev_only, name) AS dependency_list
+  FROM merged GROUP BY manifest_id),
+entries AS (
+  SELECT manifest_id, string_agg({ENTRY_SQL}, chr(10) || chr(10) ORDER BY ordinal) AS entries
+  FROM merged JOIN reference USING (name) GROUP BY manifest_id)
+SELECT manifest_id,
+       CASE WHEN entries IS NULL THEN 'Package reference: none.'
+            ELSE 'Package reference:' || chr(10) || chr(10) || entries END || chr(10) || chr(10)
+         || 'Score these npm packages for privacy risk:' || chr(10) || chr(10) || dependency_list AS request_text
+FROM lists LEFT JOIN entries USING (manifest_id)""")
+def package_requests(spark, sf_dir):
+    """Each manifest's request has the reference entries of its own packages."""
+    reference = S.parse_reference(V.reference_documents(spark, sf_dir))
+    return scoring_requests(V.manifests(spark, sf_dir), reference)
+
+
 def _package_check(spark, sf_dir):
     return check_packages(
         V.manifests(spark, sf_dir),
@@ -747,6 +857,25 @@ def policy_reports(spark, sf_dir):
     )
 
 
+@query(f"""WITH {PKG}
+SELECT {V.policy_url_sql('n')} AS url, 'policy-' || n || '.html' AS source_file,
+       CASE WHEN n % 2 = 0 THEN n + 30 END AS retention_days
+FROM packages WHERE n % 5 IN (0, 1)""")
+def policy_open_fields(spark, sf_dir):
+    """Keys that the report's fixed fields do not name come back, as the service sent them."""
+    n = F.regexp_extract("url", r"pkg(\d+)", 1)
+    days = F.when(n.cast("int") % 2 == 0, F.concat(F.lit(',"retention":{"days":'), (n.cast("int") + 30).cast("string"), F.lit("}")))
+    extra = F.concat(F.lit('{"sources":["policy-'), n, F.lit('.html"]'), F.coalesce(days, F.lit("")), F.lit(","))
+    reports = V.policy_reports(spark, sf_dir).withColumn(
+        "body", F.when(F.col("body").startswith("{"), F.concat(extra, F.expr("substring(body, 2)"))).otherwise(F.col("body"))
+    )
+    envelopes = S.report_envelopes(reports).where("ok")
+    return envelopes.select(
+        "url", F.variant_get("content", "$.sources[0]", "string").alias("source_file"),
+        F.try_variant_get("content", "$.retention.days", "int").alias("retention_days"),
+    )
+
+
 @query(f"""WITH {SCORED}, {REPORTS}
 SELECT s.manifest_id, s.name, s.privacy_policy_url, e.n IS NOT NULL AS report_available,
        coalesce(e.grade, 'N/A') AS grade,
@@ -819,18 +948,59 @@ def stream_scan(spark, sf_dir):
     return spark.read.parquet(f"{out}/rows")
 
 
-@query(STREAM_SQL)
+def _arrivals(spark, df: DataFrame, batches: list, out: str) -> DataFrame:
+    """A stream of the rows in the order of ``batches`` (conditions), one micro-batch each."""
+    for rows in batches:
+        df.where(rows).coalesce(1).write.mode("append").parquet(f"{out}/arrivals")
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{out}/arrivals")
+
+
+COPIES_STREAM = f"""{COPIES},
+kept AS (SELECT * FROM copied_diffs WHERE NOT {Q.should_skip('file_path')}),
+{Q.issue_ctes('kept', 'file_idx')},
+own AS (
+  SELECT f.file_idx, f.is_doc, f.file_path, f.overall_risk, f.n_issues, sha256(k.diff) AS diff_hash,
+         f.file_idx % 3 AS batch
+  FROM file_results f JOIN kept k USING (file_idx))"""
+
+
+@query(f"""WITH {COPIES_STREAM},
+asked AS (
+  SELECT * FROM own
+  QUALIFY row_number() OVER (PARTITION BY diff_hash, batch ORDER BY is_doc, file_path) = 1),
+stored AS (
+  SELECT diff_hash, batch AS since, overall_risk AS known_risk, n_issues AS known_issues FROM asked
+  WHERE overall_risk <> 'LOW' QUALIFY row_number() OVER (PARTITION BY diff_hash ORDER BY batch) = 1),
+met AS (SELECT *, coalesce(batch > since, false) AS from_cache FROM own LEFT JOIN stored USING (diff_hash))
+SELECT file_idx, from_cache, CASE WHEN from_cache THEN known_risk ELSE overall_risk END AS overall_risk,
+       CASE WHEN from_cache THEN known_issues ELSE n_issues END AS n_issues FROM met""")
 def stream_cached_scan(spark, sf_dir):
-    """The same stream against a cache that fills as batches arrive."""
+    """Three batches with copies of diffs, against a cache that fills and is compacted meanwhile."""
     out = _scratch(spark)
+    files = V.copied_diffs(spark, sf_dir)
+    stream = _arrivals(spark, files, [F.col("file_idx") % 3 == i for i in range(3)], out)
     start_cached_scan(
-        _document_stream(spark, sf_dir), f"{out}/cache", f"{out}/rows", f"{out}/state",
+        stream, f"{out}/cache", f"{out}/rows", f"{out}/state", compact_every=2,
     ).awaitTermination()
     return spark.read.parquet(f"{out}/rows").select(
-        "file_idx", "overall_risk", F.size("issues").alias("n_issues")
+        "file_idx", "from_cache", "overall_risk", F.size("issues").alias("n_issues")
     )
 
 
+@query(f"""WITH {COPIES_STREAM}
+SELECT diff_hash, CAST(1 AS BIGINT) AS n_files FROM own GROUP BY diff_hash""")
+def stream_once_per_diff(spark, sf_dir):
+    """The first arrival of each diff passes, in whatever batch its copies come."""
+    out = _scratch(spark)
+    files = V.copied_diffs(spark, sf_dir).withColumn("ts", F.timestamp_seconds(F.col("file_idx") + 1_700_000_000))
+    stream = _arrivals(spark, files, [F.col("file_idx") % 3 == i for i in range(3)], out)
+    passed = once_per_diff(S.prepare_files(stream), "ts", "30 days").select("file_idx", "diff_hash")
+    passed.writeStream.format("parquet").option("path", f"{out}/rows").option(
+        "checkpointLocation", f"{out}/state"
+    ).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{out}/rows").groupBy("diff_hash").agg(F.count(F.lit(1)).alias("n_files"))
+
+
 EVENT_DIFFS = (
     "event_diffs AS (SELECT event_id AS file_idx, ts, 'src/' || event_type || '.ts' AS file_path, "
     f"'+' || {V._pick_sql(V.PLANTED, 'event_id')} || chr(10) || '+' || props AS diff FROM events)"
@@ -838,31 +1008,36 @@ EVENT_DIFFS = (
 
 
 @query(f"""WITH {EVENT_DIFFS},
-{Q.issue_ctes('event_diffs', 'file_idx')}
-SELECT strftime(date_trunc('hour', e.ts), '%Y-%m-%d %H:%M:%S') AS window_start, i.severity,
-       count(*) AS n_issues
-FROM issues i JOIN event_diffs e USING (file_idx) GROUP BY ALL""")
+{Q.issue_ctes('event_diffs', 'file_idx')},
+placed AS (SELECT file_idx, date_trunc('hour', ts) AS w, file_idx % 10 AS arrival, ts FROM event_diffs),
+passed AS (  -- before the last batch, the watermark closed the windows of this time
+  SELECT max(ts) FILTER (WHERE arrival > 1) - INTERVAL 1 HOUR AS first_mark, max(ts) - INTERVAL 1 HOUR AS last_mark
+  FROM placed)
+SELECT strftime(p.w, '%Y-%m-%d %H:%M:%S') AS window_start, i.severity, count(*) AS n_issues
+FROM issues i JOIN placed p USING (file_idx), passed
+WHERE p.w + INTERVAL 1 HOUR <= last_mark AND (arrival > 0 OR p.w + INTERVAL 1 HOUR > first_mark)
+GROUP BY ALL""")
 def stream_windows(spark, sf_dir):
-    """Issues per hour and severity over the event stream."""
-    schema = V.table(spark, sf_dir, "events").schema
-    events = spark.readStream.schema(schema).option(
-        "pathGlobFilter", "events.parquet"
-    ).parquet(sf_dir)
-    diffs = events.select(
+    """Issues per hour and severity over the event stream, in append mode.
+
+    A window comes out once, when the watermark passes its end, and its state goes. Every tenth
+    event arrives too late: only those whose window is still open count.
+    """
+    out = _scratch(spark)
+    events = V.table(spark, sf_dir, "events")
+    late = F.col("event_id") % 10
+    stream = _arrivals(spark, events, [late > 1, late == 1, late == 0], out)
+    diffs = stream.select(
         F.col("event_id").alias("file_idx"), F.col("ts").cast("timestamp").alias("ts"),
         F.concat(F.lit("src/"), "event_type", F.lit(".ts")).alias("file_path"),
         F.concat(
             F.lit("+"), V._pick(V.PLANTED, F.col("event_id")), F.lit("\n+"), F.col("props")
         ).alias("diff"),
     )
-    out = _scratch(spark)
     counts = issues_per_window(O.scan_rules(diffs), "ts")
-    done = (
-        counts.writeStream.outputMode("complete")
-        .foreachBatch(lambda b, _: b.write.mode("overwrite").parquet(f"{out}/rows"))
-        .option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
-    )
-    done.awaitTermination()
+    counts.writeStream.outputMode("append").format("parquet").option("path", f"{out}/rows").option(
+        "checkpointLocation", f"{out}/state"
+    ).trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{out}/rows").select(
         F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"),
         "severity", "n_issues",
