@@ -30,7 +30,10 @@ def model(rows):
 
 
 def test_round_trip_and_mask(spark):
-    df = chat.format_chats(frame(spark)).withColumn("turns", chat.parsed_turns(F.col("formatted")))
+    df = chat.format_chats(frame(spark)).withColumns({
+        "turns": chat.parsed_turns(F.col("formatted")),
+        "loss": chat.masked_text(F.col("formatted"), F.col("loss_spans")),
+    })
     got = {r.conv_id: r for r in df.collect()}
     want = model(ROWS)
     assert set(got) == set(want)
@@ -40,11 +43,12 @@ def test_round_trip_and_mask(spark):
         blocks = sum(k == 0 or turns[k - 1][0] != t[0] for k, t in enumerate(turns))
         assert row.formatted.count(chat.OPEN) == row.formatted.count(chat.CLOSE) == blocks
         masked = [row.formatted[s.start:s.start + s.length] for s in row.loss_spans]
-        assert all(chat.CLOSE not in m and chat.OPEN not in m for m in masked)
+        assert not any(c in m for m in masked for c in (chat.OPEN, chat.MORE, chat.CLOSE))
+        assert len(masked) == sum(r == "assistant" for r, _ in turns)
         loss = "".join(t for r, t in turns if r == "assistant")
         undo = lambda s: s.replace("\\n", "\n").replace("\\t", chat.CLOSE).replace("\\m", chat.MORE) \
             .replace("\\h", "###").replace("\\s", "\\")
-        assert "".join(undo(p) for m in masked for p in m.split(chat.MORE)) == loss
+        assert "".join(map(undo, masked)) == loss == row.loss
 
 
 def test_long_conversation(spark):
@@ -52,7 +56,22 @@ def test_long_conversation(spark):
     row = chat.format_chats(frame(spark, rows)).withColumn("turns", chat.parsed_turns(F.col("formatted"))).first()
     assert [(t.role, t.text) for t in row.turns] == [(r[2], r[3]) for r in rows]
     spans = [row.formatted[s.start:s.start + s.length] for s in row.loss_spans]
-    assert spans == [f"text {k}</more>text {k + 1}" for k in range(1, 1500, 3)]
+    assert spans == [r[3] for r in rows if r[2] == "assistant"]
+
+
+def test_long_texts_of_one_role(spark):
+    """A third of all rows is one conversation, with a very long text in it."""
+    rows = [(1, k, "assistant", f"é{k} </more> \\m") for k in range(3000)] + [(1, 3000, "assistant", "y\n###" * 400_000)]
+    row = chat.format_chats(frame(spark, rows)).select(
+        chat.masked_text(F.col("formatted"), F.col("loss_spans")).alias("loss"), F.size("loss_spans").alias("n")
+    ).first()
+    assert row.n == 3001 and row.loss == "".join(r[3] for r in rows)
+
+
+def test_the_query_reads_the_loss_through_the_mask(spark, tmp_path):
+    frame(spark).drop("formatted").write.parquet(f"{tmp_path}/conversations.parquet")
+    plan = chat.op1_chat_format(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert "loss_spans" in plan
 
 
 def test_empty(spark):
