@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 from pyspark.sql import functions as F
 
@@ -65,6 +66,27 @@ def test_guards_and_detectors_change_nothing(spark):
     assert hits > 1000
 
 
+def test_templates_in_log_calls(spark):
+    """The walk over a text's events equals the pattern, and needs linear time."""
+    rule = next(r for r in DEFAULT_RULES if r.walk)
+    pattern = model.COMPILED[DEFAULT_RULES.index(rule)]
+    rng = random.Random(31)
+    parts = ["console.log(`", "Console.WARN \t(`", "console.log(", "`", "${", "$", "{", "}", "email", "TOKEN", "phon",
+             "e", "ssn", "x", "\n", "phonetoken", "console.log(`${", "${email", "}"]
+    data = ["".join(rng.choices(parts, k=rng.randint(2, 30))) for _ in range(6000)]
+    df = spark.createDataFrame(list(enumerate(data)), "id int, t string")
+    rows = df.select("id", F.expr(match_sql(rule, "t", {})).alias("hit")).collect()
+    want = [bool(pattern.search(t)) for t in data]
+    assert 300 < sum(want) < 5000 and [r.hit for r in sorted(rows)] == want
+    call = "console.log(`"
+    hostile = [(call + "${a ") * 60_000, (call + "${email ") * 40_000, call + "${a" * 300_000, call + "${" + "email" * 200_000,
+               call + "${x} " * 200_000 + "${ssn}"]
+    df = spark.createDataFrame([(t,) for t in hostile], "t string")
+    began = time.time()
+    assert [r.hit for r in df.select(F.expr(match_sql(rule, "t", {})).alias("hit")).collect()] == [False] * 4 + [True]
+    assert time.time() - began < 30
+
+
 def test_java_dialect():
     assert to_java(r"\bab") == r"(?<!\w)ab"
     assert to_java(r"\d{2}\b") == r"\d{2}(?!\w)"

@@ -115,11 +115,6 @@ def sql_text(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def matching_items_sql(array_col: str, java_pattern: str) -> str:
-    """Items of a string array in which the pattern occurs."""
-    return f"filter({array_col}, item -> item RLIKE {sql_text(java_pattern)})"
-
-
 def constant_array(values: list[str | None]) -> Column:
     """A foldable array of fixed texts from a single literal; empty reads as null."""
     return F.split(F.lit("\x1f".join(v or "" for v in values)), "\x1f", -1)

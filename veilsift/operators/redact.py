@@ -10,12 +10,11 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.regex import matching_items_sql
 from ..functions.text import is_example, is_safe_reference, secret_candidate, split_lines
 from ..rules import DEFAULT_RULES, LATE_REDACTION_RULES, Rule
 from .once import computed_once
 from .scan import (
-    detector, low_entropy, match_sql, matcher, minimum_entropy, rule_field, with_guards,
+    low_entropy, match_sql, matcher, matching_lines_sql, minimum_entropy, rule_field, with_guards,
 )
 
 MODES = ("redact", "block", "warn", "off")
@@ -27,7 +26,7 @@ def _matched_lines(rules: Sequence[Rule]) -> Column:
     return F.flatten(F.array_compact(F.array(*[
         F.expr(
             f"CASE WHEN {_FLAGS}[{i}] THEN transform("
-            f"{matching_items_sql(_LINES, detector(rule))}, line -> struct({i} AS i, line AS line)"
+            f"{matching_lines_sql(rule, _LINES)}, line -> struct({i} AS i, line AS line)"
             ") END"
         )
         for i, rule in enumerate(rules)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.paths import is_doc_file
 from ..functions.regex import (
-    any_literal, constant_array, matching_items_sql, sql_text, to_java,
+    any_literal, constant_array, sql_text, to_java,
 )
 from ..functions.text import (
     added_lines, hint_text, is_example, secret_candidate, shannon_entropy,
@@ -51,9 +51,18 @@ def with_guards(
     return (df.withColumns(tests) if tests else df), names
 
 
+def _occurs_sql(rule: Rule, text: str) -> str:
+    return rule.walk.format(text=text) if rule.walk else f"{text} RLIKE {sql_text(detector(rule))}"
+
+
+def matching_lines_sql(rule: Rule, lines: str) -> str:
+    """SQL for the lines of an array column in which the rule's pattern occurs."""
+    return f"filter({lines}, item -> {_occurs_sql(rule, 'item')})"
+
+
 def match_sql(rule: Rule, text_col: str, guards: dict[Guard, str]) -> str:
     """SQL test that the rule's pattern occurs in a text column."""
-    test = f"`{text_col}` RLIKE {sql_text(detector(rule))}"
+    test = _occurs_sql(rule, f"`{text_col}`")
     return f"({guards[rule.guard]} AND {test})" if rule.guard in guards else f"({test})"
 
 
@@ -150,7 +159,7 @@ def scan_rules(
         _with_added(df, diff_col, path_col, doc_col), F.col(_ADDED), rules if use_guards else ()
     )
     def hit_sql(i: int, rule: Rule) -> str:
-        lines = matching_items_sql(_LINES, detector(rule))
+        lines = matching_lines_sql(rule, _LINES)
         if all_lines:  # a match that spans lines has none of its own, and one empty hint
             found = f"transform(concat({lines}, array('')), line -> struct({i} AS i, line AS line))"
             found = f"slice({found}, 1, greatest(size({lines}), 1))"
