@@ -99,3 +99,20 @@ def run_stats(file_results: DataFrame, run_keys: Sequence[str] = RUN_KEYS) -> Da
         F.count_if(F.col("called")).alias("model_calls"),
         F.count_if(F.col("route") == "cached").alias("cache_hits"),
     )
+
+
+def findings_cube(
+    found: DataFrame, dims: Sequence[str] = ("category", "severity"), findings_col: str = "findings"
+) -> DataFrame:
+    """Findings counted by all combinations of ``dims``: ``level`` is their ``grouping_id``, a bit
+    for each dimension summed over, whose column is null.
+
+    Findings are summed by all dimensions first, so the rows that the cube multiplies are few.
+    """
+    rows = found.select(F.explode(findings_col).alias("_f")).select(
+        *[F.col(f"_f.{d}").alias(d) for d in dims], F.length("_f.matched_text").alias("_chars")
+    )
+    base = rows.groupBy(*dims).agg(F.count(F.lit(1)).alias("_n"), F.sum("_chars").alias("_chars"))
+    return base.cube(*dims).agg(
+        F.grouping_id().alias("level"), F.sum("_n").alias("n_findings"), F.sum("_chars").alias("n_chars")
+    )

@@ -415,6 +415,16 @@ def redact_protected(spark, sf_dir):
     )
 
 
+@query(f"""WITH {PLANTED_DOCS},
+{Q.finding_ctes('planted_docs', 'doc_id', 'text')}
+SELECT category, severity, CAST(grouping(category, severity) AS BIGINT) AS level, count(*) AS n_findings,
+       CAST(sum(length(matched_text)) AS BIGINT) AS n_chars
+FROM findings GROUP BY CUBE (category, severity)""")
+def findings_cube(spark, sf_dir):
+    docs = V.with_planted(V.table(spark, sf_dir, "documents"), "text", F.col("doc_id"))
+    return O.findings_cube(O.find_sensitive(docs, "text"))
+
+
 REQUESTS = f"""{ISSUES},
 reviewed AS (SELECT file_idx FROM file_results WHERE {Q.ROUTE} = 'review'),
 wanted AS (SELECT d.* FROM file_diffs d JOIN reviewed USING (file_idx)),
