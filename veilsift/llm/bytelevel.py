@@ -95,26 +95,31 @@ def pieces_with_space(texts: pa.Array) -> Words:
 
 
 class PieceCache:
-    """Results for text pieces, kept from task to task in a worker, up to a number of them.
+    """Results for text pieces, kept from task to task in a worker, up to a number of entries and bytes
+    and the last call's new ones.
 
     A full cache takes no more, so memory stays bounded; the pieces met first are mostly
     the frequent ones. Results do not depend on it.
     """
 
-    def __init__(self, compute: Callable[[list[str]], list], size: int = 400_000):
-        self.compute, self.size, self.known = compute, size, {}
+    ENTRY = 200  # bytes that an entry takes besides its piece and result, about
+
+    def __init__(self, compute: Callable[[list[str]], list], size: int = 400_000, limit: int = 96 << 20):
+        self.compute, self.size, self.limit, self.known, self.used = compute, size, limit, {}, 0
 
     def __call__(self, pieces: Sequence[str]) -> list:
         found = list(map(self.known.get, pieces))
         missing = [k for k, x in enumerate(found) if x is None]
         if missing:
-            new = [pieces[k] for k in missing]
-            made = self.compute(new)
-            for k, x in zip(missing, made):
-                found[k] = x
-            room = self.size - len(self.known)
-            if room > 0:
-                self.known.update((p, x) for p, x in zip(new[:room], made) if len(p) <= 64)
+            new = list(dict.fromkeys([pieces[k] for k in missing]))
+            made = dict(zip(new, self.compute(new)))
+            for k in missing:
+                found[k] = made[pieces[k]]
+            if len(self.known) < self.size and self.used < self.limit:
+                for piece, x in made.items():
+                    if len(piece) <= 64:
+                        self.known[piece] = x
+                        self.used += self.ENTRY + len(piece) + (len(x) if isinstance(x, bytes) else 0)
         return found
 
 
@@ -134,7 +139,8 @@ _WORKER: dict = {}
 
 
 def per_worker(key: tuple, make: Callable[[], object]) -> object:
-    """A value made once in each Python worker."""
+    """A value made once in each Python worker; workers outlive an operator, so another one's is let go."""
     if key not in _WORKER:
+        _WORKER.clear()
         _WORKER[key] = make()
     return _WORKER[key]
