@@ -45,7 +45,7 @@ def test_counts(docs):
 
 def test_counts_of_other_files(docs):
     df, texts = docs
-    kept = token_counts.count_tokens(df, name="byte_bpe_50k.json", white_space="kept")
+    kept = token_counts.count_tokens(df, name="byte_bpe_50k.json")
     assert {r.doc_id: r.n_tokens for r in kept.collect()} == {k: len(ids_of(BYTES, t)) for k, t in texts.items()}
     import sentencepiece
 
@@ -54,6 +54,37 @@ def test_counts_of_other_files(docs):
     assert {r.doc_id: r.n_tokens for r in whole.collect()} == {k: len(model.encode(t or "")) for k, t in texts.items()}
 
 
+def test_unknown_pre_tokenizers_are_refused(tmp_path):
+    (tmp_path / "t.json").write_text('{"pre_tokenizer": {"type": "Whitespace"}}')
+    with pytest.raises(ValueError):
+        token_counts.white_space_of(str(tmp_path / "t.json"))
+
+
+def test_decoding_in_one_step_and_of_unknown_ids(spark, docs):
+    df, texts = docs
+    for r in bpe.encode_bpe(df, decoded_col="back").collect():
+        assert r.back == WORDS.decode(ids_of(WORDS, texts[r.doc_id]), skip_special_tokens=False)
+    rows = [(1, [320, 4_000_000_000, 330]), (2, [60_000]), (3, []), (4, None), (5, [49407, 99_999])]
+    ids = spark.createDataFrame(
+        [(k, None if x is None else bytearray(np.array(x, "<u4").tobytes())) for k, x in rows], "k int, ids binary"
+    )
+    got = {r.k: r.decoded for r in bpe.decode_bpe(ids.withColumn("decoded", F.lit(0))).collect()}
+    assert got == {k: None if x is None else WORDS.decode([i for i in x if i < 49408], skip_special_tokens=False) for k, x in rows}
+
+
+def test_very_long_texts(spark):
+    """Texts of many slices, whole words of a megabyte among them."""
+    rng = random.Random(9)
+    words = [f"w{rng.randrange(10**5)}" for _ in range(40_000)]
+    long = [" ".join(rng.choices(words, k=400_000)), "ab" * 500_000, "x\n" * 300_000]
+    df = spark.createDataFrame(list(enumerate(long)), "doc_id long, text string")
+    counts = {r.doc_id: r.n_tokens for r in token_counts.count_tokens(df).collect()}
+    for r in bpe.encode_bpe(df, decoded_col="back").collect():
+        want = ids_of(WORDS, long[r.doc_id])
+        assert np.frombuffer(r.ids, "<u4").tolist() == want and counts[r.doc_id] == len(want)
+        assert r.back == WORDS.decode(want, skip_special_tokens=False)
+
+
 def test_bpe_and_back(docs):
     df, texts = docs
     for r in bpe.decode_bpe(bpe.encode_bpe(df)).collect():

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -19,6 +21,19 @@ BATCH_CHARS = 256 << 10
 BOUNDARIES = {"dropped": pieces_without_space, "kept": pieces_with_space}
 
 
+def white_space_of(path: str) -> str:
+    """Whether a tokenizer file's tokens drop or keep white space, by its pre-tokenizer."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f).get("pre_tokenizer") or {}
+    steps = spec.get("pretokenizers", [spec])
+    first = steps[0] if steps else {}
+    if first.get("type") == "ByteLevel" and first.get("use_regex") and not first.get("add_prefix_space"):
+        return "kept"
+    if first.get("type") == "Split" and first.get("behavior") == "Removed" and first.get("invert"):
+        return "dropped"  # what its pattern does not match goes
+    raise ValueError(f"{path}: name in white_space how its tokens treat white space")
+
+
 def piece_lengths(path: str) -> PieceCache:
     """Token counts of text pieces by the tokenizers library, in batches of like size."""
     tokenizer = load_tokenizer(path)
@@ -53,7 +68,7 @@ def count_tokens(
     name: str = "word_bpe_49k.json",
     folder: str | None = None,
     limit: int = 2048,
-    white_space: str = "dropped",
+    white_space: str | None = None,
 ) -> DataFrame:
     """``df`` with ``n_bytes``, ``n_tokens`` (long) and ``over_limit`` (boolean).
 
@@ -64,12 +79,15 @@ def count_tokens(
     Rows come in slices of a few megabytes, whatever their number. A tokenizer file whose
     pattern breaks at white space lets a text of any length be cut there, so only pieces
     the worker has not met yet are encoded, in batches of equal bytes; ``white_space``
-    says if its tokens drop or keep it. There is no shuffle, and no ids leave the worker.
+    says if its tokens have it "dropped" or "kept", by default as its pre-tokenizer tells.
+    A sentencepiece text is encoded whole. There is no shuffle, and no ids leave the worker.
 
     Null text counts as empty: 0 bytes, 0 tokens. Equal rows give equal counts. An empty
     table gives an empty one. Columns named like the new ones are replaced.
     """
     path = vocabulary_path(name, folder)
+    if white_space is None and not path.endswith(".model"):
+        white_space = white_space_of(path)
     fields = [
         T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType()),
         T.StructField("over_limit", T.BooleanType()),
