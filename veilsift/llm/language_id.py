@@ -18,7 +18,7 @@ FIT_ROWS = 120
 FIT_CHARS = 6000
 EPOCHS = 4
 UNKNOWN = "und"
-MIN_SCORE = 0.4
+MIN_CLARITY = 0.5
 
 
 @dataclass
@@ -154,20 +154,24 @@ def label_runs(model: Model, offsets: np.ndarray, each: np.ndarray) -> list[list
 
 def identify_languages(
     df: DataFrame, model: Model | None, text_col: str = "text", runs: bool = False,
-    lang_col: str = "lang_pred", score_col: str = "score",
+    lang_col: str = "lang_pred", score_col: str = "score", clarity_col: str | None = None,
 ) -> DataFrame:
     """``df`` with ``lang_pred`` (string) and ``score`` (0 to 1), from the whole text.
 
     Forward-backward gives each word with a letter the chances of the labels; the text's
     language has the highest mean chance, which is the score. ``runs`` adds ``lang_runs``,
-    the stretches of words of one language in code-switched text.
+    the stretches of words of one language in code-switched text. ``clarity_col`` adds the mean
+    over the words of each one's best chance: how clear they are, in however many languages.
 
     Null text, text without a letter, and every text where there was nothing to learn
-    from: ``und``, score 0, no runs. Of equal languages the first by name wins. One narrow
-    step, no shuffle; columns with the new names are replaced.
+    from: ``und``, score and clarity 0, no runs. Of equal languages the first by name wins.
+    Repeated rows give equal results; an empty table gives an empty one. One narrow step, no
+    shuffle; columns with the new names are replaced.
     """
     fields = [T.StructField(lang_col, T.StringType()), T.StructField(score_col, T.DoubleType())]
     fields += [T.StructField("lang_runs", RUNS)] * runs
+    clarity = clarity_col is not None
+    fields += [T.StructField(clarity_col, T.DoubleType())] * clarity
     held = df.sparkSession.sparkContext.broadcast(model)
 
     def make():
@@ -178,7 +182,8 @@ def identify_languages(
         def compute(texts: pa.Array) -> list[pa.Array]:
             if model is None:
                 empty = [pa.array([[]] * len(texts), to_arrow_type(RUNS))] * runs
-                return [pa.array([UNKNOWN] * len(texts)), pa.array(np.zeros(len(texts))), *empty]
+                zeros = pa.array(np.zeros(len(texts)))
+                return [pa.array([UNKNOWN] * len(texts)), zeros, *empty, *[zeros] * clarity]
             offsets, each = chances(model, texts)
             sums = np.stack([row_sums(each[:, j], offsets) for j in range(len(model.labels))], axis=1)
             n = np.diff(offsets)
@@ -186,6 +191,9 @@ def identify_languages(
             score = np.clip(sums[np.arange(len(n)), best] / np.maximum(n, 1), 0, 1)
             names = [model.labels[b] if some else UNKNOWN for b, some in zip(best, n > 0)]
             more = [pa.array(label_runs(model, offsets, each), to_arrow_type(RUNS))] * runs if runs else []
+            if clarity:
+                most = each.max(axis=1) if len(each) else np.zeros(0)
+                more.append(pa.array(np.clip(row_sums(most, offsets) / np.maximum(n, 1), 0, 1)))
             return [pa.array(names, pa.string()), pa.array(score), *more]
 
         return compute
