@@ -22,7 +22,6 @@ GAP_CHARS = " \t\n\x0b\x0c\r"
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 MIN_DOCS = 10
-MAX_SHARE = 0.1
 MIN_LEFT = 0.3
 
 
@@ -109,54 +108,53 @@ def _key(column: Column) -> Column:
     return F.coalesce(column.cast("string"), F.lit("\0null"))
 
 
-def shared_lines(documents: DataFrame, min_docs: int, max_share: float) -> DataFrame:
+def shared_lines(documents: DataFrame, min_docs: int) -> DataFrame:
     """Lines above the limit: ``host_key``, ``line``.
 
-    A line counts once per document, so documents of a host are counted with partial sums
-    before any shuffle; a host that holds a third of all rows spreads over its lines.
+    A line counts once for each document, by its id. Both steps have partial aggregates, and
+    the first spreads a line of half of all documents over these.
     """
     lines = documents.select(
-        "host_key", F.explode(F.array_distinct(F.array_compact("line_hashes"))).alias("line")
+        "host_key", "id_key", F.explode(F.array_distinct(F.array_compact("line_hashes"))).alias("line")
     )
-    common = lines.groupBy("host_key", "line").agg(F.count("*").alias("n")).where(F.col("n") > min_docs)
-    hosts = documents.groupBy("host_key").agg(F.count("*").alias("docs"))
-    return join_unique(common, hosts, "host_key", "inner").where(
-        F.col("n") > max_share * F.col("docs")
+    return lines.distinct().groupBy("host_key", "line").agg(F.count("*").alias("n")).where(
+        F.col("n") > min_docs
     ).select("host_key", "line")
 
 
 def line_rules(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source",
     min_words: int = MIN_WORDS, max_repeat_percent: int = MAX_REPEAT_PERCENT,
-    min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE, min_left: float = MIN_LEFT,
+    min_docs: int = MIN_DOCS, min_left: float = MIN_LEFT,
 ) -> DataFrame:
     """Verdicts, one row per input row: base counts, ``base_failed``, ``removed`` (numbers of
-    the lines to take out, from 0), ``left_words`` and ``kept``, with ``id_key`` and
-    ``text_hash``, which name the row.
+    the lines to take out, from 0), ``left_words`` and ``kept``, with ``id_key``, ``text_hash``
+    and ``host_key``, which name the row.
 
-    A line is above the limits if, in its normal form, it stands in more than ``min_docs``
-    documents of its host and in more than the share ``max_share`` of them. A document is
-    kept if the base rules hold and at least the share ``min_left`` of its words is left
-    without such lines.
+    A line is above the limit if, in its normal form, it stands in more than ``min_docs``
+    documents of its host, whatever the host's size. A document is kept if the base rules
+    hold and at least the share ``min_left`` of its words is left without such lines.
 
     Texts are read once, in a narrow step; what is shuffled are line hashes, never text.
     A line of half of all documents is counted by partial sums, and the join that finds
     it again is split by adaptive execution.
 
-    Null text is empty: no words, base_failed. Null hosts are one host. Repeated rows are
-    documents of their own and get equal verdicts. An empty table gives an empty one.
+    Null text is empty: no words, base_failed. Null hosts are one host, and rows without an id
+    one document. Repeated rows count as one document and get equal verdicts; one id in two
+    hosts is a document of each. An empty table gives an empty one. Other columns are not read.
     """
     path = f"{scratch_root(df.sparkSession)}/{uuid.uuid4().hex}"
     measured(df, id_col, text_col, host_col).write.parquet(path)
     documents = df.sparkSession.read.parquet(path)
-    shared = shared_lines(documents, min_docs, max_share)
+    shared = shared_lines(documents, min_docs)
+    row = ["id_key", "text_hash", "host_key"]
     lines = documents.select(
-        "id_key", "text_hash", "host_key", F.posexplode("line_hashes").alias("number", "line")
+        *row, F.posexplode("line_hashes").alias("number", "line")
     ).where("line is not null")
-    removed = join_unique(lines, shared, ["host_key", "line"], "inner").groupBy(
-        "id_key", "text_hash"
-    ).agg(F.sort_array(F.collect_set("number")).alias("removed"))
-    rows = join_unique(documents, removed, ["id_key", "text_hash"])
+    removed = join_unique(lines, shared, ["host_key", "line"], "inner").groupBy(*row).agg(
+        F.sort_array(F.collect_set("number")).alias("removed")
+    )
+    rows = join_unique(documents, removed, row)
     lost = F.aggregate(
         F.coalesce("removed", F.array().cast("array<int>")), F.lit(0),
         lambda total, k: total + F.get("line_words", k),
@@ -169,7 +167,7 @@ def line_rules(
     ).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         "base_failed", "left_words", F.coalesce("removed", F.array().cast("array<int>")).alias("removed"),
-        "kept", "id_key", "text_hash",
+        "kept", *row,
     )
 
 
@@ -190,15 +188,21 @@ def without_lines(text: Column, removed: Column) -> Column:
 def apply_line_rules(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", **options
 ) -> DataFrame:
-    """The kept rows of ``df``, all columns, their text without the lines above the limits."""
-    verdicts = line_rules(df, id_col, text_col, host_col, **options).where("kept").groupBy(
-        "id_key", "text_hash"
-    ).agg(F.first("removed").alias("removed"))
+    """The kept rows of ``df``, all columns, their text without the lines above the limit.
+
+    Rows with null or empty text go, as they fail the base rules. Repeated rows stay repeated.
+    An empty table gives an empty one.
+    """
+    row = ["id_key", "text_hash", "host_key"]
+    verdicts = line_rules(df, id_col, text_col, host_col, **options).where("kept").groupBy(*row).agg(
+        F.first("removed").alias("removed")
+    )
     keyed = df.select(
         F.struct(*[f"`{c}`" for c in df.columns]).alias("row"), _key(F.col(id_col)).alias("id_key"),
         F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("text_hash"),
+        _key(F.col(host_col)).alias("host_key"),
     )
-    rows = join_unique(keyed, verdicts, ["id_key", "text_hash"], "inner")
+    rows = join_unique(keyed, verdicts, row, "inner")
     text = F.col("row")[text_col]
     cut = F.when(F.size("removed") > 0, without_lines(text, F.col("removed"))).otherwise(text)
     return rows.select(*[(cut if c == text_col else F.col("row")[c]).alias(c) for c in df.columns])
@@ -213,33 +217,30 @@ def op5_line_rules(spark, sf_dir):
 
 
 OP5_SQL = rf"""
-WITH docs AS (SELECT doc_id, source, coalesce(text, '') AS text FROM documents),
-words AS (SELECT doc_id, source, text, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda w: w <> '') AS ws FROM docs),
+WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS text FROM documents),
+words AS (SELECT rid, doc_id, text, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda w: w <> '') AS ws FROM docs),
 windows AS (
-  SELECT doc_id, i, ws[i] AS a, ws[i + 1] AS b, ws[i + 2] AS c
-  FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 1, 1))) AS i FROM words)
+  SELECT rid, i, ws[i] AS a, ws[i + 1] AS b, ws[i + 2] AS c
+  FROM (SELECT rid, ws, unnest(range(1, greatest(len(ws) - 1, 1))) AS i FROM words)
 ),
-again AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, a, b, c) AS n FROM windows),
-gaps AS (SELECT doc_id, lead(i) OVER (PARTITION BY doc_id ORDER BY i) - i AS gap FROM again WHERE n > 1),
-repeats AS (SELECT doc_id, sum(least(coalesce(gap, 3), 3)) AS n FROM gaps GROUP BY doc_id),
-cut AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line FROM docs),
+again AS (SELECT rid, i, count(*) OVER (PARTITION BY rid, a, b, c) AS n FROM windows),
+gaps AS (SELECT rid, lead(i) OVER (PARTITION BY rid ORDER BY i) - i AS gap FROM again WHERE n > 1),
+repeats AS (SELECT rid, sum(least(coalesce(gap, 3), 3)) AS n FROM gaps GROUP BY rid),
+cut AS (SELECT rid, doc_id, source, unnest(string_split(text, chr(10))) AS line FROM docs),
 lines AS (
-  SELECT doc_id, source, line,
+  SELECT rid, coalesce(CAST(doc_id AS VARCHAR), 'none') AS id_key, source, line,
     trim(regexp_replace(lower(line), '[^\p{{L}}\p{{N}}]+', ' ', 'g')) AS form,
     len(list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D]+'), lambda w: w <> '')) AS n
   FROM cut
 ),
-dups AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM lines WHERE n > 0 GROUP BY doc_id),
-hosts AS (SELECT source, count(*) AS docs FROM docs GROUP BY source),
+dups AS (SELECT rid, count(*) - count(DISTINCT line) AS n FROM lines WHERE n > 0 GROUP BY rid),
 shared AS (
-  SELECT f.source, f.form FROM (
-    SELECT source, form, count(DISTINCT doc_id) AS n FROM lines WHERE form <> '' GROUP BY source, form
-  ) f JOIN hosts h ON f.source IS NOT DISTINCT FROM h.source
-  WHERE f.n > {MIN_DOCS} AND f.n > {MAX_SHARE} * h.docs
+  SELECT source, form FROM lines WHERE form <> '' GROUP BY source, form
+  HAVING count(DISTINCT id_key) > {MIN_DOCS}
 ),
 lost AS (
-  SELECT l.doc_id, sum(l.n) AS n FROM lines l JOIN shared s
-  ON l.source IS NOT DISTINCT FROM s.source AND l.form = s.form GROUP BY l.doc_id
+  SELECT l.rid, sum(l.n) AS n FROM lines l JOIN shared s
+  ON l.source IS NOT DISTINCT FROM s.source AND l.form = s.form GROUP BY l.rid
 ),
 rated AS (
   SELECT w.doc_id, len(w.ws) AS n_words,
@@ -247,7 +248,7 @@ rated AS (
     length(w.text) - length(translate(w.text, '{SYMBOLS}', '')) AS n_symbols,
     coalesce(d.n, 0) AS n_dup_lines, CAST(coalesce(r.n, 0) AS BIGINT) AS n_repeat_words,
     CAST(len(w.ws) - coalesce(l.n, 0) AS BIGINT) AS left_words
-  FROM words w LEFT JOIN dups d USING (doc_id) LEFT JOIN repeats r USING (doc_id) LEFT JOIN lost l USING (doc_id)
+  FROM words w LEFT JOIN dups d USING (rid) LEFT JOIN repeats r USING (rid) LEFT JOIN lost l USING (rid)
 ),
 failed AS (
   SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed FROM rated
