@@ -82,3 +82,74 @@ def test_short_notices_with_changed_words():
     texts = ["Released under an MIT License.", "Licensed under the Apache Licence, Version 2.0."]
     found = L.licenses_in(index, pa.array(texts), L.COVERAGE)
     assert [[(x["template"], x["matched_words"]) for x in f] for f in found] == [[("mit-notice", 4)], [("apache-2.0-notice", 6)]]
+
+
+def found_in(texts, templates=TEMPLATES):
+    return L.licenses_in(L.PrintIndex(templates), pa.array(texts), L.COVERAGE)
+
+
+def test_copies_back_to_back():
+    bsd = next(n for n in sorted(TEMPLATES) if "bsd" in n)
+    for name, times in ((bsd, 5), ("mit-notice", 40), ("mit", 7)):
+        copy = TEMPLATES[name]
+        got = [x for x in found_in([" ".join([copy] * times)])[0] if x["template"] == name]
+        assert len(got) == times and all(x["coverage"] == 1 for x in got)
+        assert [x["start"] for x in got] == sorted({x["start"] for x in got})
+    got = found_in(["All rights reserved. " * 3, "gnu", "x gnu gnu y"], {"rights": "All rights reserved", "one": "GNU"})
+    assert [len(g) for g in got] == [3, 1, 2]
+
+
+def test_all_copies_against_every_place():
+    """Random templates in random texts: whole, changed, nested and back to back, against all places."""
+    rng = random.Random(11)
+    for _ in range(60):
+        letters = [f"w{i}" for i in range(rng.choice((8, 40)))]
+        templates = {f"t{n}": " ".join(rng.choices(letters, k=rng.choice((2, 3, 5, 9, 20, 45)))) for n in range(3)}
+        text, want = [], []
+        for _ in range(rng.randrange(1, 9)):
+            if rng.random() < 0.5:
+                text += [f"other{i}" for i in range(rng.randrange(12))]
+            name = rng.choice(sorted(templates))
+            words = templates[name].split()
+            places = rng.sample(range(len(words)), rng.randint(0, L.places_changed(len(words), L.COVERAGE)))
+            want.append((name, len(text), len(words), len(words) - len(places)))
+            text += ["changed" if i in places else w for i, w in enumerate(words)]
+        got = {}
+        for x in found_in([" ".join(text)], templates)[0]:
+            first = len(" ".join(text)[:x["start"]].split())
+            last = len(" ".join(text)[:x["end"]].split())
+            got.setdefault(x["template"], []).append((first, last, x["matched_words"]))
+            assert x["matched_words"] >= L.COVERAGE * len(templates[x["template"]].split())
+        for name in templates:
+            spans = sorted(got.get(name, []))
+            assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:]))  # no word counts twice
+        for name, start, length, _ in want:
+            assert any(a < start + length and b > start for a, b, _ in got.get(name, [])), (templates, text, name)
+        plain = sum(
+            templates[name].split() == text[i:i + len(templates[name].split())]
+            for name in {w[0] for w in want} for i in range(len(text))
+        )
+        assert sum(map(len, got.values())) >= min(plain, len(want))
+
+
+def test_ten_megabytes():
+    import time
+
+    text = " ".join([TEMPLATES["mit"], "All rights reserved. Licensed under the MIT License.", "filler words here " * 40] * 6000)
+    assert len(text) > 9_000_000
+    began = time.time()
+    got = found_in([text])[0]
+    assert time.time() - began < 120
+    assert sum(x["template"] == "mit" for x in got) == 6000
+
+
+def test_every_changed_copy_keeps_its_prints():
+    rng = random.Random(2)
+    for n in (1, 2, 3, 5, 8, 13, 30, 77, 160):
+        words = [f"u{i}" for i in range(n)]
+        index = L.PrintIndex({"t": " ".join(words)})
+        for _ in range(30):
+            places = rng.sample(range(n), L.places_changed(n, L.COVERAGE))
+            text = pa.array([" ".join("x" if i in places else w for i, w in enumerate(words))])
+            offsets, hashes, _ = L.bare_words(text)
+            assert len(np.unique(index.hits(offsets, hashes)[3])) >= index.least[0] >= 1

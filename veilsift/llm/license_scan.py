@@ -15,9 +15,7 @@ from .decontaminate import bare_words
 from .license_texts import TEMPLATES
 
 GRAM = 3
-WINDOW = 1  # all grams are fingerprints
 COVERAGE = 0.8
-LEAST_PRINTS = 0.2
 MISS, GAP = -1, -1
 
 FOUND = T.ArrayType(T.StructType([
@@ -37,32 +35,48 @@ def winnowed(hashes: np.ndarray, window: int) -> np.ndarray:
     return np.unique(np.arange(len(views)) + least)
 
 
+def places_changed(words: int, coverage: float) -> int:
+    """Words that may differ in a copy at the coverage."""
+    return int(words * (1 - coverage) + 1e-9)
+
+
 def least_run(words: int, coverage: float) -> int:
-    """Words that stay together in every copy with as many words changed as ``coverage`` allows."""
-    changed = int(words * (1 - coverage) + 1e-9)
+    """Words that stay together in every copy with changes at as many places as ``coverage`` allows."""
+    changed = places_changed(words, coverage)
     return -(-(words - changed) // (changed + 1))
 
 
+def least_prints(words: int, coverage: float, gram: int, window: int) -> int:
+    """Fingerprints that every such copy keeps: a run of ``gram + window - 1`` words has one, and
+    each further ``window`` words one more."""
+    changed = places_changed(words, coverage)
+    spare = words - changed - (changed + 1) * (gram + window - 2)
+    return max(1, -(-spare // window))
+
+
 class PrintIndex:
-    """Fingerprints of templates, by gram size and hash. A template so short that a copy at the
-    coverage may keep no ``gram`` words together has shorter grams."""
+    """Winnowed fingerprints of templates, by gram size and hash.
 
-    def __init__(
-        self, templates: dict[str, str], gram: int = GRAM, window: int = WINDOW, coverage: float = COVERAGE,
-    ):
+    The window is the widest at which every copy at the coverage keeps a fingerprint. A
+    template so short that a copy may keep no ``gram`` words together has shorter grams.
+    """
+
+    def __init__(self, templates: dict[str, str], gram: int = GRAM, coverage: float = COVERAGE):
         self.names = sorted(templates)
         self.offsets, self.words, _ = bare_words(pa.array([templates[n] for n in self.names], pa.string()))
-        self.prints = [0] * len(self.names)
+        self.least = [0] * len(self.names)
         found: dict[int, list[tuple[np.ndarray, ...]]] = {}
         for k in range(len(self.names)):
             words = self.template(k)
-            if len(words) < gram:
+            if not len(words):
                 continue
-            size = max(1, min(gram, least_run(len(words), coverage)))
+            run = max(1, least_run(len(words), coverage))
+            size = min(gram, run)
+            window = run - size + 1
             grams = window_hashes(words, size)
             at = winnowed(grams, window)
             found.setdefault(size, []).append((grams[at], np.full(len(at), k), at))
-            self.prints[k] = len(at)
+            self.least[k] = least_prints(len(words), coverage, size, window)
         self.levels = []
         for size, parts in sorted(found.items()):
             hashes, owners, places = map(np.concatenate, zip(*parts))
@@ -95,32 +109,35 @@ class PrintIndex:
 
 
 def banded_alignment(template: np.ndarray, text: np.ndarray, shift: int, band: int) -> tuple[int, int, int]:
-    """Best local alignment near a diagonal: matched words, first and last matched place in the text.
+    """Best alignment of a whole template near a diagonal: matched words, first and last matched place in the text.
 
-    Cell (i, d) pairs word i of the template with word ``i + shift + d - band`` of the text;
-    a match scores 1, a mismatch, a word left out on either side -1; of equal scores the one
-    with more matches counts, so a single word beyond a changed one is part of the copy.
-    No match: (0, -1, -1).
+    Cell (i, d) has the template's first ``i`` words behind it and the text's first
+    ``i + shift + d - band``; a match scores 1, a mismatch, a word left out on either side -1,
+    text before and behind the template nothing. So no matched word is cut off for changed
+    ones beside it. Of equal scores the one with more matches counts. No match: (0, -1, -1).
     """
     unit = len(template) + 1  # scores are kept times this, plus the matches
     match, miss, gap = unit + 1, MISS * unit, GAP * unit
+    never = -(1 << 40)
     width = 2 * band + 1
-    score = np.zeros((len(template) + 1, width + 1), np.int64)  # the last column stays 0: outside the band
+    score = np.full((len(template) + 1, width + 1), never, np.int64)  # the last column is outside the band
     steps = np.arange(width)
+    behind = shift + steps - band
+    score[0, :width] = np.where((behind >= 0) & (behind <= len(text)), 0, never)
     for i in range(len(template)):
-        at = i + shift + steps - band
+        at = i + behind
         inside = (at >= 0) & (at < len(text))
-        equal = inside & (text[np.where(inside, at, 0)] == template[i])
-        row = np.maximum(score[i, :width] + np.where(equal, match, miss), score[i, 1:width + 1] + gap)
-        row = np.where(inside, np.maximum(row, 0), 0)
-        row = np.maximum(row, np.maximum.accumulate(row - gap * steps) + gap * steps)
-        score[i + 1, :width] = np.where(inside, row, 0)
-    i, d = np.unravel_index(int(np.argmax(score[:, :width])), (len(template) + 1, width))
+        equal = inside & (text[np.where(inside, at, 0)] == template[i]) if len(text) else inside
+        row = np.where(inside, score[i, :width] + np.where(equal, match, miss), never)
+        row = np.maximum(row, score[i, 1:width + 1] + gap)
+        row = np.maximum.accumulate(row - gap * steps) + gap * steps
+        score[i + 1, :width] = np.where((at >= -1) & (at < len(text)), row, never)
+    i, d = len(template), int(np.argmax(score[-1, :width]))
     matched, first, last = 0, -1, -1
-    while i > 0 and score[i, d] > 0:
+    while i > 0 and score[i, d] > never // 2:
         at = i - 1 + shift + d - band
         equal = 0 <= at < len(text) and text[at] == template[i - 1]
-        if score[i, d] == score[i - 1, d] + (match if equal else miss):
+        if 0 <= at < len(text) and score[i, d] == score[i - 1, d] + (match if equal else miss):
             if equal:
                 matched, first, last = matched + 1, at, max(last, at)
             i -= 1
@@ -133,11 +150,54 @@ def banded_alignment(template: np.ndarray, text: np.ndarray, shift: int, band: i
     return matched, int(first), int(last)
 
 
-def _regions(at: np.ndarray, place: np.ndarray, length: int, band: int) -> list[tuple[int, int]]:
-    """Hits of one template in one text, grouped by where the template would start; as slices."""
+def copies(
+    template: np.ndarray, text: np.ndarray, at: np.ndarray, place: np.ndarray, least: int, coverage: float,
+) -> list[tuple[int, int, int]]:
+    """Copies of a template in a text, from its fingerprints' places there: matched words, first, last.
+
+    Fingerprints are taken in the order of where the template would start. A copy whose words
+    shift by up to ``band`` to either side lies in the band around the first one of them that
+    is aligned. A copy's words are taken out before the next alignment, so copies back to
+    back are found one by one; a band without a copy is left behind as a whole.
+    """
+    length = len(template)
+    band = max(4, length // 5)
     begin = at - place
-    cuts = np.flatnonzero(np.diff(begin) > max(band, length // 2)) + 1
-    return list(zip([0, *cuts.tolist()], [*cuts.tolist(), len(at)]))
+    order = np.lexsort((at, begin))
+    begin, at, place = begin[order], at[order], place[order]
+    gone = np.uint64(0)
+    while (template == gone).any():
+        gone += np.uint64(1)
+    own, found, k = False, [], 0
+    while k < len(begin):
+        if text[at[k]] == gone:  # part of a copy by now
+            k += 1
+            continue
+        low = int(begin[k])
+        end = int(np.searchsorted(begin, low + 3 * band, "right"))
+        here = slice(k, end)
+        left = text[at[here]] != gone
+        behind = int(np.searchsorted(begin, low + band, "right"))
+        first_word, last_word = max(low - band, 0), max(low + 3 * band + length, 0)
+        if (
+            len(np.unique(place[here][left])) < least
+            or np.isin(text[first_word:last_word], template).sum() < coverage * length
+        ):
+            k = behind
+            continue
+        usual = low + int(np.argmax(np.bincount(begin[here][left] - low)))
+        if usual >= 0 and np.array_equal(text[usual:usual + length], template):
+            matched, first, last = length, usual, usual + length - 1  # a whole copy aligns with itself
+        else:
+            matched, first, last = banded_alignment(template, text, low + band, 2 * band)
+        if matched < coverage * length:
+            k = behind
+            continue
+        found.append((matched, first, last))
+        if not own:
+            text, own = text.copy(), True
+        text[first:last + 1] = gone
+    return sorted(found, key=lambda f: f[1:])
 
 
 def licenses_in(index: PrintIndex, texts: pa.Array, coverage: float) -> list[list[dict]]:
@@ -145,29 +205,19 @@ def licenses_in(index: PrintIndex, texts: pa.Array, coverage: float) -> list[lis
     offsets, words, place = bare_words(texts)
     rows, names, at, in_template = index.hits(offsets, words)
     out: list[list[dict]] = [[] for _ in range(len(texts))]
-    order = np.lexsort((at - in_template, names, rows))
+    order = np.lexsort((names, rows))
     rows, names, at, in_template = rows[order], names[order], at[order], in_template[order]
     cuts = np.flatnonzero((np.diff(rows) != 0) | (np.diff(names) != 0)) + 1
     spans: dict[int, list[tuple[int, int]]] = {}
     for low, high in zip([0, *cuts.tolist()], [*cuts.tolist(), len(rows)]) if len(rows) else ():
         row, k = int(rows[low]), int(names[low])
+        if high - low < index.least[k]:
+            continue
         template = index.template(k)
-        band = max(4, len(template) // 5)
         text = words[offsets[row]:offsets[row + 1]]
-        for a, b in _regions(at[low:high], in_template[low:high], len(template), band):
-            found_at, found_place = at[low + a:low + b], in_template[low + a:low + b]
-            if len(np.unique(found_place)) < LEAST_PRINTS * index.prints[k]:
-                continue
-            begin = found_at - found_place
-            middle = int(np.median(begin))
-            wide = band + int(max(begin.max() - middle, middle - begin.min()))
-            # each matched word of the template is a word of the band
-            near = text[max(middle - wide, 0):max(middle + wide + len(template), 0)]
-            if np.isin(near, template).sum() < coverage * len(template):
-                continue
-            matched, first, last = banded_alignment(template, text, middle, wide)
-            if matched < coverage * len(template):
-                continue
+        for matched, first, last in copies(
+            template, text, at[low:high], in_template[low:high], index.least[k], coverage
+        ):
             if row not in spans:
                 spans[row] = [m.span() for m in re.finditer(r"\S+", texts[row].as_py())]
             real = place[offsets[row]:offsets[row + 1]]
@@ -187,12 +237,15 @@ def scan_licenses(
     An entry has ``template``, ``matched_words``, ``coverage`` (of the template's words) and
     ``start``, ``end`` (code points of the text, from the first to past the last matched
     word). Words are compared in lower case without marks. The index of the templates'
-    fingerprints, all their grams, goes to the workers; its size is that of the templates, a
-    parameter of the operator. A place with a fifth of a template's fingerprints is
-    aligned, so copies with changed, missing or added words are found. A text may hold a
-    template several times, and a notice that is part of a longer one is reported, too.
-
-    Null and empty texts hold none. Templates of fewer than three words are not found.
+    winnowed fingerprints goes to the workers; its size is that of the templates, a
+    parameter of the operator. A place with as many of a template's fingerprints as every
+    copy keeps that differs in no more words than ``coverage`` allows is aligned, so copies
+    with changed, missing or added words are found. Every copy of a template is reported,
+    also back to back, and so is a notice that is part of a longer one. An alignment's memory
+    depends on the template alone.
+
+    Null and empty texts hold none. Repeated rows give equal results; an empty table gives an
+    empty one. A column named like the new one is replaced. Templates without words are not found.
     """
     index = PrintIndex(TEMPLATES if templates is None else templates, coverage=coverage)
     held = df.sparkSession.sparkContext.broadcast(index)
