@@ -13,9 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilsift.llm.arrowtext import unused_name
-from veilsift.llm.bpe import decode_bpe, encode_bpe
+from veilsift.llm.bpe import encode_bpe
 from veilsift.llm.decontaminate import with_leaks
-from veilsift.llm.language_id import MIN_SCORE, UNKNOWN, fit_on_documents, identify_languages
+from veilsift.llm.language_id import MIN_CLARITY, UNKNOWN, fit_on_documents, identify_languages
 from veilsift.llm.line_rules import apply_line_rules
 from veilsift.llm.near_dup import drop_near_duplicates
 from veilsift.llm.queries import found_by_workers
@@ -32,18 +32,24 @@ def _same_columns(df: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language the labels name; texts without letters, or of no clear language, go.
+    """Documents in languages the labels name; texts without letters, or of words in no clear language, go.
 
-    Null and empty texts go. ``lang`` is set to the prediction where it was null.
+    A text may mix languages, as long as its words are clear. Null and empty texts go. ``lang``
+    is set to the prediction where it was null. Repeated rows are kept or go together.
     """
-    lang, score = unused_name(docs, "_lang"), unused_name(docs, "_score")
-    rows = identify_languages(docs, fit_on_documents(docs), lang_col=lang, score_col=score)
-    clear = rows.where((F.col(lang) != UNKNOWN) & (F.col(score) >= MIN_SCORE))
+    lang, score, clarity = (unused_name(docs, n) for n in ("_lang", "_score", "_clarity"))
+    rows = identify_languages(
+        docs, fit_on_documents(docs), lang_col=lang, score_col=score, clarity_col=clarity
+    )
+    clear = rows.where((F.col(lang) != UNKNOWN) & (F.col(clarity) >= MIN_CLARITY))
     return _same_columns(clear.withColumn("lang", F.coalesce("lang", lang)), docs)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold the base rules and are not depleted, without the lines their host repeats."""
+    """Documents that hold the base rules and are not depleted, without the lines their host repeats.
+
+    Null and empty texts go. Repeated rows count as one document and stay repeated.
+    """
     rows = apply_line_rules(docs)
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
@@ -52,21 +58,26 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates: the least id."""
+    """One document of each class of near duplicates: the least id.
+
+    Null and empty texts are kept as they are. Of repeated rows one stays.
+    """
     return _same_columns(drop_near_duplicates(docs), docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that cover no benchmark item."""
+    """Documents that cover no benchmark item; null and empty texts cover none. Repeated rows stay or go together."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     leaks = unused_name(docs, "_leaks")
     return _same_columns(with_leaks(docs, benchmark, out_col=leaks).where(F.size(leaks) == 0), docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """``doc_id``, the token ids (32-bit, little-endian), their number, digests of ids and decoded text."""
-    encoded = encode_bpe(docs.select("doc_id", "text")).select("doc_id", "n_tokens", "ids")
-    return decode_bpe(encoded).select(
+    """``doc_id``, the token ids (32-bit, little-endian), their number, digests of ids and decoded text.
+
+    Null and empty texts have no tokens. Repeated rows give repeated results.
+    """
+    return encode_bpe(docs.select("doc_id", "text"), decoded_col="decoded").select(
         "doc_id", "n_tokens", "ids", F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
     )
