@@ -71,6 +71,15 @@ def test_code_switched_words(spark, docs):
     assert abs(sum(r.words for r in runs if r.lang == "aa") - 30) <= 3
 
 
+def test_evenly_mixed_texts_are_clear(spark, docs):
+    """No language leads, but every word is clear; a null text is neither."""
+    rng = random.Random(4)
+    mixed = " ".join(text_in(rng, lang, 40) for lang in ("aa", "bb", "cc"))
+    df = spark.createDataFrame([(1, mixed), (2, None)], "doc_id long, text string")
+    got = {r.doc_id: r for r in I.identify_languages(df, I.fit_on_documents(docs), clarity_col="c").collect()}
+    assert got[1].score < 0.5 and got[1].c > 0.8 and (got[2].score, got[2].c) == (0, 0)
+
+
 def test_nothing_to_learn_from(spark, docs):
     assert I.fit_on_documents(docs.limit(0)) is None
     rows = I.identify_languages(docs.limit(3), None, runs=True).collect()

@@ -171,7 +171,8 @@ def identify_languages(
     fields = [T.StructField(lang_col, T.StringType()), T.StructField(score_col, T.DoubleType())]
     fields += [T.StructField("lang_runs", RUNS)] * runs
     clarity = clarity_col is not None
-    fields += [T.StructField(clarity_col, T.DoubleType())] * clarity
+    if clarity:
+        fields.append(T.StructField(clarity_col, T.DoubleType()))
     held = df.sparkSession.sparkContext.broadcast(model)
 
     def make():
