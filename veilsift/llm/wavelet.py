@@ -206,7 +206,7 @@ class PieceEncoder:
         self.kind = np.dtype(self.code)
         self.letters = byte_alphabet()
         self.words = PieceCache(self.merged, 600_000)
-        self.pieces = PieceCache(self.encode, 100_000)
+        self.pieces = PieceCache(self.encode, 250_000, 64 << 20)
 
     def packed(self, ids: list[int]) -> bytes:
         return array(self.code, ids).tobytes()
@@ -258,7 +258,7 @@ def _shards(path: str, end_id: int, bits: int, shard_tokens: int):
             return pa.RecordBatch.from_arrays([pa.array([data], pa.binary())], names=["data"])
 
         for batch in batches:
-            for rows in byte_slices(batch, "text", min(3 << 20, 8 * shard_tokens)):
+            for rows in byte_slices(batch, "text", min(6 << 20, 8 * shard_tokens)):
                 pieces = pieces_with_space(plain_texts(rows, "text"))
                 each = encoder.pieces(pieces.distinct)
                 n = np.fromiter(map(len, each), np.int64, len(each)) // width
