@@ -42,22 +42,6 @@ def review_requests(
     )
 
 
-def _scored(texts: pd.Series, scorer: Scorer) -> list[tuple[str | None, str | None]]:
-    """A reply or an error for each text; a batch that fails is halved down to the texts that do."""
-    if texts.empty:
-        return []
-    try:
-        replies = list(scorer(texts.reset_index(drop=True)))
-        if len(replies) != len(texts):
-            raise ValueError(f"{len(replies)} replies to {len(texts)} requests")
-        return [(None if pd.isna(r) else r, None) for r in replies]
-    except Exception as e:  # a caller's function: whatever it raises must not end the job
-        if len(texts) == 1:
-            return [(None, f"{type(e).__name__}: {e}")]
-    half = len(texts) // 2
-    return _scored(texts.iloc[:half], scorer) + _scored(texts.iloc[half:], scorer)
-
-
 def score_requests(requests: DataFrame, scorer: Scorer) -> DataFrame:
     """Verdict rows ``(diff_hash, response, error)`` from a caller's batch function.
 
@@ -67,12 +51,27 @@ def score_requests(requests: DataFrame, scorer: Scorer) -> DataFrame:
     these have an ``error`` and no response, and so keep their local result.
     """
 
+    # local, so that workers need nothing but the caller's function
+    def scored(texts: pd.Series) -> list[tuple[str | None, str | None]]:
+        if texts.empty:
+            return []
+        try:
+            replies = list(scorer(texts.reset_index(drop=True)))
+            if len(replies) != len(texts):
+                raise ValueError(f"{len(replies)} replies to {len(texts)} requests")
+            return [(None if pd.isna(r) else r, None) for r in replies]
+        except Exception as e:  # whatever a caller's function raises must not end the job
+            if len(texts) == 1:
+                return [(None, f"{type(e).__name__}: {e}")]
+        half = len(texts) // 2
+        return scored(texts.iloc[:half]) + scored(texts.iloc[half:])
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            scored = _scored(batch["request_text"], scorer)
+            each = scored(batch["request_text"])
             yield pd.DataFrame({
                 "diff_hash": batch["diff_hash"].to_numpy(),
-                "response": [r for r, _ in scored], "error": [e for _, e in scored],
+                "response": [r for r, _ in each], "error": [e for _, e in each],
             })
 
     return (

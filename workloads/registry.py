@@ -450,20 +450,20 @@ def review_request_texts(spark, sf_dir):
     return _requests(spark, sf_dir)
 
 
-def _failing_scorer(texts):
-    """Replies with a text's length; gives up on batches that hold a path of the first directory."""
-    if texts.str.contains(f'file "{V.DIRS[0]}', regex=False).any():
-        raise ValueError("no reply")
-    return texts.str.len().map("chars: {}".format)
-
-
 @query(f"""WITH {REQUESTS}, asked AS (
   SELECT *, contains(request_text, {quote(f'file "{V.DIRS[0]}')}) AS failed FROM requests)
 SELECT diff_hash, CASE WHEN NOT failed THEN 'chars: ' || length(request_text) END AS response,
        CASE WHEN failed THEN 'ValueError: no reply' END AS error FROM asked""")
 def scored_requests(spark, sf_dir):
     """A scorer that raises on some requests keeps its replies to all others."""
-    return score_requests(_requests(spark, sf_dir), _failing_scorer)
+    hated = f'file "{V.DIRS[0]}'
+
+    def scorer(texts):
+        if texts.str.contains(hated, regex=False).any():
+            raise ValueError("no reply")
+        return texts.str.len().map("chars: {}".format)
+
+    return score_requests(_requests(spark, sf_dir), scorer)
 
 
 # -- cache and complete change check -------------------------------------------
