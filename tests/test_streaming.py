@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 from veilsift.operators.scan import scan_rules
 from veilsift.sources import load_cache, prepare_files
 from veilsift.streaming import issues_per_window, once_per_diff, scan_stream, start_cached_scan
+from workloads.registry import QUERIES
 from workloads.views import PLANTED
 
 SCHEMA = "repo_id int, file_idx long, file_path string, diff string, ts timestamp"
@@ -87,3 +88,14 @@ def test_windows_in_append_mode_drop_late_rows(spark, tmp_path):
     assert run() == [(1, "HIGH", 2)]  # the window at 3 is open
     arrive(spark, folder, files(10, [0, 0, 0]) + files(15, [0], hour=3) + files(20, [0], hour=5))
     assert run() == [(1, "HIGH", 2), (3, "HIGH", 2)]  # three rows of the window at 1 came too late
+
+
+def test_document_stream_reads_a_file_and_a_folder(spark, tmp_path):
+    docs = spark.createDataFrame([(k, f"text {k}", "en") for k in range(60)], "doc_id long, text string, lang string")
+    docs.repartition(3).write.parquet(f"{tmp_path}/folder/documents.parquet")
+    docs.coalesce(1).write.parquet(f"{tmp_path}/written")
+    (tmp_path / "file").mkdir()
+    next((tmp_path / "written").glob("*.parquet")).rename(tmp_path / "file" / "documents.parquet")
+    docs.write.parquet(f"{tmp_path}/file/other.parquet")  # not part of the table
+    folder, file = ([tuple(r) for r in QUERIES["stream_scan"](spark, f"{tmp_path}/{n}").collect()] for n in ("folder", "file"))
+    assert sorted(folder) == sorted(file) and 0 < len(file) == len({r[0] for r in file})
