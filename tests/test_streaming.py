@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 from veilsift.operators.scan import scan_rules
 from veilsift.sources import load_cache, prepare_files
 from veilsift.streaming import issues_per_window, once_per_diff, scan_stream, start_cached_scan
+from workloads import registry
 from workloads.registry import QUERIES
 from workloads.views import PLANTED
 
@@ -99,3 +100,17 @@ def test_document_stream_reads_a_file_and_a_folder(spark, tmp_path):
     docs.write.parquet(f"{tmp_path}/file/other.parquet")  # not part of the table
     folder, file = ([tuple(r) for r in QUERIES["stream_scan"](spark, f"{tmp_path}/{n}").collect()] for n in ("folder", "file"))
     assert sorted(folder) == sorted(file) and 0 < len(file) == len({r[0] for r in file})
+
+
+def test_arrivals_are_one_batch_each_of_many_files(spark, tmp_path):
+    rows, seen = spark.range(0, 90, 1, 5), []
+
+    def look(batch, batch_id):
+        seen.append((batch_id, sorted(r.id for r in batch.collect())))
+
+    def start(stream, trigger):
+        return stream.writeStream.foreachBatch(look).option("checkpointLocation", f"{tmp_path}/s").trigger(**trigger).start()
+
+    registry._arrivals(spark, rows, [F.col("id") % 3 == i for i in range(3)], str(tmp_path), start)
+    assert seen == [(k, list(range(k, 90, 3))) for k in range(3)]
+    assert len(list((tmp_path / "arrivals").glob("*.parquet"))) == 15  # five tasks wrote each batch
