@@ -114,3 +114,21 @@ def test_arrivals_are_one_batch_each_of_many_files(spark, tmp_path):
     registry._arrivals(spark, rows, [F.col("id") % 3 == i for i in range(3)], str(tmp_path), start)
     assert seen == [(k, list(range(k, 90, 3))) for k in range(3)]
     assert len(list((tmp_path / "arrivals").glob("*.parquet"))) == 15  # five tasks wrote each batch
+
+
+def test_events_of_one_row_group_are_spread(spark, tmp_path, monkeypatch):
+    spark.sql("""SELECT id AS event_id, timestamp_seconds(1700000000 + 60 * id) AS ts, 'click' AS event_type, '{}' AS props
+                 FROM range(2000)""").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    run, tasks = registry._arrivals, []
+
+    def counted(spark, df, *rest):
+        tasks.append(df.rdd.getNumPartitions())
+        run(spark, df, *rest)
+
+    monkeypatch.setattr(registry, "_arrivals", counted)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.minPartitionSize", "4k")
+    try:
+        assert QUERIES["stream_windows"](spark, str(tmp_path)).count() > 0
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.minPartitionSize")
+    assert tasks[0] > 1
