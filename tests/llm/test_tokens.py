@@ -174,3 +174,18 @@ def test_queries(spark, odd_docs, tmp_path):
         ids = ids_of(WORDS, texts[r.doc_id])
         assert r.ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
         assert r.decoded_sha256 == hashlib.sha256(WORDS.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+
+
+def test_plain_words_need_no_patterns(monkeypatch):
+    met = []
+
+    class Pattern:
+        def fullmatch(self, piece):
+            met.append(piece)
+
+    monkeypatch.setattr(wavelet, "PLAIN_PIECE", Pattern())
+    encoder = wavelet.PieceEncoder(wavelet.vocabulary_path("byte_bpe_50k.json"))
+    plain, other = ["word", " Words", " end.", "stop?!", " a,;"], [" ", "..", " a1", "x\ny", " été", "  b", "don't", "c.d"]
+    want = [encoder.tokenizer.encode(p, add_special_tokens=False).ids for p in plain + other]
+    assert [np.frombuffer(x, encoder.kind).tolist() for x in encoder.encode(plain + other)] == want
+    assert met == other
