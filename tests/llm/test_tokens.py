@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -189,3 +190,32 @@ def test_plain_words_need_no_patterns(monkeypatch):
     want = [encoder.tokenizer.encode(p, add_special_tokens=False).ids for p in plain + other]
     assert [np.frombuffer(x, encoder.kind).tolist() for x in encoder.encode(plain + other)] == want
     assert met == other
+
+
+def test_words_are_merged_once_whatever_marks_follow():
+    encoder = wavelet.PieceEncoder(wavelet.vocabulary_path("byte_bpe_50k.json"))
+    tails = ["", ".", "!?", "$$$", "<|>", "***", ")", '"']
+    texts = [f"Start gem{a} straße{b} then's{a}  end{b}" for a in tails for b in tails] + ["", "gem", " ", "<|endoftext|> gem<|endoftext|>"]
+    merged, kept = [], encoder.merged
+    encoder.known.compute = lambda words: merged.extend(words) or kept(words)
+    flat, sizes, codes, offsets = encoder.texts(pa.array(texts))
+    ids = np.split(flat, np.cumsum(sizes)[:-1])
+    for k, text in enumerate(texts):
+        got = [i for c in codes[offsets[k]:offsets[k + 1]] for i in ids[c].tolist()]
+        assert got == ids_of(BYTES, text), text
+    assert merged.count(" gem") == 1 and not any(w.startswith(" gem") and w != " gem" for w in merged)
+    encoder.texts(pa.array(["a gem"]))
+    assert merged.count(" gem") == 1  # known to the next texts
+
+
+def test_known_words_are_bounded():
+    known = wavelet.KnownWords(lambda words: [np.array([len(w)] * 2, "<u2").tobytes() for w in words], np.dtype("<u2"), 3, 100)
+    for words in (["a", "bb", "a"], ["ccc", "dddd", "bb"], ["dddd", "e" * 200, "a"], ["x" * 300, "a"]):
+        flat, n, place = known(pa.array(words))
+        assert [flat[2 * p:2 * p + 2].tolist() for p in place] == [[len(w)] * 2 for w in words] and set(n.tolist()) == {2}
+        assert known.words.to_pylist() == ["a", "bb", "ccc"][:len(known.words)] and len(known.flat) == 2 * len(known.words)
+
+
+def test_matrix_of_several_spans():
+    values = np.random.default_rng(4).integers(0, 50257, 2 * wavelet.SPAN + 7)
+    assert (wavelet.WaveletMatrix.build(values, 16).values() == values).all()

@@ -8,10 +8,11 @@ import struct
 import uuid
 import zlib
 from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -22,12 +23,12 @@ from veilsift.session import scratch_root
 
 from .arrowtext import byte_slices, gathered, plain_texts, row_sums
 from .bytelevel import (
-    PieceCache, byte_alphabet, in_byte_batches, load_tokenizer, per_worker, pieces_with_space,
-    vocabulary_path,
+    KEPT_PIECE, RUN_WITH_SPACE, PieceCache, byte_alphabet, in_byte_batches, load_tokenizer, per_worker, vocabulary_path,
 )
 
 MAGIC = b"WMTX0001"
 BLOCK = 512  # bits between two rank samples
+SPAN = 1 << 15  # tokens that are moved at a time, few enough for a processor's cache
 SHARD_TOKENS = 2 << 20
 SHARD_BYTES = 24 << 20
 
@@ -35,6 +36,18 @@ _LETTER, _MARK = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u024f", ".,;:!?"
 #: Pieces that the byte-level pattern cuts into words, marks and line ends, and these parts.
 PLAIN_PIECE = re.compile(f"(?: ?[{_LETTER}]+[{_MARK}]*| ?[{_MARK}]+)?(?:\n[{_LETTER}]+[{_MARK}]*)*")
 PLAIN_PART = re.compile(f" ?[{_LETTER}]+| ?[{_MARK}]+|\n")
+#: All ASCII marks but the apostrophe, which the pattern joins with letters behind it.
+END_MARKS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'")
+
+
+def spans(bit: np.ndarray, zeros: int) -> Iterator[tuple[slice, tuple[int, int], tuple[int, int]]]:
+    """Stretches of a plane, and where their zeros and their ones stand in the next plane's order."""
+    low, high = 0, zeros
+    for at in range(0, len(bit), SPAN):
+        size = min(SPAN, len(bit) - at)
+        ones = int(np.count_nonzero(bit[at:at + size]))
+        yield slice(at, at + size), (low, low + size - ones), (high, high + ones)
+        low, high = low + size - ones, high + ones
 
 
 class WaveletMatrix:
@@ -52,9 +65,10 @@ class WaveletMatrix:
     @staticmethod
     def build(values: np.ndarray, bits: int) -> WaveletMatrix:
         order = values.astype(np.uint16 if bits <= 16 else np.uint32)
+        other = np.empty_like(order)
         planes, zeros, samples = [], [], []
         for k in range(bits):
-            bit = (order >> (bits - 1 - k)) & 1 != 0
+            bit = order & order.dtype.type(1 << (bits - 1 - k)) != 0
             packed = np.zeros((len(bit) + BLOCK) // BLOCK * (BLOCK // 8), np.uint8)
             tight = np.packbits(bit, bitorder="little")
             packed[:len(tight)] = tight
@@ -64,7 +78,11 @@ class WaveletMatrix:
             planes.append(plane)
             zeros.append(len(bit) - int(ones.sum()))
             # by place, which is several times faster than by mask where bits are random
-            order = np.concatenate([order.take(np.flatnonzero(~bit)), order.take(np.flatnonzero(bit))])
+            for span, low, high in spans(bit, zeros[k]):
+                part = order[span]
+                other[low[0]:low[1]] = part.take(np.flatnonzero(~bit[span]))
+                other[high[0]:high[1]] = part.take(np.flatnonzero(bit[span]))
+            order, other = other, order
         return WaveletMatrix(len(values), planes, zeros, samples)
 
     def _bit(self, k: int, at: np.ndarray) -> np.ndarray:
@@ -131,14 +149,15 @@ class WaveletMatrix:
     def values(self) -> np.ndarray:
         """The whole sequence, by undoing the planes' orders from the last to the first."""
         kind = np.uint16 if self.bits <= 16 else np.uint32
-        out = np.zeros(self.length, kind)
+        out, other = np.zeros(self.length, kind), np.empty(self.length, kind)
         for k in reversed(range(self.bits)):
             bit = np.unpackbits(self.planes[k].view(np.uint8), count=self.length, bitorder="little").view(bool)
             out[self.zeros[k]:] |= kind(1 << (self.bits - 1 - k))
-            up = np.empty_like(out)
-            up[np.flatnonzero(~bit)] = out[:self.zeros[k]]
-            up[np.flatnonzero(bit)] = out[self.zeros[k]:]
-            out = up
+            for span, low, high in spans(bit, self.zeros[k]):
+                part = other[span]
+                part[np.flatnonzero(~bit[span])] = out[low[0]:low[1]]
+                part[np.flatnonzero(bit[span])] = out[high[0]:high[1]]
+            out, other = other, out
         return out
 
 
@@ -191,6 +210,29 @@ class TokenShard:
         )
 
 
+class KnownWords:
+    """Ids of words, kept from task to task in a worker as Arrow and numpy columns, up to a number of
+    words and bytes. A full store takes no more; results do not depend on it."""
+
+    def __init__(self, compute: Callable[[list[str]], list[bytes]], kind: np.dtype, size: int = 600_000, limit: int = 24 << 20):
+        self.compute, self.size, self.limit = compute, size, limit
+        self.words, self.flat, self.n = pa.array([], pa.string()), np.empty(0, kind), np.empty(0, np.int64)
+
+    def __call__(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of a number of words one after the other, their sizes, and the place of each word of ``words`` among them."""
+        held = len(self.words)
+        coded = pa.concat_arrays([self.words, words]).dictionary_encode()  # known words keep their places
+        new = self.compute(coded.dictionary.slice(held).to_pylist())
+        made = np.frombuffer(b"".join(new), self.flat.dtype)
+        flat = np.concatenate([self.flat, made])
+        n = np.concatenate([self.n, np.fromiter(map(len, new), np.int64, len(new)) // flat.itemsize])
+        if held < self.size:
+            ends = np.cumsum(pc.binary_length(coded.dictionary).to_numpy().astype(np.int64))
+            kept = min(self.size, int(np.searchsorted(ends, self.limit, side="right")))
+            self.words, self.n, self.flat = coded.dictionary.slice(0, kept), n[:kept], flat[:n[:kept].sum()]
+        return flat, n, coded.indices.to_numpy()[held:]
+
+
 class PieceEncoder:
     """Ids of text pieces by the tokenizers library, packed as bytes of ``kind``.
 
@@ -209,6 +251,9 @@ class PieceEncoder:
         self.packs = [self.packed([k]) for k in range(1 + max(self.tokenizer.get_vocab().values()))]
         self.words = PieceCache(self.merged, 600_000)
         self.pieces = PieceCache(self.encode, 250_000, 64 << 20)
+        self.known = KnownWords(self.merged, self.kind)
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.end_marks = "" if any(re.fullmatch(f"[{_LETTER}]*[{re.escape(END_MARKS)}]*", t.strip(" ")) for t in added) else END_MARKS
 
     def packed(self, ids: list[int]) -> bytes:
         return array(self.code, ids).tobytes()
@@ -256,6 +301,68 @@ class PieceEncoder:
         return out
 
 
+    def spaced(self, parts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Parts between single spaces, each with the space before it: the ids of some words one
+        after the other, their sizes, and for each part the places of the two that make its ids.
+
+        Letters with marks behind them are cut in two by Arrow, so that a word is merged once
+        whatever marks follow it; all other parts are pieces as they are.
+        """
+        bodies = pc.utf8_rtrim(parts, characters=self.end_marks) if self.end_marks else parts
+        plain = pc.match_substring_regex(bodies, rf"\A[{_LETTER}]+\z")
+        is_plain = plain.to_numpy(zero_copy_only=False)
+        bodies, whole = bodies.filter(plain), parts.filter(plain)
+        at = np.frombuffer(whole.buffers()[1], np.int32)[whole.offset:][:len(whole) + 1].astype(np.int64)
+        size = pc.binary_length(bodies).to_numpy()
+        rest = np.diff(at) - size
+        marks = gathered(np.frombuffer(whole.buffers()[2] or b"", np.uint8), at[:-1] + size, rest)
+        ends = np.concatenate([[0], np.cumsum(rest)]).astype(np.int32)
+        marks = pa.StringArray.from_buffers(len(rest), pa.py_buffer(ends), pa.py_buffer(marks))
+        flat, n, place = self.known(pa.concat_arrays([pc.binary_join_element_wise(" ", bodies, ""), marks]))
+        others = self.pieces([" " + p for p in parts.filter(pc.invert(plain)).to_pylist()])
+        both = np.empty((len(parts), 2), np.int64)
+        both[is_plain] = place.reshape(2, -1).T
+        both[~is_plain, 0] = len(n) + np.arange(len(others))
+        both[~is_plain, 1] = len(n) + len(others)
+        more, sizes = self.joined([*others, b""])
+        return np.concatenate([flat, more]), np.concatenate([n, sizes]), both
+
+    def joined(self, each: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        return np.frombuffer(b"".join(each), self.kind), np.fromiter(map(len, each), np.int64, len(each)) // self.kind.itemsize
+
+    def texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Texts cut into pieces where ``pieces_with_space`` cuts them: the ids of the distinct
+        pieces one after the other, the pieces' sizes, the texts' pieces by number, and where
+        each text starts among these."""
+        runs = pc.match_substring_regex(texts, RUN_WITH_SPACE)
+        simple = pc.split_pattern(texts.filter(pc.invert(runs)), " ")
+        coded = simple.flatten().dictionary_encode()
+        starts = simple.offsets.to_numpy().astype(np.int64)
+        codes = coded.indices.to_numpy().astype(np.int64)
+        flat, n, both = self.spaced(coded.dictionary)
+        at = np.cumsum(n) - n
+        flat, n = gathered(flat, at[both.ravel()], n[both.ravel()]), n[both].sum(axis=1)
+        # the first part of a text has no space before it
+        opening, which = np.unique(codes[starts[:-1]], return_inverse=True)
+        other = coded.dictionary.take(pa.array(opening)).to_pylist()
+        codes[starts[:-1]] = len(n) + which
+        counts, is_run = np.empty(len(texts), np.int64), runs.to_numpy(zero_copy_only=False)
+        counts[~is_run] = np.diff(starts)
+        if is_run.any():
+            index = {p: k for k, p in enumerate(other)}
+            found = [
+                [index.setdefault(p, len(index)) for p in KEPT_PIECE.findall(t)] for t in texts.filter(runs).to_pylist()
+            ]
+            other, counts[is_run] = list(index), list(map(len, found))
+            offsets = np.concatenate([[0], np.cumsum(counts)])
+            mixed, in_run = np.empty(offsets[-1], np.int64), np.repeat(is_run, counts)
+            mixed[~in_run] = codes
+            mixed[in_run] = len(n) + np.fromiter((k for ks in found for k in ks), np.int64)
+            codes = mixed
+        more, sizes = self.joined(self.pieces(other))
+        return np.concatenate([flat, more]), np.concatenate([n, sizes]), codes, np.concatenate([[0], np.cumsum(counts)])
+
+
 def _shards(path: str, end_id: int, bits: int, shard_tokens: int):
     """The function that turns a partition's sorted documents into shard files."""
 
@@ -263,7 +370,6 @@ def _shards(path: str, end_id: int, bits: int, shard_tokens: int):
         from pyspark import TaskContext
 
         encoder = per_worker(("ids", path), lambda: PieceEncoder(path))
-        width = encoder.kind.itemsize
         part, number = TaskContext.get().partitionId(), 0
         ids, sizes, tokens, held = [], [], [], 0
 
@@ -276,13 +382,11 @@ def _shards(path: str, end_id: int, bits: int, shard_tokens: int):
 
         for batch in batches:
             for rows in byte_slices(batch, "text", min(6 << 20, 8 * shard_tokens)):
-                pieces = pieces_with_space(plain_texts(rows, "text"))
-                each = encoder.pieces(pieces.distinct)
-                n = np.fromiter(map(len, each), np.int64, len(each)) // width
-                flat = np.append(np.frombuffer(b"".join(each), encoder.kind), np.array([end_id], encoder.kind))
+                flat, n, codes, offsets = encoder.texts(plain_texts(rows, "text"))
                 # the end id follows each document as one more piece
-                codes = np.insert(pieces.codes, pieces.offsets[1:], len(each))
-                offsets = pieces.offsets + np.arange(len(pieces.offsets))
+                flat = np.append(flat, np.array([end_id], encoder.kind))
+                codes = np.insert(codes, offsets[1:], len(n))
+                offsets = offsets + np.arange(len(offsets))
                 n = np.concatenate([n, [1]])
                 starts = np.cumsum(n) - n
                 tokens.append(gathered(flat, starts[codes], n[codes]))
