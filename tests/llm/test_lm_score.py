@@ -1,5 +1,6 @@
 """Operator 2 against a plain model of the same definition."""
 
+import random
 from collections import Counter
 from math import log2
 
@@ -96,3 +97,63 @@ def test_rare_words_stay_known_in_a_large_corpus(spark):
             assert r.n_words == 2 and r.token_differences == pytest.approx([a - b for a, b in want[k]])
             assert r.target_loss == pytest.approx(sum(a for a, _ in want[k]) / 2)
             assert r.background_loss == pytest.approx(sum(b for _, b in want[k]) / 2)
+
+
+def fitted_rows(spark, texts, **options):
+    df = spark.createDataFrame(texts, "doc_id long, text string, target boolean")
+    rows = M.score_texts(df, M.fit_models(df), token_differences=True, fitted=True, **options).collect()
+    assert len(rows) == len(texts)
+    return rows
+
+
+@pytest.mark.parametrize("slice_bytes", [16 << 20, 40])
+def test_fitted_texts_in_one_and_many_slices(spark, monkeypatch, slice_bytes):
+    monkeypatch.setattr(M, "SLICE_BYTES", slice_bytes)
+    monkeypatch.setattr(M, "TABLE_BYTES", 100)
+    texts = [(k, t, bool(target)) for k, t, target in TEXTS] + [(9, "a b", True), (9, "x É x", False), (None, None, False)]
+    want = plain([(j, t, target) for j, (_, t, target) in enumerate(texts)], 1, 1e-12)
+    by_text = {t: want[j] for j, (_, t, _) in enumerate(texts)}
+    for r in fitted_rows(spark, [(k, t, target) for k, t, target in texts]):
+        each = next(v for t, v in by_text.items() if (t or "").split() == (r.text or "").split())
+        assert r.n_words == len(each) and r.token_differences == pytest.approx([a - b for a, b in each])
+        if each:
+            assert r.target_loss == pytest.approx(sum(a for a, _ in each) / len(each))
+            assert r.background_loss == pytest.approx(sum(b for _, b in each) / len(each))
+            assert r.score == pytest.approx(sum(a - b for a, b in each) / len(each))
+        else:
+            assert r.score is None and r.target_loss is None and r.background_loss is None
+
+
+def test_fitted_equals_joined_and_targets_by_id(spark):
+    rng = random.Random(2)
+    vocabulary = [f"w{k}" for k in range(60)]
+    texts = [(k, " ".join(rng.choices(vocabulary, range(1, 61), k=rng.randrange(40))), k % 3 == 0) for k in range(200)]
+    df = spark.createDataFrame(texts, "doc_id long, text string, target boolean").repartition(5)
+    by_id = M.fit_models(df.drop("target"), targets=df.where("target").select("doc_id").union(df.limit(1).select(F.lit(None))))
+    found = [
+        {r.doc_id: (r.n_words, r.target_loss, r.background_loss, r.score) for r in M.score_texts(df, m, fitted=f).collect()}
+        for m, f in ((M.fit_models(df), False), (M.fit_models(df), True), (by_id, True), (by_id, False))
+    ]
+    for other in found[1:]:
+        assert other.keys() == found[0].keys()
+        assert all(other[k] == pytest.approx(v) for k, v in found[0].items())
+
+
+def test_fitted_moves_no_pair_as_a_row_and_no_slice(spark):
+    text = " ".join(f"a{k} b{k % 7}" for k in range(3000))
+    df = spark.createDataFrame([(k, text, k == 0) for k in range(8)], "doc_id long, text string, target boolean")
+    models = M.fit_models(df)
+    slices, marks = M.coded_texts(models)
+    asked = slices.groupBy("slice").cogroup(marks.groupBy("slice")).applyInArrow(
+        lambda row, answers: (lambda s: s.requests(s.pairs, s.pair_counts(), 3))(M.Slice(row, answers)), M.REQUESTS
+    )
+    plan = asked._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(slice") == 1  # the answers alone
+    assert asked.count() <= 8 * slices.count()
+    assert "tables" not in models.__dict__  # no pair table was made
+
+
+def test_no_fitted_texts_and_no_targets(spark):
+    assert fitted_rows(spark, [(1, "a b", False), (2, None, False)])[0] is not None
+    df = spark.createDataFrame(TEXTS, "doc_id long, text string, target boolean").limit(0)
+    assert M.score_texts(df, M.fit_models(df), fitted=True).count() == 0
